@@ -19,6 +19,18 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm import quality_rules as Q
+
+    docs = documents(spark, sf_dir)
+    rules = Q.learn(docs, labels(spark, sf_dir))
+    return Q.judge(docs.select("doc_id", "text"), rules).select("doc_id", *Q.BASE_COUNTS, "base_failed", "kept", "rule")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.fingerprints import compare_with_next
 
@@ -38,6 +50,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.source_mixing import mix
+
+    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "source", "mix_copy", "mix_key", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm import toxicity as T
+
+    docs = documents(spark, sf_dir)
+    bias, weights = T.train(docs, labels(spark, sf_dir))
+    return T.score(docs, bias, weights).select(
+        "doc_id", T.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.get("offending", F.lit(0))["start"].alias("first_start"), F.get("offending", F.lit(0))["end"].alias("first_end")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.packing import pack
 
@@ -45,8 +73,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
     "op4_secret_scan": op4_secret_scan,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
 }
 
