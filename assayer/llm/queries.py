@@ -78,6 +78,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), word_tokenizer())
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.ngram_join import link_groups
+
+    return link_groups(documents(spark, sf_dir)).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 ORACLES: dict[str, Any] = {}
