@@ -357,6 +357,19 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return members.join(lowest, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows without near duplicates: of each group that links connect, the row with the smallest id stays; rows without shingles all stay.
+
+    Rows with the same id and the same text count as one row and stay or go together. Columns stay as they are.
+    """
+    groups = link_groups(docs, id_column, text_column)
+    key = F.struct("doc_id", "key")
+    first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(key)["key"].alias("key")).select("key")
+    kept = Scratch(docs.sparkSession, "first").table(first.union(groups.filter("n_shingles = 0").select("key")).distinct(), "kept").select(F.col("key").alias("kept"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
+    return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -16,13 +16,13 @@ FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_sh
 
 
 def text_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds counts and FEATURES to the rows under names that start with ``q_``; a null text counts as empty.
+    """(q_row, BASE_COUNTS, FEATURES as q_...): each row as a struct, so that its names clash with none, and numbers of its text; null counts as empty.
 
     Repeated words: trigram hashes are sorted, and only texts in which two are equal sort them again with their places.
     """
     text, words, tri, order = F.coalesce(F.col(text_column), F.lit("")), F.col("q_words"), F.col("q_tri"), F.col("q_order")
     lines = F.filter(F.split(F.col("q_text"), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    df = docs.withColumn("q_text", text)
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row"), text.alias("q_text"))
     df = df.withColumn("q_words", F.filter(F.split("q_text", SEPARATOR_CLASS), lambda x: x != "")).withColumn("q_lines", lines)
     df = df.withColumn("n_words", F.size("q_words").cast("long"))
     window = F.transform(F.slice("q_words", 1, F.greatest(F.lit(0), F.size("q_words") - 2)), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
@@ -47,13 +47,13 @@ def text_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         F.regexp_count("q_text", F.lit(r"[0-9]")).cast("long").alias("q_n_digits"),
         F.regexp_count("q_text", F.lit(r"[!?]")).cast("long").alias("q_n_bangs"),
     )
-    df = df.select(*docs.columns, F.explode(F.array(counts)).alias("q_counts")).select(*docs.columns, "q_counts.*")
+    df = df.select("q_row", F.explode(F.array(counts)).alias("q_counts")).select("q_row", "q_counts.*")
 
     def share(a: str, b: str) -> Column:
         return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
 
     return df.select(
-        *docs.columns,
+        "q_row",
         *BASE_COUNTS,
         F.col("n_words").cast("double").alias("q_n_words"),
         share("word_chars", "n_words").alias("q_mean_word"),
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", max
     picked = known.filter(F.pmod(F.xxhash64(id_column, F.lit("labelled")), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else known
     chosen = picked.groupBy(F.col(id_column).alias("q_id")).agg(F.min(label_column).alias("q_label"))
     rows = docs.select(F.col(id_column).alias("q_id"), F.col(text_column).alias("q_raw")).join(F.broadcast(chosen), "q_id")
-    stats = text_statistics(rows, "q_raw").filter(~base_failed()).select("q_label", F.pmod(F.xxhash64("q_id", F.lit("fold")), F.lit(3)).alias("q_fold"), *(f"q_{f}" for f in FEATURES))
+    stats = text_statistics(rows, "q_raw").filter(~base_failed()).select("q_row.q_label", F.pmod(F.xxhash64("q_row.q_id", F.lit("fold")), F.lit(3)).alias("q_fold"), *(f"q_{f}" for f in FEATURES))
     scratch = Scratch(spark, "quality")
     stats = scratch.table(stats, "statistics")
     marks = [0.0, *(i / max_cuts for i in range(1, max_cuts)), 1.0]
@@ -219,6 +219,15 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", max
 def judge(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
     """The rows with base counts, base_failed, the number of the rule that rejects (or null) and kept. No shuffle, no Python.
 
-    Null and empty texts have no words, so they fail the base rules. Equal texts have equal verdicts.
+    Null and empty texts have no words, so they fail the base rules. Equal texts have equal verdicts. Columns of the rows that are named like
+    a new one give way to it.
     """
-    return text_statistics(docs, text_column).select(*docs.columns, *BASE_COUNTS, base_failed().alias("base_failed"), rules.rule().alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    judged = text_statistics(docs, text_column).select("q_row", *BASE_COUNTS, base_failed().alias("base_failed"), rules.rule().alias("rule"))
+    new = [*BASE_COUNTS, "base_failed", "rule"]
+    return judged.select(*(F.col(f"q_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in (*new, "kept")), *new, (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))
+
+
+def keep(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
+    """The rows that the base rules and the learned ones keep, with their own columns only."""
+    judged = text_statistics(docs, text_column).filter(~base_failed() & rules.rule().isNull())
+    return judged.select(*(F.col(f"q_row.`{c}`").alias(c) for c in docs.columns))

@@ -59,7 +59,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.source_mixing import mix
 
-    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "source", "mix_copy", "mix_key", F.length("text").cast("long").alias("n_chars"))
+    rows = documents(spark, sf_dir).select("doc_id", "source", "text", F.length("text").cast("long").alias("chars"))
+    return mix(rows, size=F.coalesce("chars", F.lit(0))).select("doc_id", "source", "mix_copy", "mix_key", "chars", F.md5("text").alias("text_md5"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,24 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(documents(spark, sf_dir)).drop("key")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm import license_scan as L
+
+    return L.scan(documents(spark, sf_dir), L.notices(spark))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all evidence; documents with their text and, as host, their source."""
+    from assayer.llm import language_id as G
+
+    docs = documents(spark, sf_dir)
+    langs, table = G.train(docs)
+    pages = G.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), langs, table, "page_id", "html", "url", markup=True)
+    texts = G.identify(docs, langs, table, "doc_id", "text", "source")
+    nothing = F.lit(None).cast("long")
+    return pages.select(nothing.alias("doc_id"), F.col("id").alias("page_id"), *pages.columns[1:]).unionByName(texts.select(F.col("id").alias("doc_id"), nothing.alias("page_id"), *texts.columns[1:]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
@@ -93,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
+    "op9_license_scan": op9_license_scan,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, Any] = {}

@@ -101,20 +101,21 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     Rows whose text is null or has no secret are unchanged. Findings meet rows by blob, so equal texts are scanned once.
     """
-    mark, hit = "__blob", "__spans"
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.table(scan_unseen(docs, None, RULE_VERSION, id_column, text_column), "ledger").filter(F.size("spans") > 0).select(F.col("blob").alias(mark), F.col("spans").alias(hit))
-    joined = docs.withColumn(mark, blob_column(text_column)).join(found, mark, "left")
+    found = scratch.table(scan_unseen(docs, None, RULE_VERSION, id_column, text_column), "ledger").filter(F.size("spans") > 0).select("blob", "spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_column(text_column).alias("blob"))
+    joined, text = rows.join(found, "blob", "left"), F.col(f"row.`{text_column}`")
     step = F.aggregate(
-        hit,
+        "spans",
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["done"], F.substring(F.col(text_column), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["done"]).alias("done"),
+            F.when(s["start"] >= a["at"], F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["done"]).alias("done"),
             F.greatest(a["at"], s["end"]).alias("at"),
         ),
-        lambda a: F.concat(a["done"], F.substring(F.col(text_column), (a["at"] + 1).cast("int"), F.length(F.col(text_column)))),
+        lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    return joined.withColumn(text_column, F.when(F.col(hit).isNull(), F.col(text_column)).otherwise(step)).drop(mark, hit).select(*docs.columns)
+    clean = F.when(F.col("spans").isNull(), text).otherwise(step)
+    return joined.select(*((clean if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(text: str) -> str:

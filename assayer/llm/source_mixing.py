@@ -59,15 +59,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     table, rate = source_rates(docs, weights, temperature, epochs, source_column, size), F.col("rate")
     parts = F.ceil(rate / CHUNK).cast("int")
     table = table.filter(rate > 0).select(F.col("source").alias("mix_source"), parts.alias("mix_parts"), (rate / parts).alias("mix_mean")).withColumn("mix_table", poisson_table(F.col("mix_mean"))).drop("mix_mean")
-    rows = docs.join(table, F.col(source_column).eqNullSafe(F.col("mix_source")))
+    name = F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), F.col(id_column).alias("mix_id"), F.col(source_column).alias("mix_of"))
+    rows = rows.join(table, F.col("mix_of").eqNullSafe(F.col("mix_source")))
 
-    def draw(k: Column) -> Column:
-        u = F.col("mix_u") if k is None else uniform(F.lit(seed), F.col(id_column), k)
+    def draw(u: Column) -> Column:
         return F.size(F.filter("mix_table", lambda c: c < u))
 
-    rows = rows.withColumn("mix_u", uniform(F.lit(seed), F.col(id_column), F.lit(1)))
-    count = F.when(F.col("mix_parts") == 1, draw(None)).otherwise(F.aggregate(F.transform(F.sequence(F.lit(1), F.col("mix_parts")), draw), F.lit(0), lambda a, x: a + x))
-    rows = rows.withColumn("mix_count", count).filter("mix_count > 0").drop("mix_source", "mix_parts", "mix_table", "mix_u")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count")))).drop("mix_count")
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit("order"), F.col("mix_copy").cast("string"))))
-    return rows.orderBy("mix_key", "mix_copy") if shuffle else rows
+    rows = rows.withColumn("mix_u", uniform(F.lit(seed), F.col("mix_id"), F.lit(1)))
+    several = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda k: draw(uniform(F.lit(seed), F.col("mix_id"), k))), F.lit(0), lambda a, x: a + x)
+    count = F.when(F.col("mix_parts") == 1, draw(F.col("mix_u"))).otherwise(several)
+    rows = rows.withColumn("mix_count", count).filter("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), name, F.lit("order"), F.col("mix_copy").cast("string"))))
+    out = rows.select(*(F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")), "mix_copy", "mix_key")
+    return out.orderBy("mix_key", "mix_copy") if shuffle else out
