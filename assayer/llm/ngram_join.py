@@ -11,6 +11,7 @@ different places both looked at all that the one that stopped first did, and tha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,9 +24,15 @@ from assayer.llm.common import Scratch, mix64, shingles, shuffle_parts, small_ba
 
 WIDTH = 5
 #: Frequencies are counted by the leading bits of shingle hashes: a table of fixed size however large the corpus.
-COUNTER_BITS = 16
-#: Members up to which a signature's pairs are all compared at once; larger groups start with a star.
-SMALL = 12
+COUNTER_BITS = 20
+#: Counters that go through a shuffle as one row.
+COUNTER_BLOCK = 1 << 12
+#: Members of a group that meet in one task; blocks of a larger group meet in pairs.
+BLOCK = 512
+#: Partners of each set in a block that the first rounds compare, nearest by sketch first; the last round compares all that are left.
+NEAREST = (4, 4, None)
+#: Segments for each element of the largest sets of a band, as a power of two. More segments tell frequent shingles apart better.
+FINER = 3
 _U = np.uint64
 _DELETED = 1 << 15
 
@@ -49,27 +56,66 @@ def set_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix64((c[at[1:]] - c[at[:-1]]) + n.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), _U(0))
 
 
+SETS = "kind int, doc_id long, key long, node long, n long, packed binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, row key, set name, size) of each row; kind 1: (counter, count) of the shingles of this partition."""
-    names, counts = ["kind", "doc_id", "key", "node", "n"], np.zeros(1 << COUNTER_BITS, np.int64)
+    """kind 0: (doc_id, row key, set name, size, sketch) of each row; kind 1: (block, ..., counts) of the shingles of this partition."""
+    names, counts = ["kind", "doc_id", "key", "node", "n", "packed"], np.zeros(1 << COUNTER_BITS, np.int32)
     for batch in small_batches(batches):
         tokens, at = shingle_sets(batch.column(2))
         node, n = set_names(tokens, at), np.diff(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(n)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(n), pa.array(sketches(tokens, at), pa.binary())], names)
         _, first = np.unique(node, return_index=True)  # copies in a batch count once
         once = np.zeros(len(n), bool)
         once[first] = True
-        counts += np.bincount((tokens[np.repeat(once, n)] >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
-    hit = np.flatnonzero(counts)
+        counts += np.bincount((tokens[np.repeat(once, n)] >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+    blocks = counts.reshape(-1, COUNTER_BLOCK)
+    hit = np.flatnonzero(blocks.any(axis=1))
     zero = pa.array(np.zeros(len(hit), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, zero, pa.array(counts[hit])], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, zero, zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each block in this partition, as what stands out of the usual count."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
+    out = []
+    for block, counts in total.items():
+        usual = np.median(counts)
+        out.append((block, np.maximum(counts - usual - 3 * np.sqrt(usual), 0).astype(np.float32).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["block", "excess"])
+
+
+def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set, its elements counted by leading bits of another hash, in n to 2 n counters of one byte. Two sets differ in at least
+    the sum of the differences of their counters. Empty where a counter would overflow."""
+    other, n, out = mix64(tokens ^ _U(0x2545F4914F6CDD1D)), np.diff(at), []
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    for a, b, k in zip(at.tolist(), at[1:].tolist(), bits.tolist()):
+        c = np.bincount((other[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k)
+        out.append(c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"")
+    return out
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """False only if the sketches show that sets of n and m elements differ too much."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.abs(x - y.reshape(len(x), -1).sum(axis=1)).sum()) <= (n + m) // 7
 
 
 class Allocation:
     """The order of the segments of each band and their weights, from the counters."""
 
-    def __init__(self, counters: np.ndarray):
-        self.squares, self.held = np.asarray(counters, np.float64) ** 2, {}
+    def __init__(self, excess: np.ndarray):
+        """excess: by how much each counter stands out; only that can be a shingle that many documents share."""
+        self.squares, self.held = np.asarray(excess, np.float64) ** 2, {}
 
     def band(self, level: int) -> tuple[np.ndarray, int]:
         """Rank of each of the band's segments, cheapest first; ranks below the second value have weight 2."""
@@ -77,8 +123,7 @@ class Allocation:
             m = 1 << level
             cost = self.squares.reshape(m, -1).sum(axis=1) if level <= COUNTER_BITS else np.repeat(self.squares, m >> COUNTER_BITS)
             shuffled = mix64(np.arange(m, dtype=np.uint64) + _U(1))
-            # costs within a few hundredths of each other don't matter: a random order spreads the signatures
-            order = np.lexsort((shuffled, np.round(np.log1p(cost) * 20)))
+            order = np.lexsort((shuffled, cost))  # a random order of equal costs spreads the signatures
             rank = np.empty(m, np.int64)
             rank[order] = np.arange(m)
             self.held[level] = (rank, m // 4)
@@ -86,8 +131,8 @@ class Allocation:
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    """The smallest level with at least n segments."""
-    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+    """The smallest level with at least 2**FINER * n segments."""
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + FINER
 
 
 def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +143,7 @@ def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tu
     for own in (True, False):
         level = band_of(n) if own else band_of(reach)
         some = n > 0 if own else (n > 0) & (level != band_of(n))
-        most = (n + np.minimum(reach, np.left_shift(1, level))) // 7 + 1  # weight that is needed
+        most = (n + np.minimum(reach, np.left_shift(1, level - FINER))) // 7 + 1  # weight that is needed
         for v in np.unique(level[some]).tolist():
             docs = np.flatnonzero(some & (level == v))
             size = n[docs]
@@ -141,10 +186,10 @@ def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tu
 BLOB = "bucket int, nodes binary, sizes binary, high binary, low binary, owner binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch], counters: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Signatures of this partition's distinct sets, packed by bucket: names and sizes of the sets, and 48 bits of hash and a set number for each signature."""
-    allocation, names = Allocation(counters), ["bucket", "nodes", "sizes", "high", "low", "owner"]
-    for batch in small_batches(batches, most=8 << 20):
+    allocation, names = Allocation(excess), ["bucket", "nodes", "sizes", "high", "low", "owner"]
+    for batch in small_batches(batches):
         for rows in (batch.slice(i, _DELETED - 1) for i in range(0, batch.num_rows, _DELETED - 1)):
             tokens, at = shingle_sets(rows.column(0))
             node, n = set_names(tokens, at), np.diff(at)
@@ -165,15 +210,14 @@ def _sign(batches: Iterator[pa.RecordBatch], counters: np.ndarray, buckets: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int32()] + [pa.binary()] * 5)], names)
 
 
-def _fits(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
-
+CANDIDATES = "a long, b long, star boolean"
 
-CANDIDATES = "a long, b long, members binary, sizes binary, deleted binary"
 
+def _bucket_pairs(blobs: list[tuple]) -> pa.RecordBatch:
+    """Distinct pairs of set names to compare: the two of a signature that two sets have, or each set with the hub, where more have it.
 
-def _bucket_pairs(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes, bytes]]]:
-    """Distinct pairs of set names to compare, and the groups that are larger than SMALL."""
+    A signature's hub is the set with the smallest name of those with the subset itself. All sets of a signature are in the group of its hub.
+    """
     nodes, sizes, sig, deleted = [], [], [], []
     for name, size, high, low, owner in blobs:
         at = np.frombuffer(owner, np.uint16).astype(np.int64)
@@ -189,75 +233,80 @@ def _bucket_pairs(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[tupl
     shared[1:] |= twice
     shared[:-1] |= twice
     by = by[shared]
-    by = by[np.lexsort((cut[by], node[by], s[by]))]
-    again = (s[by][1:] == s[by][:-1]) & (node[by][1:] == node[by][:-1])
-    by = by[np.concatenate([[True], ~again])] if len(by) else by  # a set's subset itself goes before its neighbours
+    by = by[np.lexsort((node[by], cut[by], s[by]))]  # subsets themselves first, by name
     node, n, s, cut = node[by], n[by], s[by], cut[by]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(s)))
-    group = np.repeat(np.arange(len(first)), count)
-    small = np.repeat(count <= SMALL, count)
-    left, right = [], []
-    for step in range(1, SMALL):
-        i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step])) if len(s) > step else np.zeros(0, np.int64)
-        i = i[~(cut[i] & cut[i + step]) & _fits(n, i, i + step)]
-        left.append(node[i])
-        right.append(node[i + step])
-    large, seen = [], set()
-    for a, m in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist()):
-        b = a + m
-        members = node[a:b].tobytes() + cut[a:b].tobytes()
-        if members in seen:
-            continue
-        seen.add(members)
-        plain = np.flatnonzero(~cut[a:b]) + a
-        if not len(plain):
-            continue
-        large.append((node[a:b].tobytes(), n[a:b].tobytes(), cut[a:b].tobytes()))
-        hub = plain[0]
-        others = np.arange(a, b)
-        others = others[(others != hub) & _fits(n, np.full(b - a, hub), others)]
-        left.append(np.full(len(others), node[hub]))
-        right.append(node[others])
-    x, y = np.concatenate(left or [np.zeros(0, np.uint64)]), np.concatenate(right or [np.zeros(0, np.uint64)])
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], large
+    hub = np.repeat(first, count)
+    star = np.repeat(count > 2, count)
+    # of two sets only one pair can come; in a larger group, whoever doesn't fit the hub's size may still fit another member
+    keep = (node != node[hub]) & ~cut[hub] & (star | (4 * np.minimum(n, n[hub]) >= 3 * np.maximum(n, n[hub])))
+    rows = np.unique(np.stack([node[hub][keep], node[keep], star[keep].astype(np.uint64)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0]).view(np.int64) if len(rows) else [], pa.int64()), pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64) if len(rows) else [], pa.int64()), pa.array(rows[:, 2] > 0)], ["a", "b", "star"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "members", "sizes", "deleted"]
-
-    def done(blobs: list[tuple]) -> pa.RecordBatch:
-        a, b, large = _bucket_pairs(blobs)
-        none = [None] * len(a)
-        lists = list(zip(*large)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array([*a.view(np.int64).tolist(), *[None] * len(large)], pa.int64()), pa.array([*b.view(np.int64).tolist(), *[None] * len(large)], pa.int64()), *(pa.array([*none, *x], pa.binary()) for x in lists)], names)
-
     held, last = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != last and held:
-                yield done(held)
+                yield _bucket_pairs(held)
                 held = []
             last = row[0]
             held.append(row[1:])
     if held:
-        yield done(held)
+        yield _bucket_pairs(held)
+
+
+def _fold(packed: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width, the smallest of them; sums of neighbouring counters are those of a shorter sketch."""
+    width = min(len(x) for x in packed)
+    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int16) for x in packed])
+
+
+def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
+    """Pairs of a group's two blocks (or within one) that no links connect yet and that may link. rows: (block, node, n, sketch, root)."""
+    block, node, n, packed, root = (np.array(x) if k != 3 else list(x) for k, x in enumerate(zip(*rows)))
+    blind = np.array([not x for x in packed])
+    width = min((len(x) for x in packed if x), default=1)
+    table = _fold([x or bytes(width) for x in packed])
+    low, out = block.min(), []
+    two = bool((block != low).any())
+    for i in np.flatnonzero(block == low).tolist():
+        j = np.flatnonzero(block != low) if two else np.arange(i + 1, len(rows))
+        j = j[(root[j] != root[i]) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i]))]
+        if len(j):
+            apart = np.abs(table[j] - table[i]).sum(axis=1, dtype=np.int64)
+            may = blind[j] | blind[i] | (apart <= (n[j] + n[i]) // 7)
+            j, apart = j[may], apart[may]
+            if nearest is not None and len(j) > nearest:
+                j = j[np.argsort(apart, kind="stable")[:nearest]]
+            out.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
+    found = np.unique(np.sort(np.concatenate(out or [np.zeros((0, 2), np.int64)]), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, low block, high block, block, node, n, sketch, root), sorted by the first three."""
+    held, last = [], None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for key, row in zip(zip(*columns[:3]), zip(*columns[3:])):
+            if key != last and held:
+                yield _block_pairs(held, nearest)
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield _block_pairs(held, nearest)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups of links, within lists (members, sizes, deleted, roots)."""
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their sketches don't rule out."""
     for batch in batches:
-        for name, size, cut, root in zip(*(c.to_pylist() for c in batch.columns)):
-            node, n, cut = np.frombuffer(name, np.int64), np.frombuffer(size, np.int32), np.frombuffer(cut, bool)
-            root = dict(root)
-            root = np.array([root.get(k, k) for k in node.tolist()], np.int64)
-            for i in range(len(node) - 1):
-                j = np.arange(i + 1, len(node))
-                j = j[(root[j] != root[i]) & ~(cut[j] & cut[i]) & _fits(n, np.full(len(j), i), j)]
-                if len(j):
-                    x, y = np.full(len(j), node[i]).view(np.uint64), node[j].view(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
+        n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+        yield batch.select([0, 1]).filter(pa.array([may_link(*z) for z in zip(x, y, n, m)], pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,48 +360,60 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Words are lower-cased (A-Z) and a set holds distinct 5-word shingles; with fewer words the whole sequence is the only one. Two rows
     link when 100 * intersection >= 75 * union. Empty and null texts have no shingle and link with nothing. Equal sets are one node with
-    many rows, so copies cost nothing; ``key`` names a row by its id and text. Of a signature shared by many sets, first each is compared with one of
-    them; pairs of those that are then still in different groups follow, all of them. Where that is none, the step costs nothing.
+    many rows, so copies cost nothing; ``key`` names a row by its id and text. Sets that share a signature with others are first compared
+    with one hub each. Then all pairs of each hub's group that are still in different groups of links are compared, in blocks, by sketches
+    that only rule out what can't link, and what they leave by the texts. So a large group of near copies costs little once its members are
+    linked; a large group that shares signatures but doesn't link costs its sketches' pairs.
     """
     spark = docs.sparkSession
     parts, scratch = shuffle_parts(spark), Scratch(spark, "ngram")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    sets = scratch.table(rows.select("doc_id", "key", "text").mapInArrow(_sets, "kind int, doc_id long, key long, node long, n long"), "sets")
-    counters = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in sets.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():  # at most 2**COUNTER_BITS rows
-        counters[r["doc_id"]] = r["n"]
-    members = sets.filter("kind = 0").drop("kind")
-    blobs = rows.select("text").mapInArrow(partial(_sign, counters=counters, buckets=4 * parts), BLOB)
-    found = scratch.table(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, CANDIDATES), "candidates")
-    pairs = scratch.table(found.filter("a is not null").select("a", "b").distinct(), "pairs")
-
-    nodes = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
+    sets = scratch.table(rows.select("doc_id", "key", "text").mapInArrow(_sets, SETS), "sets")
+    blocks = sets.filter("kind = 1").select(F.col("doc_id").alias("block"), "packed").repartition(parts, "block").mapInArrow(_add_counts, "block long, excess binary")
+    excess = np.zeros(1 << COUNTER_BITS, np.float32)
+    for r in blocks.collect():  # 2**COUNTER_BITS numbers, whatever the corpus
+        excess[r["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(r["excess"], np.float32)
+    members = sets.filter("kind = 0").select("doc_id", "key", "node", "n")
+    blobs = rows.select("text").mapInArrow(partial(_sign, excess=excess, buckets=4 * parts), BLOB)
+    found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, CANDIDATES)
+    found = scratch.table(found.distinct(), "candidates")
+    nodes = sets.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key", "n", "packed")).alias("first"))
+    nodes = scratch.table(nodes.select("node", "first.*").drop("doc_id"), "nodes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("key").alias("at_key"))
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node").select("node", F.col("key").alias("at_key"))
         texts = scratch.table(rows.select("key", "text").join(wanted, F.col("key") == F.col("at_key")).select("node", "text"), f"texts-{name}")
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         out = scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), f"verified-{name}")
         scratch.drop(f"texts-{name}")
         return out
 
-    links = verified(pairs, "first")
+    star = found.filter("star").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    once = star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = found.filter("not star").select("a", "b").unionByName(once)
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (nodes.select(F.col("node").alias(v), F.col("n").alias(f"n_{v}"), F.col("packed").alias(f"s_{v}")) for v in "ab")
+    first = scratch.table(first.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_hopeful, "a long, b long"), "first")
+    links = verified(first, "first")
     roots = connected(links, scratch)
-    large = found.filter("members is not null").groupBy(F.xxhash64("members", "deleted").alias("list")).agg(F.first("members").alias("members"), F.first("sizes").alias("sizes"), F.first("deleted").alias("deleted"))
-    large = scratch.table(large, "large")
-    if not large.isEmpty():
-        each = large.mapInArrow(_unfold, "list long, node long").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_lists = each.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
-        maps = each.join(open_lists, "list").groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("node", "root"))).alias("roots"))
-        rest = large.join(maps, "list").select("members", "sizes", "deleted", "roots").mapInArrow(_across, "a long, b long").distinct()
-        rest = scratch.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, "second"))
-            roots = connected(links, scratch)
+    group = scratch.table(star.unionByName(star.select("hub", F.col("hub").alias("node"))).distinct(), "group")
+    tried = first
+    for k, nearest in enumerate(NEAREST):
+        now = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_hubs = now.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        each = now.join(open_hubs, "hub").join(nodes.select("node", "n", "packed"), "node")
+        each = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "packed", "root")
+        pairs = each.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(partial(_across, nearest=nearest), "a long, b long")
+        rest = scratch.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"rest-{k}")
+        if rest.isEmpty() and nearest is None:
+            break
+        links = links.unionByName(verified(rest, f"rest-{k}"))
+        roots, tried = connected(links, scratch), tried.unionByName(rest)
     named = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.table(named, "named")
     lowest = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
-    for name in ("candidates", "pairs", "large"):
+    for name in ("candidates", "group", "nodes"):
         scratch.drop(name)
     return members.join(lowest, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -368,10 +429,3 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = Scratch(docs.sparkSession, "first").table(first.union(groups.filter("n_shingles = 0").select("key")).distinct(), "kept").select(F.col("key").alias("kept"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
     return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-
-
-def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            node = np.unique(np.frombuffer(members, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), name)), pa.array(node)], ["list", "node"])
