@@ -9,10 +9,25 @@ from assayer.functions.text import first_sentence, strip, summary, themes
 from assayer.functions.values import truthy
 
 MODES = ("local", "global", "multi-hop", "unanswerable")
+#: Wordings of questions and answers; {} is a title. Fixed values.
+LOCAL_QUESTION = "What does the document say about {}?"
+NO_SENTENCE = "This document does not have a clear first sentence."
+GLOBAL_QUESTION = "What are the main themes across the documents?"
+GLOBAL_ANSWER = "The documents describe the main themes covered across the corpus."
+HOP_QUESTION = "How are {} and {} connected?"
+HOP_ANSWER = "They are connected through information that appears in multiple documents."
+METADATA_QUESTION = "What is the exact unpublished metadata of {}?"
+NO_ANSWER = "The documents do not provide enough information to answer this exactly."
 #: Documents that a question over the whole corpus cites.
 GLOBAL_DOCS = 3
 
 
+def _filled(wording: str, *titles: Column) -> Column:
+    """The wording with titles in the places of its braces."""
+    first, *rest = wording.split("{}")
+    return F.concat(F.lit(first), *(x for t, after in zip(titles, rest) for x in (t, F.lit(after))))
+
+
 def first_documents(docs: DataFrame, n: int, order: str = "id") -> DataFrame:
     """The first n documents with their position from 1. A top-k: partitions send n rows each, and only those are numbered."""
     return docs.orderBy(order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(order)))
@@ -25,11 +40,11 @@ def _question(sample_id: Column, question: Column, kind: str, mode: str, answer:
 def local_questions(docs: DataFrame) -> DataFrame:
     """One for each numbered document."""
     text = strip(F.col("text"))
-    answer = truthy(first_sentence(F.col("text")), default="This document does not have a clear first sentence.")
+    answer = truthy(first_sentence(F.col("text")), default=NO_SENTENCE)
     return docs.select(
         *_question(
             F.concat(F.lit("local-"), F.col("pos").cast("string")),
-            F.concat(F.lit("What does the document say about "), F.col("title"), F.lit("?")),
+            _filled(LOCAL_QUESTION, F.col("title")),
             "local", "local", answer, F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>")), F.array("id"), "easy",
         ),
         F.col("pos").cast("long").alias("index"),
@@ -45,7 +60,7 @@ def _few(docs: DataFrame, n: int) -> DataFrame:
 def global_question(docs: DataFrame) -> DataFrame:
     keep = lambda f: F.filter(F.transform("d", lambda x: x[f]), lambda x: x.isNotNull() & (x != ""))
     return _few(docs, GLOBAL_DOCS).select(
-        *_question(F.lit("global-1"), F.lit("What are the main themes across the documents?"), "global", "global", F.lit("The documents describe the main themes covered across the corpus."), keep("text"), keep("id"), "medium"), F.lit(1).cast("long").alias("index")
+        *_question(F.lit("global-1"), F.lit(GLOBAL_QUESTION), "global", "global", F.lit(GLOBAL_ANSWER), keep("text"), keep("id"), "medium"), F.lit(1).cast("long").alias("index")
     )
 
 
@@ -54,7 +69,7 @@ def multi_hop_question(docs: DataFrame) -> DataFrame:
     both = lambda f: F.transform("d", lambda x: F.coalesce(x[f], F.lit("")))
     title = lambda i: F.col("d")[i]["title"]
     return _few(docs, 2).filter(F.size("d") == 2).select(
-        *_question(F.lit("multi-hop-1"), F.concat(F.lit("How are "), title(0), F.lit(" and "), title(1), F.lit(" connected?")), "multi-hop", "global", F.lit("They are connected through information that appears in multiple documents."), both("text"), both("id"), "hard"),
+        *_question(F.lit("multi-hop-1"), _filled(HOP_QUESTION, title(0), title(1)), "multi-hop", "global", F.lit(HOP_ANSWER), both("text"), both("id"), "hard"),
         F.lit(1).cast("long").alias("index"),
     )
 
@@ -62,7 +77,7 @@ def multi_hop_question(docs: DataFrame) -> DataFrame:
 def unanswerable_question(docs: DataFrame) -> DataFrame:
     one = lambda f: F.array(F.coalesce(F.col("d")[0][f], F.lit("")))
     return _few(docs, 1).select(
-        *_question(F.lit("unanswerable-1"), F.concat(F.lit("What is the exact unpublished metadata of "), F.col("d")[0]["title"], F.lit("?")), "unanswerable", "local", F.lit("The documents do not provide enough information to answer this exactly."), one("text"), one("id"), "hard"),
+        *_question(F.lit("unanswerable-1"), _filled(METADATA_QUESTION, F.col("d")[0]["title"]), "unanswerable", "local", F.lit(NO_ANSWER), one("text"), one("id"), "hard"),
         F.lit(1).cast("long").alias("index"),
     )
 
