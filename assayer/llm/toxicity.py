@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Beginnings of longer words are features, too: what makes a word offend may be its stem.
+STEMS = (4, 6)
+
+
+def _features(sentence: str) -> set[str]:
+    """Distinct words of a lower-cased sentence, and their stems."""
+    words = set(_WORD.findall(sentence))
+    stems = {w[:k] + "-" for k in STEMS for w in words if len(w) > k}
+    return words | stems
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -24,15 +33,15 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], max_words: int = 2000, min_docs: int = 4, penalty: float = 0.02, steps: int = 400, rate: float = 0.15) -> tuple[float, dict[str, float]]:
     """Bias and word weights of the sentence model.
 
-    A sentence is offending with probability sigmoid(bias + weights of its distinct words); a document is toxic unless none of its
-    sentences offends, so its log-probability of being clean is minus the sum of their softplus. Words are the ``max_words`` whose
+    A sentence is offending with probability sigmoid(bias + weights of its distinct words and stems); a document is toxic unless none of its
+    sentences offends, so its log-probability of being clean is minus the sum of their softplus. Words and stems are the ``max_words`` whose
     document counts differ most between the labels; equal texts count once. Gradient steps (Adam) on the mean penalised log-loss, from
     the same start, so equal rows give equal weights.
     """
     seen: dict[str, int] = {}
     for t, y in sorted(zip(texts, labels)):
         seen[t] = max(y, seen.get(t, 0))
-    bags = [[set(_WORD.findall(s)) for s in _SENTENCE.findall(t.lower())] for t in seen]
+    bags = [[_features(s) for s in _SENTENCE.findall(t.lower())] for t in seen]
     y = np.array(list(seen.values()), float)
     if not len(y) or not y.any() or y.all():
         return (-20.0 if not y.any() else 20.0), {}
@@ -100,7 +109,7 @@ def locate(text: str, bias: float, weights: dict[str, float]) -> tuple[float, li
         lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     rest = 0
     for m in _SENTENCE.finditer(lower):
-        words = weights.keys() & set(_WORD.findall(m.group()))
+        words = weights.keys() & _features(m.group())
         if not words:
             rest += 1
             continue
