@@ -29,8 +29,8 @@ COUNTER_BITS = 20
 COUNTER_BLOCK = 1 << 12
 #: Members of a group that meet in one task; blocks of a larger group meet in pairs.
 BLOCK = 512
-#: Partners of each set in a block that the first rounds compare, nearest by sketch first; the last round compares all that are left.
-NEAREST = (4, 4, None)
+#: Partners of each set in a block that the first round compares, nearest by sketch first; the last round compares all that are left.
+NEAREST = (4, None)
 #: Segments for each element of the largest sets of a band, as a power of two. More segments tell frequent shingles apart better.
 FINER = 3
 _U = np.uint64
@@ -90,24 +90,27 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """For each set, its elements counted by leading bits of another hash, in n to 2 n counters of one byte. Two sets differ in at least
-    the sum of the differences of their counters. Empty where a counter would overflow."""
+    """For each set, its elements counted by leading bits of another hash, up to 3, in n to 2 n counters of two bits. Two sets differ in at
+    least the sum of the differences of their counters."""
     other, n, out = mix64(tokens ^ _U(0x2545F4914F6CDD1D)), np.diff(at), []
     bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     for a, b, k in zip(at.tolist(), at[1:].tolist(), bits.tolist()):
-        c = np.bincount((other[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k)
-        out.append(c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"")
+        c = np.minimum(np.bincount((other[a:b] >> _U(64 - k)).astype(np.int64), minlength=1 << k), 3).astype(np.uint8).reshape(-1, 4)
+        out.append((c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes())
     return out
 
 
+def _counters(packed: bytes, width: int | None = None) -> np.ndarray:
+    """A sketch's counters; of a shorter sketch of the same set, if wanted: neighbours are added, and 3 stays the most."""
+    x = np.frombuffer(packed, np.uint8)
+    x = np.stack([x >> k & 3 for k in (0, 2, 4, 6)], axis=1).ravel()
+    return x if width is None or width == len(x) else np.minimum(x.reshape(width, -1).sum(axis=1), 3).astype(np.uint8)
+
+
 def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
     """False only if the sketches show that sets of n and m elements differ too much."""
-    if not a or not b:
-        return True
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    if len(x) > len(y):
-        x, y = y, x
-    return int(np.abs(x - y.reshape(len(x), -1).sum(axis=1)).sum()) <= (n + m) // 7
+    width = 4 * min(len(a), len(b))
+    return int(np.abs(_counters(a, width).astype(np.int16) - _counters(b, width)).sum()) <= (n + m) // 7
 
 
 class Allocation:
@@ -259,18 +262,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _bucket_pairs(held)
 
 
-def _fold(packed: list[bytes]) -> np.ndarray:
-    """Sketches as rows of one width, the smallest of them; sums of neighbouring counters are those of a shorter sketch."""
-    width = min(len(x) for x in packed)
-    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int16) for x in packed])
-
-
 def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
     """Pairs of a group's two blocks (or within one) that no links connect yet and that may link. rows: (block, node, n, sketch, root)."""
     block, node, n, packed, root = (np.array(x) if k != 3 else list(x) for k, x in enumerate(zip(*rows)))
-    blind = np.array([not x for x in packed])
-    width = min((len(x) for x in packed if x), default=1)
-    table = _fold([x or bytes(width) for x in packed])
+    width = 4 * min(map(len, packed))
+    table = np.stack([_counters(x, width) for x in packed]).astype(np.int8)
     low, out = block.min(), []
     two = bool((block != low).any())
     for i in np.flatnonzero(block == low).tolist():
@@ -278,7 +274,7 @@ def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
         j = j[(root[j] != root[i]) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i]))]
         if len(j):
             apart = np.abs(table[j] - table[i]).sum(axis=1, dtype=np.int64)
-            may = blind[j] | blind[i] | (apart <= (n[j] + n[i]) // 7)
+            may = apart <= (n[j] + n[i]) // 7
             j, apart = j[may], apart[may]
             if nearest is not None and len(j) > nearest:
                 j = j[np.argsort(apart, kind="stable")[:nearest]]
