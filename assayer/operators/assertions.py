@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.values import truthy
+from assayer.sources.tables import exists
 
 
 def assertion_rows(questions: DataFrame) -> DataFrame:
@@ -51,3 +52,17 @@ def criteria_scores(answers: DataFrame, references: DataFrame, criteria: list[st
 def question_kind(mode):
     """Which kind of assertions a mode's questions take."""
     return F.when(mode == "global", "global").when(mode == "multi-hop", "linked").otherwise("local")
+
+
+#: Files of an assertion run, each of which may be missing, and what their contents are called. Fixed values.
+PREPARED = {"assertions": "questions", "assertions_stats": "stats", "assertion_sources": "sources", "map_assertions": "map_questions", "map_assertions_stats": "map_stats"}
+
+
+def prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, payload): the parts of an assertion run that are there, each as one JSON text."""
+    found = [(part, f"{folder.rstrip('/')}/{name}.json") for name, part in PREPARED.items()]
+    rows = [spark.read.text(path, wholetext=True).select(F.lit(part).alias("part"), F.to_json(F.parse_json("value")).alias("payload")) for part, path in found if exists(spark, path)]
+    out = spark.createDataFrame([], "part string, payload string")
+    for r in rows:
+        out = out.unionByName(r)
+    return out

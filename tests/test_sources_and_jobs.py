@@ -192,6 +192,20 @@ def test_commands(spark, tmp_path, capsys):
     assert "<h2>main</h2>" in (tmp_path / "p.html").read_text()
 
 
+def test_prompts_and_prepared_parts(spark, tmp_path):
+    from assayer.functions import prompts
+    from assayer.operators.assertions import prepared
+
+    o = tables.Ontology(("Person",), {"a": 1, "b": ["x"]})
+    role = prompts.relation_role(o)
+    assert all(f"- {r}" in role for r in prompts.RELATIONS) and "- Person" in role and '- b:\n  [' in role and "- none" in prompts.entity_role(None)
+    assert prompts.with_role("# Top\n## System Role\nold\n### User Role\nask\n", "new") == "# Top\n## System Role\nnew\n\n### User Role\nask\n"
+    assert prompts.with_role("ask", "new") == "### System Role\nnew\n\nask" and prompts.with_role("System role\nold\nTask\nx", "n") == "System role\nn\n\nTask\nx\n"
+    put(tmp_path, "assertions.json", '[{"q": 1}]')
+    put(tmp_path, "map_assertions_stats.json", "{}")
+    assert sorted(tuple(r) for r in prepared(spark, str(tmp_path)).collect()) == [("map_stats", "{}"), ("questions", '[{"q":1}]')]
+
+
 def test_reports():
     assert report.shown(1.0) == "1" and report.shown(0.25) == "0.25" and report.shown(None) == ""
     assert "nothing can be said" in report.interpretation({}, 0)[0] and len(report.interpretation({"a": 1.0, "b": 0.5}, 9)) == 3
