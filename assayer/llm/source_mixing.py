@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import Scratch
+
 #: A Poisson mean up to this is inverted in one go; exp(-mean) of a larger one would lose its precision.
 CHUNK = 200.0
 #: Uniform numbers are multiples of 2**-UNIFORM_BITS, exact in a double.
 UNIFORM_BITS = 52
+#: Sources up to which their rates, some hundred numbers each, go to every executor; more are joined by a shuffle.
+BROADCAST_SOURCES = 2000
 
 
 def uniform(*parts: Column) -> Column:
@@ -53,12 +57,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
 
     The number is the inverse of the distribution at a uniform number seeded by (seed, id); means over CHUNK are sums of several. Rows with
     the same id come equally often. Adds mix_copy (from 1) and mix_key; rows are ordered by (mix_key, mix_copy), where mix_key is the MD5 of
-    (seed, id, copy), so the order is the same whatever the partitions. Sources are few next to their rows and hold no text, so Spark
-    may broadcast their rates; where it can't, it splits the hot source's rows in the join.
+    (seed, id, copy), so the order is the same whatever the partitions. Rates are written first and counted: up to BROADCAST_SOURCES of them go
+    to every executor, so texts are shuffled once only; more are joined by a shuffle, in which Spark splits a hot source's rows.
     """
     table, rate = source_rates(docs, weights, temperature, epochs, source_column, size), F.col("rate")
     parts = F.ceil(rate / CHUNK).cast("int")
     table = table.filter(rate > 0).select(F.col("source").alias("mix_source"), parts.alias("mix_parts"), (rate / parts).alias("mix_mean")).withColumn("mix_table", poisson_table(F.col("mix_mean"))).drop("mix_mean")
+    table = Scratch(docs.sparkSession, "mix").table(table, "rates")
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     name = F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), F.col(id_column).alias("mix_id"), F.col(source_column).alias("mix_of"))
     rows = rows.join(table, F.col("mix_of").eqNullSafe(F.col("mix_source")))
