@@ -25,7 +25,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one that is set as checkpoint folder."""
     context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
     held = context._jsc.sc().getCheckpointDir()
