@@ -27,6 +27,16 @@ def test_units_resolve_by_key_then_by_prefix(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
 
+def test_nearest_in_blocks_is_nearest_at_once(spark, monkeypatch):
+    rows = spark.range(200).select(F.col("id").alias("row_id"), F.transform(F.array(*map(F.lit, range(8))), lambda i: F.sin(F.col("id") * (i + 1))).alias("vector"))
+    asked = rows.filter("row_id % 10 = 0").withColumnRenamed("row_id", "query_id")
+    whole = sorted(map(tuple, joins.nearest(asked, rows, 5).collect()))
+    monkeypatch.setattr(joins, "QUERIES_AT_ONCE", 3)
+    blocks = joins.nearest(asked, rows, 5)
+    assert sorted(map(tuple, blocks.collect())) == whole and len(whole) == 100
+    assert "NestedLoop" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(6)], "row_id long, vector array<double>")
     got = joins.nearest(spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>"), rows, 3, normalised=False).orderBy("rank").collect()
