@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import Scratch, mix64, powers, prefix_hash, shuffle_parts, small_batches, text_buffer
 
-GRAM = 16
+GRAM = 24
 #: Bytes that the multikey quicksort looks at before blind tries take over; a multiple of 8.
 SHALLOW = 24
 #: Different segments of one anchor that one task sorts; more are dealt to several tasks, whose windows meet by digest.
@@ -231,9 +231,10 @@ def repeated_starts(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
     parts = shuffle_parts(docs.sparkSession)
     found = scratch.table(docs.mapInArrow(partial(_segment_rows, length=length), "anchor long, seg long, key long, start long, n int"), "segments")
     kinds = found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at"))
-    kinds = scratch.table(kinds.select("anchor", "seg", "times", "at.*"), "kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).filter("segs > 1")
-    wanted = kinds.join(several, "anchor").withColumn("chunks", F.ceil(F.col("segs") / GROUP)).withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")))
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"))
+    kinds = kinds.join(several, "anchor").filter("times > 1 or segs > 1").select("anchor", "seg", "times", "segs", "at.*")
+    kinds = scratch.table(kinds, "kinds")  # without the segments that nothing else can be like
+    wanted = kinds.filter("segs > 1").withColumn("chunks", F.ceil(F.col("segs") / GROUP)).withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")))
     by_text = wanted.groupBy(F.col("key").alias("at_key")).agg(F.collect_list(F.struct("anchor", "chunk", "seg", "chunks", "start", "n")).alias("wanted"))
     cut = docs.join(by_text, F.col("key") == F.col("at_key")).select("text", "wanted").mapInArrow(partial(_cut_segments, length=length), "anchor long, chunk long, seg long, chunks long, bytes binary").filter("bytes is not null")
     dealt = cut.repartition(parts, "anchor", "chunk").sortWithinPartitions("anchor", "chunk", "seg")
