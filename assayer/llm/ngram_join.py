@@ -11,6 +11,7 @@ different places both looked at all that the one that stopped first did, and tha
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -330,17 +331,17 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round, every node goes to the smallest of itself and its neighbours; links are renamed and those within a node go.
     """
-    left, steps, k = scratch.table(links.select("a", "b").filter("a <> b").distinct(), f"links-{id(links)}-0"), [], 0
-    names = []
+    own, steps, k, names = uuid.uuid4().hex, [], 0, []
+    left = scratch.table(links.select("a", "b").filter("a <> b").distinct(), f"links-{own}-0")
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"up-{id(links)}-{k}")
+        up = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"up-{own}-{k}")
         steps.append(up)
         x, y = up.select(F.col("node").alias("a"), F.col("root").alias("x")), up.select(F.col("node").alias("b"), F.col("root").alias("y"))
         renamed = left.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-        names.append(f"links-{id(links)}-{k}")
+        names.append(f"links-{own}-{k}")
         k += 1
-        left = scratch.table(renamed, f"links-{id(links)}-{k}")
+        left = scratch.table(renamed, f"links-{own}-{k}")
     for name in names:
         scratch.drop(name)
     if not steps:
@@ -348,7 +349,7 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     roots = steps[0]
     for up in steps[1:]:
         roots = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-    return scratch.table(roots, f"roots-{id(links)}")
+    return scratch.table(roots, f"roots-{own}")
 
 
 def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -397,6 +398,7 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     for k, nearest in enumerate(NEAREST):
         now = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_hubs = now.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        open_hubs = scratch.table(open_hubs, f"open-{k}")  # so that both sides of the join are shuffled for it, and a large group is split
         each = now.join(open_hubs, "hub").join(nodes.select("node", "n", "packed"), "node")
         each = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         each = each.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "packed", "root")
