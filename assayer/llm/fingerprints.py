@@ -190,7 +190,8 @@ def compare_with_next(docs: DataFrame, k: int = 256, width: int = 5, id_column:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     parts = shuffle_parts(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], F.lit(10_000))).head()[0]
+    many = 4 * parts  # several buckets a task even out what hashing deals unevenly
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], F.lit(max(10_000, 10 * many)))).head()[0]
     bounds = np.unique(np.asarray(cuts or [], np.int64))
     lowest = rows.select("doc_id").mapInArrow(partial(_lowest, bounds=bounds), "bucket long, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("first"))
     firsts = sorted((r["bucket"], r["first"]) for r in lowest.collect())
