@@ -120,6 +120,10 @@ SQL: dict[str, str] = {
     "flat_paths": rf"SELECT page_id, array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), '__') AS flat, regexp_extract(p, '^(.*/)?[^/]*$', 1) || {_STEM} || '.txt' AS canonical, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS token FROM (SELECT *, {_PATH} AS p FROM pages)",
     "numbers_formatted": r"SELECT o_orderkey, CASE WHEN abs(o_totalprice::DOUBLE - round(o_totalprice::DOUBLE)) < 1e-9 THEN printf('%.0f', o_totalprice::DOUBLE) ELSE regexp_replace(printf('%.6f', o_totalprice::DOUBLE), '\.?0+$', '') END AS price FROM orders",
     "html_escaped": "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped_md5 FROM pages",
+    "markdown_counters": r"""WITH l AS (SELECT doc_id, trim(unnest(x)) AS t, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+      k AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'h' WHEN i % 7 = 3 THEN 't' WHEN i % 11 = 5 THEN 'f' WHEN starts_with(t, '#') THEN 'h' WHEN regexp_matches(t, '^\|.*\|.*\|$') THEN 't' ELSE '' END AS kind FROM l),
+      c AS (SELECT *, coalesce(sum((kind = 'f')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM k)
+      SELECT doc_id, count(*) FILTER (WHERE kind = 'h' AND NOT code) AS headings, count(*) FILTER (WHERE kind = 't' AND NOT code) AS table_rows FROM c GROUP BY doc_id""",
     "page_concat": r"""SELECT conv_id::VARCHAR AS conv_id, md5(trim(string_agg(trim('[page: ' || turn || ']' || chr(10) || trim(text), chr(10) || ' '), chr(10) || chr(10) ORDER BY turn))) AS text_md5, count(*) AS page_count,
       count(*) FILTER (WHERE trim(text) <> '' AND role = 'user') AS text_pages, count(*) FILTER (WHERE trim(text) <> '' AND role <> 'user') AS ocr_pages FROM conversations GROUP BY conv_id""",
     "duplicate_ids": "SELECT md5(text) AS canonical_path, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -150,6 +154,13 @@ SQL: dict[str, str] = {
       c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY 1),
       s AS (SELECT query_id, label AS row_id, {_DOT.format("q", "v")} / (sqrt({_DOT.format("q", "q")}) * sqrt({_DOT.format("v", "v")})) AS similarity FROM ({_ASKED}) CROSS JOIN c)
       SELECT query_id, row_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) AS rank FROM s) WHERE rank <= 5""",
+    "reference_assessments": f"""WITH e AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+      c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY 1),
+      d AS (SELECT vec_id, embeddings.label, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - v[i]) * (embedding[i]::DOUBLE - v[i]))) AS away FROM embeddings JOIN c ON c.label = embeddings.label),
+      h AS (SELECT label, arg_min(vec_id, away) AS vec_id FROM d GROUP BY 1),
+      s AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY {_DOT.format("q", "v")} / sqrt({_DOT.format("v", "v")}) DESC, label) AS k FROM ({_ASKED}) CROSS JOIN c)
+      SELECT query_id AS question_id, row_id AS unit_id, label AS cluster_id, 'semantic' AS kind FROM ({_KNN}) JOIN embeddings ON vec_id = row_id
+      UNION ALL SELECT query_id, vec_id, s.label, 'centroid' FROM s JOIN h ON h.label = s.label WHERE k <= 5""",
     "retrieval_metrics": _retrieval(_JS),
     "retrieval_metrics_tvd": _retrieval(_TVD),
     "fidelity_js": f"SELECT round({_JS}, 9) AS divergence FROM ({_SHARES})",
