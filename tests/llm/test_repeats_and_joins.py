@@ -125,3 +125,17 @@ def test_join_edges(spark, edge, empty):
     assert kept.columns == edge.columns
     texts = [x["text"] for x in kept.collect()]
     assert len([t for t in texts if t and len(t) > 500 and t == t.lower()]) == len({t for t in texts if t and len(t) > 500 and t == t.lower()})
+
+
+def test_every_start_of_a_long_text_is_in_one_segment(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "_CHUNK", 1500)
+    texts = [prose(1, 900), "ab" * 900, prose(2, 20), "x" * 1499, "y" * 1500, "z" * 1501, prose(3, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    starts: dict[int, list[int]] = {}
+    for out in S._segment_rows(iter([batch]), 200):
+        for key, start, n in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), out.column(4).to_pylist()):
+            starts.setdefault(key, []).extend(range(start, start + n))
+    for key, text in enumerate(texts):
+        assert sorted(starts.get(key, [])) == list(range(max(0, len(text) - 199)))
