@@ -135,8 +135,13 @@ class Allocation:
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    """The smallest level with at least 2**FINER * n segments."""
-    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + FINER
+    """The band of sets of n elements: its largest have 2**band."""
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def level_of(band: np.ndarray) -> np.ndarray:
+    """Segments of a band, as a power of two: 2**FINER for each element, but no more than there are counters, or else one for each element."""
+    return np.maximum(band, np.minimum(band + FINER, COUNTER_BITS))
 
 
 def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +150,10 @@ def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tu
     reach = n * 4 // 3  # the largest partner
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for own in (True, False):
-        level = band_of(n) if own else band_of(reach)
-        some = n > 0 if own else (n > 0) & (level != band_of(n))
-        most = (n + np.minimum(reach, np.left_shift(1, level - FINER))) // 7 + 1  # weight that is needed
+        band = band_of(n if own else reach)
+        level = level_of(band)
+        some = n > 0 if own else (n > 0) & (band != band_of(n))
+        most = (n + np.minimum(reach, np.left_shift(1, band))) // 7 + 1  # weight that is needed
         for v in np.unique(level[some]).tolist():
             docs = np.flatnonzero(some & (level == v))
             size = n[docs]
