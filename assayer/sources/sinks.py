@@ -46,7 +46,10 @@ def documents(path: str, docs: DataFrame) -> None:
 
 
 def text_files(path: str, docs: DataFrame) -> None:
-    """Each document as a file of its own below a folder; partitions write theirs."""
+    """Each document as a file of its own below a folder that all executors mount, for tools that want files; partitions write theirs.
+
+    The engine itself reads and writes tables (see documents), which go to any store.
+    """
 
     def run(rows: Iterator[Any]) -> None:
         import os
