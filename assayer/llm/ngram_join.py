@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Scratch, mix64, shingles, shuffle_parts, small_batches, text_buffer
+from assayer.llm.common import Scratch, mix64, release, shingles, shuffle_parts, small_batches, text_buffer
 
 WIDTH = 5
 #: Frequencies are counted by the leading bits of shingle hashes: a table of fixed size however large the corpus.
@@ -75,6 +75,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hit = np.flatnonzero(blocks.any(axis=1))
     zero = pa.array(np.zeros(len(hit), np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, zero, zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
+    release()
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +219,7 @@ def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int) -
                 local = local.astype(np.uint16) | (owner[x:y] & _DELETED).astype(np.uint16)
                 out.append((b, node[used].tobytes(), n[used].astype(np.int32).tobytes(), (sig[x:y] >> _U(32)).astype(np.uint32).tobytes(), (sig[x:y] >> _U(16)).astype(np.uint16).tobytes(), local.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int32()] + [pa.binary()] * 5)], names)
+        release()
 
 
 CANDIDATES = "a long, b long, star boolean"
@@ -267,6 +269,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(row[1:])
     if held:
         yield _bucket_pairs(held)
+    release()
 
 
 def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
@@ -303,6 +306,7 @@ def _across(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[
             held.append(row)
     if held:
         yield _block_pairs(held, nearest)
+    release()
 
 
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +334,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * shared >= 75 * (len(both) - shared))
             yield rows.select([0, 1]).filter(pa.array(keep))
+    release()
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
