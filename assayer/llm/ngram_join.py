@@ -363,16 +363,8 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(roots, f"roots-{own}")
 
 
-def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) of every row: the size of its set and the smallest id that links lead to, itself included.
-
-    Words are lower-cased (A-Z) and a set holds distinct 5-word shingles; with fewer words the whole sequence is the only one. Two rows
-    link when 100 * intersection >= 75 * union. Empty and null texts have no shingle and link with nothing. Equal sets are one node with
-    many rows, so copies cost nothing; ``key`` names a row by its id and text. Sets that share a signature with others are first compared
-    with one hub each. Then all pairs of each hub's group that are still in different groups of links are compared, in blocks, by sketches
-    that only rule out what can't link, and what they leave by the texts. So a large group of near copies costs little once its members are
-    linked; a large group that shares signatures but doesn't link costs its sketches' pairs.
-    """
+def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """What link_groups gives, and the root: the name of the group itself, as ids may be null or shared. Rows without shingles have none."""
     spark = docs.sparkSession
     parts, scratch = shuffle_parts(spark), Scratch(spark, "ngram")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -421,10 +413,23 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         roots, tried = connected(links, scratch), tried.unionByName(rest)
     named = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.table(named, "named")
-    lowest = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    lowest = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id")
     for name in ("candidates", "group", "nodes"):
         scratch.drop(name)
-    return members.join(lowest, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return members.join(lowest, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, key, n_shingles, component_id) of every row: the size of its set and the smallest id that links lead to, itself included.
+
+    Words are lower-cased (A-Z) and a set holds distinct 5-word shingles; with fewer words the whole sequence is the only one. Two rows
+    link when 100 * intersection >= 75 * union. Empty and null texts have no shingle and link with nothing. Equal sets are one node with
+    many rows, so copies cost nothing; ``key`` names a row by its id and text. Sets that share a signature with others are first compared
+    with one hub each. Then all pairs of each hub's group that are still in different groups of links are compared, in blocks, by sketches
+    that only rule out what can't link, and what they leave by the texts. So a large group of near copies costs little once its members are
+    linked; a large group that shares signatures but doesn't link costs its sketches' pairs.
+    """
+    return _rooted(docs, id_column, text_column).drop("root")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -432,9 +437,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Rows with the same id and the same text count as one row and stay or go together. Columns stay as they are.
     """
-    groups = link_groups(docs, id_column, text_column)
+    groups = _rooted(docs, id_column, text_column)
     key = F.struct("doc_id", "key")
-    first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(key)["key"].alias("key")).select("key")
+    first = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(key)["key"].alias("key")).select("key")
     kept = Scratch(docs.sparkSession, "first").table(first.union(groups.filter("n_shingles = 0").select("key")).distinct(), "kept").select(F.col("key").alias("kept"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
     return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -127,6 +127,13 @@ def test_join_edges(spark, edge, empty):
     assert len([t for t in texts if t and len(t) > 500 and t == t.lower()]) == len({t for t in texts if t and len(t) > 500 and t == t.lower()})
 
 
+def test_unlinked_texts_with_null_or_shared_ids_all_stay(spark):
+    a, b, c, d, e = (prose(70 + i, 60) for i in range(5))
+    data = [(None, a), (None, b), (7, c), (7, d), (8, e), (9, e), (9, d + " more"), (None, e + " more"), (None, "")]
+    kept = N.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["text"] for r in kept)) == sorted([a, b, c, d, e + " more", ""])
+
+
 def test_every_start_of_a_long_text_is_in_one_segment(monkeypatch):
     import pyarrow as pa
 
