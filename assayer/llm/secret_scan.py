@@ -13,20 +13,32 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import Scratch
 
+_EOL = r"(?:\r\n?|\n|\\r\\n|\\n)"  # or as escaped in a string
+_BASE64 = r"[A-Za-z0-9+/=]"
+#: A key from its BEGIN line to its END line, unless another block begins or ends before that. Without END: header lines with a blank line after
+#: them, and whole lines of base64, or long runs of it where a line is cut or shared. Nothing is tried twice, so long texts cost their length.
+_PEM = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rf"|(?:(?:[ \t]*{_EOL}[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*+(?:{_EOL}[ \t]+[^\r\n\\]++)*+)++(?=(?:[ \t]*{_EOL}){{2}}))?"
+    rf"(?:(?:[ \t]*{_EOL})+[ \t]*(?={_BASE64}{{24}}))?"
+    rf"(?:[ \t]*(?:{_EOL}[ \t]*)?{_BASE64}{{24,}}+|[ \t]*{_EOL}[ \t]*{_BASE64}++(?=[ \t]*(?:{_EOL}|\Z))|[ \t]+[A-Za-z0-9+/]*+={{1,2}})*+)"
+)
+
 #: Kinds in the order in which spans with the same start are listed: pattern, characters that the named group (or else the match) needs at
 #: least, and what a text must hold for the pattern to be tried at all.
 RULES: dict[str, tuple[re.Pattern[str], int, tuple[str, ...]]] = {
     "assign": (re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?P<value>[A-Za-z0-9+/_.=-]+)", re.ASCII), 6, ("=", ":")),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 20, ("AKIA",)),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 24, ()),
-    "pem": (re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"), 1, ("PRIVATE KEY-----",)),
+    "pem": (re.compile(_PEM), 1, ("PRIVATE KEY-----",)),
     "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII), 1, (".eyJ",)),
     "bearer": (re.compile(r"\bBearer\x20+(?P<value>[A-Za-z0-9+/_.=-]+)", re.ASCII), 16, ("Bearer",)),
-    "urlcred": (re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:(?P<value>[^\s/:@]{1,128})@", re.ASCII), 3, ("://",)),
+    "urlcred": (re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:(?P<value>[^\s/:@]++)@", re.ASCII), 3, ("://",)),
 }
 BASE = ("assign", "access", "hex")
 #: Changes with RULES: findings of another version don't stand for this one.
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 _KEYWORDS = re.compile(r"pass|secr|token|api", re.ASCII | re.IGNORECASE)
 
