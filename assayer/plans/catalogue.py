@@ -461,9 +461,9 @@ def kmeans_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as questions with their first sentences as assertions; every third rank is missing or 0."""
-    parts = F.slice(F.split("text", r"[.!?]\s+"), 1, 6)
-    rows = F.transform(parts, lambda x, i: F.struct(F.when(i % 4 != 3, x).otherwise("").alias("statement"), F.when(i % 3 == 1, 0).when(i % 3 == 2, F.lit(None)).otherwise(7 - i).cast("int").alias("rank")))
+    """Documents as questions with all their sentences as assertions; of three ranks one is given, from 7 to 1 and again, one is 0, one missing."""
+    parts = F.split("text", r"[.!?]\s+")
+    rows = F.transform(parts, lambda x, i: F.struct(F.when(i % 4 != 3, x).otherwise("").alias("statement"), F.when(i % 3 == 1, 0).when(i % 3 == 2, F.lit(None)).otherwise(7 - i % 7).cast("int").alias("rank")))
     return table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.lit("").alias("question_text"), rows.alias("assertions"))
 
 
