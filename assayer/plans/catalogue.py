@@ -101,8 +101,8 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Several results for some samples: the answer of a document and, at a later place, of the one with twice its id."""
     t = table(spark, d, "documents")
-    first = t.select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("pos"), F.left("text", F.lit(40)).alias("answer"))
-    again = t.filter("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("sample_id"), (F.col("doc_id") + 1_000_000_000).alias("pos"), F.left("text", F.lit(20)).alias("answer"))
+    first = t.select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("pos"), F.col("text").alias("answer"))
+    again = t.filter("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("sample_id"), (F.col("doc_id") + 1_000_000_000).alias("pos"), F.col("text").alias("answer"))
     return first.unionByName(again)
 
 
@@ -545,12 +545,12 @@ def assertion_score_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Word-overlap scores of answers: two neighbouring documents as answer and context of each label."""
+    """Word-overlap scores of answers: two neighbouring documents, whole, as answer and contexts of each label; the first sentence asks."""
     from assayer.model.plane import lexical_scores
 
-    t = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text"))
+    t = table(spark, d, "documents").select("doc_id", "text")
     rows = table(spark, d, "labels").select("doc_id").join(t, "doc_id").join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    return lexical_scores(rows.select(F.col("doc_id").alias("sample_id"), F.left("text", F.lit(60)).alias("question"), F.col("text").alias("answer"), F.left("other", F.lit(120)).alias("reference_answer"), F.array("text", "other").alias("retrieved_contexts"))).withColumn("value", F.round("value", 9))
+    return lexical_scores(rows.select(F.col("doc_id").alias("sample_id"), text.first_sentence(F.col("text")).alias("question"), F.col("text").alias("answer"), F.col("other").alias("reference_answer"), F.array("text", "other").alias("retrieved_contexts"))).withColumn("value", F.round("value", 9))
 
 
 # ---------------------------------------------------------------- runs

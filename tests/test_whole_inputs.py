@@ -48,3 +48,21 @@ def test_all_sentences_are_assertions(spark, folder):
     assert sorted((r["question_id"], r["assertion"], r["trial"]) for r in trials) == sorted((i, x, t) for i in LABELS for _, x in sorted(expected_assertions(i))[:2] for t in (1, 2))
     overall = [r for r in run(spark, folder, "assertion_summary") if r["level"] == "overall"]
     assert [r["n"] for r in overall] == [11 * len(LABELS)]
+
+
+def words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W_]+", text.lower()))
+
+
+def test_answers_and_contexts_are_whole(spark, folder):
+    want = {}
+    for i in (i for i in LABELS if i + 1 in TEXTS):
+        question, answer, reference = words(sentences(i)[0]), words(TEXTS[i]), words(TEXTS[i + 1])
+        part = lambda a, b: len(a & b) / len(a)
+        want[i, "lexical_context_precision"] = sum(part(reference, c) > 0.2 for c in (answer, reference)) / 2
+        want[i, "lexical_context_recall"] = part(reference, answer | reference)
+        want[i, "lexical_faithfulness"] = part(answer, answer | reference)
+        want[i, "lexical_answer_relevancy"] = part(question, answer)
+    got = {(r["sample_id"], r["metric_name"]): r["value"] for r in run(spark, folder, "lexical_metrics")}
+    assert got == pytest.approx(want)
+    assert {r["sample_id"]: r["answer"] for r in run(spark, folder, "strict_lookup_join")} == {i: TEXTS.get(2 * i, TEXTS[i]) for i in LABELS}
