@@ -66,3 +66,14 @@ def test_answers_and_contexts_are_whole(spark, folder):
     got = {(r["sample_id"], r["metric_name"]): r["value"] for r in run(spark, folder, "lexical_metrics")}
     assert got == pytest.approx(want)
     assert {r["sample_id"]: r["answer"] for r in run(spark, folder, "strict_lookup_join")} == {i: TEXTS.get(2 * i, TEXTS[i]) for i in LABELS}
+
+
+def test_answers_of_all_ids_have_their_references(spark, folder):
+    got = [(r["question_id"], r["criteria"], r["trial"], r["answer"], r["reference"]) for r in run(spark, folder, "criteria_by_answer")]
+    assert sorted(got) == sorted((i, c, t, str(toxic), "en") for i, (_, toxic) in LABELS.items() for c in ("correctness", "completeness") for t in (1, 2))
+
+
+def test_questions_come_from_all_documents_and_modes(spark, folder):
+    got = [(r["query_type"], r["sources"]) for r in run(spark, folder, "questions_all")]
+    name = [f"doc-{i:09d}" for i in IDS]
+    assert got == [("local", x) for x in name] + [("global", ",".join(name[:3])), ("multi-hop", ",".join(name[:2])), ("unanswerable", name[0])]
