@@ -55,7 +55,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17, id_column: str = "doc_id", source_column: str = "source", size: Column | None = None, shuffle: bool = True) -> DataFrame:
     """Repeats every row as often as a Poisson number with its source's rate says, and shuffles all rows globally.
 
-    Null and empty texts are rows like others; null ids share one number; a null source is a source. Columns called mix_copy or mix_key give
+    Null and empty texts are rows like others, as long as their source has a size: where ``size`` adds up to 0, as with characters of a source
+    whose texts are all null or empty, weight and rate are 0 and all rows of the source go. Null ids share one number; a null source is a source. Columns called mix_copy or mix_key give
     way to the new ones. An empty table gives none.
 
     The number is the inverse of the distribution at a uniform number seeded by (seed, id); means over CHUNK are sums of several. Rows with

@@ -100,3 +100,10 @@ def test_mixing_edges(spark, edge, empty):
     assert M.mix(empty).count() == 0
     keys = [r["mix_key"] for r in got.collect()]
     assert keys == sorted(keys)
+
+
+def test_a_source_without_characters_goes_only_if_characters_are_its_size(spark):
+    docs = spark.createDataFrame([(i, "text " * 9, "a") for i in range(20)] + [(20 + i, None if i % 2 else "", "b") for i in range(20)], "doc_id long, text string, source string")
+    by_chars = M.mix(docs, size=F.coalesce(F.length("text"), F.lit(0)))
+    assert {r["source"] for r in by_chars.collect()} == {"a"} and {r["source"] for r in M.mix(docs).collect()} == {"a", "b"}
+    assert {r["source"]: r["rate"] for r in M.source_rates(docs, size=F.coalesce(F.length("text"), F.lit(0))).collect()} == {"a": 1.0, "b": 0.0}
