@@ -205,15 +205,13 @@ def truncated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Of the report's first 20 documents."""
-    few = questions.first_documents(_docs(spark, d), 20)
-    return questions.corpus_summary(questions.document_summaries(few)).select("corpus_summary")
+    """Of all documents, whose summaries are held in one text."""
+    return questions.corpus_summary(questions.document_summaries(_docs(spark, d))).select("corpus_summary")
 
 
 @query
 def themes(spark: SparkSession, d: str) -> DataFrame:
-    few = questions.first_documents(_docs(spark, d), 20)
-    return questions.corpus_summary(questions.document_summaries(few)).select(F.explode("themes").alias("theme"))
+    return questions.corpus_summary(questions.document_summaries(_docs(spark, d))).select(F.explode("themes").alias("theme"))
 
 
 @query

@@ -77,3 +77,10 @@ def test_questions_come_from_all_documents_and_modes(spark, folder):
     got = [(r["query_type"], r["sources"]) for r in run(spark, folder, "questions_all")]
     name = [f"doc-{i:09d}" for i in IDS]
     assert got == [("local", x) for x in name] + [("global", ",".join(name[:3])), ("multi-hop", ",".join(name[:2])), ("unanswerable", name[0])]
+
+
+def test_summaries_go_beyond_the_first_twenty_documents(spark, tmp_path):
+    docs = [(i, None if i % 2 else "", "en", "s", 0) for i in range(30)] + [(30, "One here.", "en", "s", 9), (31, "Two here. Three here. Four.", "en", "s", 27)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["corpus_summary"] for r in run(spark, tmp_path, "corpus_summary")] == ["One here. Two here. Three here."]
+    assert [r["theme"] for r in run(spark, tmp_path, "themes")] == ["One here", "Two here", "Three here"]
