@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 _TIDY = "SELECT doc_id, 'quality' AS metric_name, quality::DOUBLE AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic::DOUBLE FROM labels"
-_RESULTS = """SELECT doc_id AS sample_id, doc_id AS pos, left(text, 40) AS answer FROM documents
-  UNION ALL SELECT doc_id // 2, doc_id + 1000000000, left(text, 20) FROM documents WHERE doc_id % 2 = 0"""
+_RESULTS = """SELECT doc_id AS sample_id, doc_id AS pos, text AS answer FROM documents
+  UNION ALL SELECT doc_id // 2, doc_id + 1000000000, text FROM documents WHERE doc_id % 2 = 0"""
 _STEPS = "SELECT user_id AS step, CASE WHEN count(*) FILTER (WHERE event_type = 'error') % 2 = 1 THEN 'failed' ELSE 'passed' END AS status FROM events GROUP BY user_id"
 _BLOCKED = f"""SELECT s.step, arg_min(s.step - o.o, o.o) AS blocker FROM ({_STEPS}) s CROSS JOIN (SELECT unnest([1, 2, 3]) AS o) o
   JOIN ({_STEPS}) f ON f.step = s.step - o.o AND f.status = 'failed' GROUP BY s.step"""
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _SUMMARY = r"list_filter(string_split_regex(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
-_DOCS20 = "(SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 20)"
 
 
 def _stripped(x: str) -> str:
@@ -21,7 +20,7 @@ def _first(x: str, n: int) -> str:
     return f"array_to_string({_SUMMARY.format(_stripped(x))}[1:{n}], ' ')"
 
 
-_CORPUS = f"(SELECT string_agg(s, ' ' ORDER BY doc_id) AS corpus FROM (SELECT doc_id, {_first('text', 2)} AS s FROM {_DOCS20}) WHERE s <> '')"
+_CORPUS = f"(SELECT string_agg(s, ' ' ORDER BY doc_id) AS corpus FROM (SELECT doc_id, {_first('text', 2)} AS s FROM documents) WHERE s <> '')"
 _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 _STEM = r"regexp_replace(regexp_extract(p, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1')"
 _PIECES = r"""
@@ -64,8 +63,8 @@ SELECT round(avg(b), 6) AS binary_precision, round(avg(g), 6) AS graded_precisio
 _JS = "sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)"
 _TVD = "sum(abs(p - q)) / 2"
 _SHARES = "SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM (SELECT label, count(*) AS a, count(*) FILTER (WHERE vec_id % 3 = 0) AS b FROM embeddings GROUP BY 1)"
-_ASSERTIONS = r"""SELECT question_id, a AS assertion, CASE WHEN (i - 1) % 3 = 0 THEN 8 - i ELSE i END AS rank FROM (
-  SELECT doc_id AS question_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[.!?]\s+')[1:6] AS x FROM documents)) WHERE (i - 1) % 4 <> 3 AND a <> ''"""
+_ASSERTIONS = r"""SELECT question_id, a AS assertion, CASE WHEN (i - 1) % 3 = 0 THEN 7 - (i - 1) % 7 ELSE i END AS rank FROM (
+  SELECT doc_id AS question_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[.!?]\s+') AS x FROM documents)) WHERE (i - 1) % 4 <> 3 AND a <> ''"""
 _TOP2 = f"SELECT question_id, assertion, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, assertion) AS k FROM ({_ASSERTIONS})) WHERE k <= 2"
 _NUMBERED = "SELECT doc_id, printf('doc-%09d', doc_id) AS id, 'document ' || doc_id AS title, text, row_number() OVER (ORDER BY doc_id) AS pos FROM documents"
 _FIRST_SENTENCE = rf"{_STRIP.format('string_split_regex(' + _STRIP.format('text') + r", '[.!?]\s+')[1]")}"
@@ -170,17 +169,17 @@ SQL: dict[str, str] = {
     "assertion_trials": f"SELECT question_id, quality::VARCHAR AS answer, assertion, t AS trial FROM ({_TOP2}) JOIN labels ON doc_id = question_id CROSS JOIN (SELECT unnest([1, 2]) AS t)",
     "assertion_summary": f"""SELECT question_id, assertion, CASE WHEN grouping(question_id) = 1 THEN 'overall' WHEN grouping(assertion) = 1 THEN 'question' ELSE 'assertion' END AS level, avg(value) AS mean_value, count(*) AS n
       FROM (SELECT question_id, md5(assertion) AS assertion, CASE WHEN rank <= 3 THEN quality ELSE toxic END AS value FROM ({_ASSERTIONS}) JOIN labels ON doc_id = question_id) GROUP BY GROUPING SETS ((question_id, assertion), (question_id), ())""",
-    "criteria_by_answer": "SELECT doc_id AS question_id, c AS criteria, t AS trial, toxic::VARCHAR AS answer, lang AS reference FROM labels JOIN documents USING (doc_id) CROSS JOIN (SELECT unnest(['correctness', 'completeness']) AS c) CROSS JOIN (SELECT unnest([1, 2]) AS t) WHERE doc_id % 2 = 0",
+    "criteria_by_answer": "SELECT doc_id AS question_id, c AS criteria, t AS trial, toxic::VARCHAR AS answer, lang AS reference FROM labels JOIN documents USING (doc_id) CROSS JOIN (SELECT unnest(['correctness', 'completeness']) AS c) CROSS JOIN (SELECT unnest([1, 2]) AS t)",
     "questions_local": f"SELECT {_Q} FROM ({_LOCAL}) WHERE pos <= 10",
     "questions_global": f"SELECT {_Q} FROM ({_GLOBAL})",
     "questions_multi_hop": f"SELECT {_Q} FROM ({_HOP})",
     "questions_unanswerable": f"SELECT {_Q} FROM ({_NONE})",
-    "questions_all": f"SELECT {_Q} FROM ({_LOCAL}) WHERE pos <= 5 UNION ALL SELECT {_Q} FROM ({_GLOBAL}) UNION ALL SELECT {_Q} FROM ({_HOP}) UNION ALL SELECT {_Q} FROM ({_NONE})",
+    "questions_all": f"SELECT {_Q} FROM ({_LOCAL}) UNION ALL SELECT {_Q} FROM ({_GLOBAL}) UNION ALL SELECT {_Q} FROM ({_HOP}) UNION ALL SELECT {_Q} FROM ({_NONE})",
     "judge_parse": r"""SELECT doc_id, (CASE WHEN doc_id % 12 IN (0, 1, 3, 5, 8) THEN 1.0 ELSE 0.0 END)::DOUBLE AS value,
       ['held', '{"score": 0.7}', 'not there', 'I say 1.', 'it is 0, not 1', 'Yes, clearly', 'No.', 'yes and no', '{"value": "PASS"}', '{"reason": "nothing"}', '', '{"correctness": null, "score": 1}'][(doc_id % 12 + 1)::INT] AS reason FROM documents""",
     "assertion_score_scale": "SELECT doc_id, (CASE WHEN doc_id % 101 > 10 THEN greatest(1, least(10, round((doc_id % 101) / 10.0))) ELSE doc_id % 101 END)::DOUBLE AS score FROM documents",
-    "lexical_metrics": f"""WITH t AS (SELECT doc_id, left(text, 300) AS text FROM documents),
-      r AS (SELECT l.doc_id AS sample_id, {_WORDS.format("left(a.text, 60)")} AS q, {_WORDS.format("a.text")} AS w, {_WORDS.format("left(b.text, 120)")} AS e, {_WORDS.format("b.text")} AS o, {_WORDS.format("a.text || ' ' || b.text")} AS h
+    "lexical_metrics": f"""WITH t AS (SELECT doc_id, text, {_FIRST_SENTENCE} AS first FROM documents),
+      r AS (SELECT l.doc_id AS sample_id, {_WORDS.format("a.first")} AS q, {_WORDS.format("a.text")} AS w, {_WORDS.format("b.text")} AS e, {_WORDS.format("b.text")} AS o, {_WORDS.format("a.text || ' ' || b.text")} AS h
         FROM labels l JOIN t a ON a.doc_id = l.doc_id JOIN t b ON b.doc_id = l.doc_id + 1),
       m AS (SELECT sample_id, (({_part("e", "w")} > 0.2)::INT + ({_part("e", "o")} > 0.2)::INT) / 2.0 AS a, {_part("e", "h")} AS b, {_part("w", "h")} AS c, {_part("q", "w")} AS d FROM r)
       SELECT sample_id, 'lexical_context_precision' AS metric_name, round(a, 9) AS value FROM m UNION ALL SELECT sample_id, 'lexical_context_recall', round(b, 9) FROM m
