@@ -67,6 +67,22 @@ m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM m LEFT JOIN n ON n.doc_id = m.doc_id"""
 
 
+#: Every window of 200 bytes by its hash, and the runs that those found twice cover.
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, b, unnest(range(1, greatest(octet_length(b) - 198, 1))) AS i FROM d),
+w AS (SELECT r, i, md5_number(b[i:i + 199]) AS h FROM p),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+c AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w SEMI JOIN t ON w.h = t.h),
+s AS (SELECT r, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM c),
+x AS (SELECT r, run, min(i) AS a, max(i) + 200 AS z FROM s GROUP BY r, run),
+k AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM x GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, len(a) + 1), lambda j:
+    hex(b[CASE WHEN j = 0 THEN 1 ELSE z[j] END:CASE WHEN j = len(a) THEN octet_length(b) ELSE a[j + 1] - 1 END])), '')) END) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r"""
+
+
 def _licenses() -> str:
     values = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in NOTICES.items())
     words = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -83,6 +99,7 @@ def _licenses() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": _REPEATS,
     "op4_secret_scan": _secrets(),
     "op5_source_mixing": _MIX,
     "op8_ngram_join": _JOIN,

@@ -2,8 +2,13 @@
 
 A window is a string of ``length`` bytes that starts somewhere in a text. Of the grams of ``GRAM`` bytes in a window, the one with the
 smallest hash (the leftmost of equals) is its anchor; equal windows have equal anchors at equal places. Windows that start next to each
-other mostly share the anchor: such a run of starts is a segment. A segment that occurs twice as a whole is repeated at every start. Only
-where one gram anchors several different segments must their windows be compared: these segments' suffixes are sorted.
+other mostly share the anchor: such a run of starts is a segment, named by a digest of its bytes. What shares its anchor with nothing is
+unique. Of all else, one place of each segment and a second one if it has several are sorted: deep-shallow sorting decides about every window.
+
+An anchor that many different segments share, such as one in a common line, is dealt out by more of the windows' own bytes: the places that
+the anchor can have in a window are halved, and all windows of a half have the bytes in common that any of them must hold, the core. Equal
+windows are in the same half and have the same core, so cores are groups like anchors are, again with segments that are named and counted,
+and halved again where a core is common. Once only one place is left the core is the window, so this ends after a few rounds.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from assayer.llm.common import Scratch, mix64, powers, prefix_hash, shuffle_part
 GRAM = 24
 #: Bytes that the multikey quicksort looks at before blind tries take over; a multiple of 8.
 SHALLOW = 24
-#: Different segments of one anchor that one task sorts; more are dealt to several tasks, whose windows meet by digest.
-GROUP = 4096
+#: Different segments of one anchor or core that are sorted together; those of a more common one are dealt out by longer cores.
+TOGETHER = 256
 _PLACE = np.uint64((1 << 22) - 1)
 _CHUNK = 1 << 21  # bytes looked at at a time, below what _PLACE can hold
 
@@ -32,13 +37,13 @@ _CHUNK = 1 << 21  # bytes looked at at a time, below what _PLACE can hold
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, segment hash, text number, first start (in ``data``) and number of starts of each segment of the texts."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    """Anchor hash, text number, first start (in ``data``), number of starts, and distance from the first start to the anchor, of each segment."""
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     n = len(data)
     if n < length:
         return none
     c, inverse = prefix_hash(data), powers(n + 1)[1]
-    grams = mix64((c[GRAM:] - c[:-GRAM]) * inverse[: n - GRAM + 1])
+    grams = mix64((c[GRAM:] - c[:-GRAM]) * inverse[: n - GRAM + 1])  # equal grams must have equal hashes; nothing needs more
     width = length - GRAM + 1
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     padded = np.full(-(-len(keyed) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -59,19 +64,26 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     first = np.flatnonzero(new)
     starts = np.flatnonzero(valid)
     count = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
-    at = anchor[first]
-    end = first + count - 1 + length
-    shape = mix64(count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - first).astype(np.uint64))
-    return grams[at], mix64((c[end] - c[first]) * inverse[first] ^ shape), np.searchsorted(offsets, first, "right") - 1, first, count
+    return grams[anchor[first]], np.searchsorted(offsets, first, "right") - 1, first, count, anchor[first] - first
+
+
+def digests(raw: memoryview, starts: list[int], ends: list[int]) -> np.ndarray:
+    """128-bit digests of slices, as rows of two 64-bit numbers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts, ends)]), "<i8").reshape(-1, 2)
+
+
+#: g1, g2: the anchor, or the digest of a core; n1, n2: the name of the segment; k1, k2: the text.
+SEGMENTS = "g1 long, n1 long, n2 long, k1 long, k2 long, start int, n int, o int"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "seg", "key", "start", "n"]
+    """Segments of texts (k1, k2, text)."""
+    names = ["g1", "n1", "n2", "k1", "k2", "start", "n", "o"]
     for batch in small_batches(batches, most=_CHUNK // 2):
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = text_buffer(batch.column(1))
+        k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, offsets = text_buffer(batch.column(2))
         if len(data) <= _CHUNK:
-            parts = [(data, offsets, 0, np.arange(len(keys)))]
+            parts = [(data, offsets, 0, np.arange(len(k1)))]
         else:  # a text that is longer is looked at in chunks; every start is in one of them
             parts = []
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
@@ -79,10 +91,11 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                     y = min(b, x + _CHUNK - 1)
                     parts.append((data[x:y], np.array([0, y - x]), x - a, np.array([i])))
         for piece, bounds, shift, owner in parts:
-            anchor, seg, text, first, count = segments(piece, bounds, length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(keys[owner[text]]), pa.array(first - bounds[text] + shift), pa.array(count.astype(np.int32))], names
-            )
+            anchor, text, first, count, o = segments(piece, bounds, length)
+            named = digests(memoryview(piece), first.tolist(), (first + count - 1 + length).tolist())
+            place = first - bounds[text] + shift
+            columns = [anchor.view(np.int64), named[:, 0], named[:, 1], k1[owner[text]], k2[owner[text]], *(x.astype(np.int32) for x in (place, count, o))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
 
 
 # ---------------------------------------------------------------- deep-shallow sort
@@ -165,88 +178,164 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, length: int) -> tupl
     return order, np.cumsum(~equal)
 
 
-SORTED = "anchor long, seg long, low long, high long, d1 long, d2 long"
-
-
-def _sort_block(rows: list[tuple], length: int) -> pa.RecordBatch:
-    """rows: (anchor, seg, chunks, bytes), whole groups. Intervals of repeated starts; where the group has more chunks, digests of all windows."""
-    data = np.frombuffer(b"".join(r[3] for r in rows) + b"\0" * 8, np.uint8)
-    sizes = np.array([len(r[3]) for r in rows], np.int64)
-    base, counts = np.cumsum(sizes) - sizes, sizes - length + 1
-    owner = np.repeat(np.arange(len(rows)), counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = base[owner] + within
-    order, classes = deep_shallow_sort(data, starts, length)
-    twice = np.zeros(len(order), bool)
-    same = classes[1:] == classes[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    repeated = np.zeros(len(order), bool)
-    repeated[order] = twice
-    new = repeated.copy()
-    new[1:] &= ~repeated[:-1] | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    hits = np.flatnonzero(repeated)
-    high = hits[np.append(np.searchsorted(hits, first)[1:], len(hits)) - 1] if len(first) else first
-    out = [(rows[o][0], rows[o][1], a, b, None, None) for o, a, b in zip(owner[first].tolist(), within[first].tolist(), within[high].tolist())]
-    split = np.array([r[2] > 1 for r in rows], bool)
-    for i in np.flatnonzero(split[owner]).tolist():
-        o, s = int(owner[i]), int(starts[i])
-        d = hashlib.blake2b(data[s : s + length].tobytes(), digest_size=16).digest()
-        out.append((rows[o][0], rows[o][1], int(within[i]), int(within[i]), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [()] * 6)], ["anchor", "seg", "low", "high", "d1", "d2"])
+#: A segment of a group, or a part of one: its bytes, and for parts where they are from, as the name and place in a segment of a larger group.
+_LONG, _INT = pa.int64(), pa.int32()
+PART = [("g1", _LONG), ("g2", _LONG), ("n1", _LONG), ("n2", _LONG), ("o", _INT), ("lo", _INT), ("hi", _INT), ("bytes", pa.binary()), ("h1", _LONG), ("h2", _LONG), ("m1", _LONG), ("m2", _LONG), ("base", _INT)]
+#: What sorting gives: intervals of repeated starts in a segment; parts of common groups pass through.
+SORTED = [*PART, ("low", _INT), ("high", _INT)]
+
+
+def _ddl(fields: list[tuple[str, pa.DataType]]) -> str:
+    kinds = {_LONG: "long", _INT: "int", pa.binary(): "binary"}
+    return ", ".join(f"{name} {kinds[kind]}" for name, kind in fields)
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def halves(raw: bytes, o: int, lo: int, hi: int, length: int) -> list[tuple]:
+    """(core digest, part's digest, o, lo, hi, bytes, base) of the one or two halves of a segment whose windows have the anchor at lo to hi - 1."""
+    middle, n, out = (lo + hi) // 2, len(raw) - length + 1, []
+    cut = min(n, max(0, o - middle + 1))  # windows before it have the anchor at middle or later
+    for a, b, x, y in ((0, cut, middle, hi), (cut, n, lo, middle)):
+        if a < b:
+            part, core = raw[a : b - 1 + length], raw[o - x : o - (y - 1) + length]
+            digest = hashlib.blake2b(core, digest_size=16, salt=x.to_bytes(4, "big") + y.to_bytes(4, "big")).digest()
+            name = hashlib.blake2b(part, digest_size=16).digest()
+            numbers = (int.from_bytes(d[i : i + 8], "little", signed=True) for d in (digest, name) for i in (0, 8))
+            out.append((*numbers, o - a, x, y, part, a))
+    return out
+
+
+def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PART up to the bytes and whether the group is common: segments of common groups come as their halves."""
+    for batch in small_batches(batches, text="bytes", most=2 << 20):
+        out = []
+        for g1, g2, n1, n2, o, lo, hi, raw, common in zip(*(c.to_pylist() for c in batch.columns)):
+            if common and hi - lo > 1:
+                out += [(*half[:-1], g1, g2, n1, n2, half[-1]) for half in halves(raw, o, lo, hi, length)]
+            else:
+                out.append((g1, g2, n1, n2, o, lo, hi, raw, None, None, None, None, None))
+        yield _batch(out, PART)
+
+
+def _sort_block(rows: list[tuple], length: int) -> list[tuple]:
+    """rows: (g1, g2, n1, n2, bytes), whole groups. Intervals of starts whose windows start elsewhere, too, as rows of SORTED."""
+    rest, out = [], []
+    for row in rows:
+        if rest and rest[-1] == row:  # two places of one segment: equal strings, so every window is repeated
+            out.append((row, 0, len(row[4]) - length))
+        else:
+            rest.append(row)
+    several = [i > 0 and rest[i - 1][:2] == r[:2] or i + 1 < len(rest) and rest[i + 1][:2] == r[:2] for i, r in enumerate(rest)]
+    rest = [r for r, s in zip(rest, several) if s]
+    if rest:
+        data = np.frombuffer(b"".join(r[4] for r in rest) + b"\0" * 8, np.uint8)
+        sizes = np.array([len(r[4]) for r in rest], np.int64)
+        base, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        owner = np.repeat(np.arange(len(rest)), counts)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order, classes = deep_shallow_sort(data, base[owner] + within, length)
+        twice = np.zeros(len(order), bool)
+        same = classes[1:] == classes[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = twice
+        new = repeated.copy()
+        new[1:] &= ~repeated[:-1] | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        hits = np.flatnonzero(repeated)
+        high = hits[np.append(np.searchsorted(hits, first)[1:], len(hits)) - 1] if len(first) else first
+        out += [(rest[k], a, b) for k, a, b in zip(owner[first].tolist(), within[first].tolist(), within[high].tolist())]
+    return [(*row[:4], *([None] * 9), a, b) for row, a, b in out]
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Rows of PART, sorted by group and name. Groups are sorted, some at a time; parts pass through."""
     held, size, last = [], 0, None
     for batch in batches:
-        anchor, chunk, seg, chunks, raw = (batch.column(k).to_pylist() for k in range(5))
-        for row in zip(anchor, chunk, seg, chunks, raw):
+        parts = batch.filter(batch.column(batch.schema.get_field_index("base")).is_valid())
+        if parts.num_rows:
+            nothing = pa.nulls(parts.num_rows, _INT)
+            yield pa.RecordBatch.from_arrays([*parts.columns, nothing, nothing], [name for name, _ in SORTED])
+        whole = batch.filter(batch.column(batch.schema.get_field_index("base")).is_null())
+        for row in zip(*(whole.column(k).to_pylist() for k in (0, 1, 2, 3, 7))):
             if size >= most and row[:2] != last:
-                yield _sort_block(held, length)
+                yield _batch(_sort_block(held, length), SORTED)
                 held, size = [], 0
             last = row[:2]
-            held.append((row[0], row[2], row[3], row[4]))
+            held.append(row)
             size += len(row[4]) - length + 1
     if held:
-        yield _sort_block(held, length)
+        yield _batch(_sort_block(held, length), SORTED)
+
+
+CUT = PART[:8]
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted segments of each text."""
-    names = ["anchor", "chunk", "seg", "chunks", "bytes"]
+    """The bytes of the wanted segments of each text, and whether their anchor is common."""
     for batch in small_batches(batches):
         out = []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             raw = text.as_buffer().to_pybytes()
-            out += [(w["anchor"], w["chunk"], w["seg"], w["chunks"], raw[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, [pa.int64()] * 4 + [pa.binary()])], names)
+            for w in wanted:
+                out.append((w["g1"], 0, w["n1"], w["n2"], w["o"], 0, length - GRAM + 1, raw[w["start"] : w["start"] + w["n"] - 1 + length], int(w["common"])))
+        yield _batch(out, [*CUT, ("common", _INT)])
 
 
 # ---------------------------------------------------------------- the operator
 
 
+def _kinds(places: DataFrame, group: list[str], one: list[str], same: list[str]) -> DataFrame:
+    """Segments that another one is or may be like: their group, name, ``same`` columns, two of their places, and whether the group is common."""
+    name = [*group, "n1", "n2"]
+    found = places.groupBy(*name).agg(
+        F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in same), *(F.first(c).alias(f"first_{c}") for c in one), *(F.last(c).alias(f"last_{c}") for c in one)
+    )
+    # the first and the last row of a name are two places, if it has several; any two will do
+    several = found.groupBy(*group).agg(F.count(F.lit(1)).alias("segs"))
+    return found.join(several, group).filter("times > 1 or segs > 1").withColumn("common", F.col("segs") > TOGETHER).drop("segs")
+
+
+def _two_places(kinds: DataFrame, one: list[str], keep: list[str]) -> DataFrame:
+    sides = [F.struct(*(F.col(f"{side}_{c}").alias(c) for c in one)) for side in ("first", "last")]
+    places = F.when(F.col("times") > 1, F.array(*sides)).otherwise(F.array(sides[0]))
+    return kinds.withColumn("place", F.explode(places)).select(*keep, "place.*")
+
+
 def repeated_starts(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(key, low, high): byte intervals of starts, both ends included, at which a window starts that starts elsewhere, too. docs: (key, text)."""
+    """(k1, k2, low, high): byte intervals of starts, both ends included, at which a window starts that starts elsewhere, too. docs: (k1, k2, text)."""
     parts = shuffle_parts(docs.sparkSession)
-    found = scratch.table(docs.mapInArrow(partial(_segment_rows, length=length), "anchor long, seg long, key long, start long, n int"), "segments")
-    kinds = found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"))
-    kinds = kinds.join(several, "anchor").filter("times > 1 or segs > 1").select("anchor", "seg", "times", "segs", "at.*")
-    kinds = scratch.table(kinds, "kinds")  # without the segments that nothing else can be like
-    wanted = kinds.filter("segs > 1").withColumn("chunks", F.ceil(F.col("segs") / GROUP)).withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")))
-    by_text = wanted.groupBy(F.col("key").alias("at_key")).agg(F.collect_list(F.struct("anchor", "chunk", "seg", "chunks", "start", "n")).alias("wanted"))
-    cut = docs.join(by_text, F.col("key") == F.col("at_key")).select("text", "wanted").mapInArrow(partial(_cut_segments, length=length), "anchor long, chunk long, seg long, chunks long, bytes binary").filter("bytes is not null")
-    dealt = cut.repartition(parts, "anchor", "chunk").sortWithinPartitions("anchor", "chunk", "seg")
-    ordered = scratch.table(dealt.mapInArrow(partial(_sort_groups, length=length), SORTED), "sorted")
-    met = ordered.filter("d1 is not null").groupBy("d1", "d2").agg(F.count_distinct("anchor", "seg", "low").alias("times")).filter("times > 1").drop("times")
-    across = ordered.filter("d1 is not null").join(met, ["d1", "d2"]).select("anchor", "seg", "low", "high")
-    inner = ordered.filter("d1 is null").select("anchor", "seg", "low", "high")
-    whole = kinds.filter("times > 1").select("anchor", "seg", F.lit(0).cast("long").alias("low"), (F.col("n") - 1).cast("long").alias("high"))
-    marks = inner.unionByName(across).unionByName(whole)
-    out = scratch.table(found.join(marks, ["anchor", "seg"]).select("key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")), "starts")
-    for name in ("segments", "kinds", "sorted"):
-        scratch.drop(name)
+    found = scratch.table(docs.mapInArrow(partial(_segment_rows, length=length), SEGMENTS), "segments")
+    kinds = scratch.table(_kinds(found, ["g1"], ["k1", "k2", "start"], ["n", "o"]), "kinds")  # without segments that nothing else can be like
+    wanted = _two_places(kinds, ["k1", "k2", "start"], ["g1", "n1", "n2", "n", "o", "common"])
+    by_text = wanted.groupBy(F.col("k1").alias("at1"), F.col("k2").alias("at2")).agg(F.collect_list(F.struct("g1", "n1", "n2", "start", "n", "o", "common")).alias("wanted"))
+    joined = docs.join(by_text, (F.col("k1") == F.col("at1")) & (F.col("k2") == F.col("at2"))).select("text", "wanted")
+    cut = joined.mapInArrow(partial(_cut_segments, length=length), _ddl([*CUT, ("common", _INT)]))
+    levels: list[DataFrame] = []
+    while True:
+        dealt = cut.mapInArrow(partial(_deal, length=length), _ddl(PART)).repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2", "n1", "n2")
+        levels.append(scratch.table(dealt.mapInArrow(partial(_sort_groups, length=length), _ddl(SORTED)), f"sorted{len(levels)}"))
+        halved = levels[-1].filter("base is not null")
+        if halved.isEmpty():
+            break
+        kinds = _kinds(halved, ["g1", "g2"], ["bytes"], ["o", "lo", "hi"])
+        cut = _two_places(kinds, ["bytes"], ["g1", "g2", "n1", "n2", "o", "lo", "hi", "common"])
+        cut = cut.select("g1", "g2", "n1", "n2", "o", "lo", "hi", "bytes", F.col("common").cast("int").alias("common"))
+    name = ["g1", "g2", "n1", "n2"]
+    marks = levels[-1].filter("low is not null").select(*name, "low", "high")
+    for level in levels[-2::-1]:  # from parts to what they are parts of
+        placed = level.filter("base is not null").select(*name, "h1", "h2", "m1", "m2", "base").join(marks, name)
+        up = placed.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("m1").alias("n1"), F.col("m2").alias("n2"), (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+        marks = level.filter("low is not null").select(*name, "low", "high").unionByName(up)
+    places = found.join(marks.drop("g2"), ["g1", "n1", "n2"])
+    out = scratch.table(places.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")), "starts")
+    for table in ("segments", "kinds", *(f"sorted{k}" for k in range(len(levels)))):
+        scratch.drop(table)
     return out
 
 
@@ -281,14 +370,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, i
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every text without the bytes of ``length``-byte strings that start elsewhere, too.
 
     Texts are UTF-8 bytes, null counts as empty, and strings don't cross texts. Repeated rows are each other's repeats. In ``kept`` a
-    character cut in two shows as U+FFFD; it is null unless ``keep_text``. Anchors, segments and starts are tables in the scratch folder
-    that grow with the input; a common passage is one segment with a count, and the joins back to its places are split where skewed.
+    character cut in two shows as U+FFFD; it is null unless ``keep_text``. An empty table has no rows; other columns of the table, whatever
+    their names, don't matter. Very long texts are looked at in chunks, but held whole, as one row, where bytes are cut out of them.
+    Segments, what is sorted, and starts are tables in the scratch folder that grow with the input. A passage that is copied often is one
+    segment with two places to sort, and the joins back to its places are split where skewed; an anchor that many passages share is dealt
+    out by their bytes. So no group of more than TOGETHER segments meets in a task.
     """
     if length < SHALLOW + 8 or length < GRAM + 1:
         raise ValueError(f"length must be {SHALLOW + 8} at least")
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    starts = repeated_starts(rows.select("key", "text"), length, scratch)
-    by_text = starts.distinct().groupBy(F.col("key").alias("at_key")).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
-    joined = rows.join(by_text, F.col("key") == F.col("at_key"), "left").select("doc_id", "text", "starts")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("k1", F.coalesce("doc_id", F.lit(0))).withColumn("k2", F.xxhash64("doc_id", "text"))  # 128 bits name a row
+    starts = repeated_starts(rows.select("k1", "k2", "text"), length, scratch)
+    by_text = starts.distinct().groupBy(F.col("k1").alias("at1"), F.col("k2").alias("at2")).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
+    joined = rows.join(by_text, (F.col("k1") == F.col("at1")) & (F.col("k2") == F.col("at2")), "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(partial(_remove, length=length, keep=keep_text), f"doc_id long, {RESULT}")

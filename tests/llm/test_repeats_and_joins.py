@@ -41,12 +41,35 @@ def test_repeats_agree_with_brute_force(spark, monkeypatch):
         texts.append(" ".join(parts))
     docs = spark.createDataFrame(rows(texts), SCHEMA)
     want = dict(enumerate(brute_repeats(texts, 200)))
-    for group in (S.GROUP, 2):  # a small limit deals every group to several tasks
-        monkeypatch.setattr(S, "GROUP", group)
+    for together in (S.TOGETHER, 2, 1):  # a small limit deals groups out by ever longer cores
+        monkeypatch.setattr(S, "TOGETHER", together)
         got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in S.remove_repeats(docs).collect()}
         assert got == want
 
 
+def test_one_anchor_in_very_many_different_texts(spark):
+    r = random.Random(6)
+    line, passage = prose(60, 40)[:150], prose(61, 60)[:199]
+    ends = [prose(700 + i, 12) for i in range(40)]
+    texts = [f"{prose(10_000 + i, 9)}{(line, passage)[i % 2]}{r.choice(ends) if i % 5 == 0 else prose(50_000 + i, 9)}" for i in range(20_000)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in S.remove_repeats(docs, keep_text=False).collect()}
+    want = dict(enumerate(brute_repeats(texts, 200)))
+    assert got == want and 0 < sum(x[1] > 0 for x in want.values()) < 20_000
+
+
+def test_halves_share_all_windows_and_their_cores():
+    raw, o = prose(8, 90).encode()[:300], 120  # windows 0 to 100 with the anchor from 120 to 20 bytes after their starts
+    held = []
+    for g1, g2, n1, n2, oo, lo, hi, part, base in S.halves(raw, o, 0, 177, 200):
+        assert part == raw[base : base + len(part)] and oo == o - base
+        held += range(base, base + len(part) - 199)
+        for w in range(len(part) - 199):
+            assert lo <= oo - w < hi and raw[o - lo : o - hi + 201] in part[w : w + 200]
+    assert held == list(range(101))
+    assert [h[5:7] for h in S.halves(raw[:200], 20, 20, 21, 200)] == [(20, 21)]
+
+
 def test_repeats_edges(spark, edge, empty):
     assert S.remove_repeats(empty).count() == 0
     got = S.remove_repeats(edge.select("doc_id", "text", "key")).collect()
@@ -139,10 +162,10 @@ def test_every_start_of_a_long_text_is_in_one_segment(monkeypatch):
 
     monkeypatch.setattr(S, "_CHUNK", 1500)
     texts = [prose(1, 900), "ab" * 900, prose(2, 20), "x" * 1499, "y" * 1500, "z" * 1501, prose(3, 200)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts)], ["k1", "k2", "text"])
     starts: dict[int, list[int]] = {}
     for out in S._segment_rows(iter([batch]), 200):
-        for key, start, n in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), out.column(4).to_pylist()):
+        for key, start, n in zip(*(out.column(out.schema.get_field_index(c)).to_pylist() for c in ("k1", "start", "n"))):
             starts.setdefault(key, []).extend(range(start, start + n))
     for key, text in enumerate(texts):
         assert sorted(starts.get(key, [])) == list(range(max(0, len(text) - 199)))
