@@ -27,8 +27,10 @@ from assayer.llm.common import Scratch, mix64, powers, prefix_hash, shuffle_part
 GRAM = 24
 #: Bytes that the multikey quicksort looks at before blind tries take over; a multiple of 8.
 SHALLOW = 24
+#: Tries of two leaves that are built at once.
+_PAIRS = 1 << 14
 #: Different segments of one anchor or core that are sorted together; those of a more common one are dealt out by longer cores.
-TOGETHER = 256
+TOGETHER = 1024
 _PLACE = np.uint64((1 << 22) - 1)
 _CHUNK = 1 << 21  # bytes looked at at a time, below what _PLACE can hold
 
@@ -164,9 +166,18 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, length: int) -> tupl
         group = np.cumsum(np.concatenate([[0], (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])]))
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(first, len(order)))
-    raw, single = data.tobytes(), sizes == 1
+    raw, large = data.tobytes(), sizes > 2
     equal = np.zeros(len(order), bool)  # the same class as the one before
-    for a, m in zip(first[~single].tolist(), sizes[~single].tolist()):
+    a = first[sizes == 2]  # tries of two leaves: the first byte that differs, of all of them at once
+    for a in (a[i : i + _PAIRS] for i in range(0, len(a), _PAIRS)):
+        rows = np.lib.stride_tricks.sliding_window_view(data, length - SHALLOW)
+        x, y = rows[starts[order[a]] + SHALLOW], rows[starts[order[a + 1]] + SHALLOW]
+        differ = x != y
+        at, each = differ.argmax(axis=1), np.arange(len(a))
+        equal[a + 1] = ~differ[each, at]
+        swap = a[x[each, at] > y[each, at]]
+        order[swap], order[swap + 1] = order[swap + 1], order[swap].copy()
+    for a, m in zip(first[large].tolist(), sizes[large].tolist()):
         trie, own = BlindTrie(length - SHALLOW), order[a : a + m]
         for name, s in zip(own.tolist(), starts[own].tolist()):
             trie.insert(raw[s + SHALLOW : s + length], name)
@@ -178,9 +189,10 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, length: int) -> tupl
     return order, np.cumsum(~equal)
 
 
-#: A segment of a group, or a part of one: its bytes, and for parts where they are from, as the name and place in a segment of a larger group.
+#: A segment of a group, or a part of one: its bytes, a number to deal it by if not by its group, and for parts the name of the segment they are
+#: from (none if that is repeated as a whole) and their place in it.
 _LONG, _INT = pa.int64(), pa.int32()
-PART = [("g1", _LONG), ("g2", _LONG), ("n1", _LONG), ("n2", _LONG), ("o", _INT), ("lo", _INT), ("hi", _INT), ("bytes", pa.binary()), ("h1", _LONG), ("h2", _LONG), ("m1", _LONG), ("m2", _LONG), ("base", _INT)]
+PART = [("g1", _LONG), ("g2", _LONG), ("n1", _LONG), ("n2", _LONG), ("o", _INT), ("lo", _INT), ("hi", _INT), ("bytes", pa.binary()), ("deal", _LONG), ("h1", _LONG), ("h2", _LONG), ("m1", _LONG), ("m2", _LONG), ("base", _INT)]
 #: What sorting gives: intervals of repeated starts in a segment; parts of common groups pass through.
 SORTED = [*PART, ("low", _INT), ("high", _INT)]
 
@@ -210,25 +222,31 @@ def halves(raw: bytes, o: int, lo: int, hi: int, length: int) -> list[tuple]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of PART up to the bytes and whether the group is common: segments of common groups come as their halves."""
+    """Rows of PART up to the bytes, whether the group is common, the number of the place and whether there are two of them.
+
+    Segments of common groups come as their halves, and their two places, to be compared with each other, by themselves.
+    """
     for batch in small_batches(batches, text="bytes", most=2 << 20):
         out = []
-        for g1, g2, n1, n2, o, lo, hi, raw, common in zip(*(c.to_pylist() for c in batch.columns)):
-            if common and hi - lo > 1:
-                out += [(*half[:-1], g1, g2, n1, n2, half[-1]) for half in halves(raw, o, lo, hi, length)]
-            else:
-                out.append((g1, g2, n1, n2, o, lo, hi, raw, None, None, None, None, None))
+        for g1, g2, n1, n2, o, lo, hi, raw, common, place, two in zip(*(c.to_pylist() for c in batch.columns)):
+            common = common and hi - lo > 1
+            if common and not place:
+                owner = (None,) * 4 if two else (g1, g2, n1, n2)
+                out += [(*half[:-1], half[2], *owner, half[-1]) for half in halves(raw, o, lo, hi, length)]
+            if two or not common:
+                out.append((g1, g2, n1, n2, o, lo, hi, raw, n1 if common else 0, None, None, None, None, None))
         yield _batch(out, PART)
 
 
 def _sort_block(rows: list[tuple], length: int) -> list[tuple]:
-    """rows: (g1, g2, n1, n2, bytes), whole groups. Intervals of starts whose windows start elsewhere, too, as rows of SORTED."""
+    """rows: (g1, g2, n1, n2, bytes, deal), whole groups or, where ``deal`` isn't 0, the two places of a segment. Intervals of starts whose windows start elsewhere, too, as rows of SORTED."""
     rest, out = [], []
     for row in rows:
         if rest and rest[-1] == row:  # two places of one segment: equal strings, so every window is repeated
             out.append((row, 0, len(row[4]) - length))
         else:
             rest.append(row)
+    rest = [r for r in rest if not r[5]]
     several = [i > 0 and rest[i - 1][:2] == r[:2] or i + 1 < len(rest) and rest[i + 1][:2] == r[:2] for i, r in enumerate(rest)]
     rest = [r for r, s in zip(rest, several) if s]
     if rest:
@@ -250,7 +268,7 @@ def _sort_block(rows: list[tuple], length: int) -> list[tuple]:
         hits = np.flatnonzero(repeated)
         high = hits[np.append(np.searchsorted(hits, first)[1:], len(hits)) - 1] if len(first) else first
         out += [(rest[k], a, b) for k, a, b in zip(owner[first].tolist(), within[first].tolist(), within[high].tolist())]
-    return [(*row[:4], *([None] * 9), a, b) for row, a, b in out]
+    return [(*row[:4], *([None] * (len(PART) - 4)), a, b) for row, a, b in out]
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -262,7 +280,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, most: int = 100
             nothing = pa.nulls(parts.num_rows, _INT)
             yield pa.RecordBatch.from_arrays([*parts.columns, nothing, nothing], [name for name, _ in SORTED])
         whole = batch.filter(batch.column(batch.schema.get_field_index("base")).is_null())
-        for row in zip(*(whole.column(k).to_pylist() for k in (0, 1, 2, 3, 7))):
+        for row in zip(*(whole.column(k).to_pylist() for k in (0, 1, 2, 3, 7, 8))):
             if size >= most and row[:2] != last:
                 yield _batch(_sort_block(held, length), SORTED)
                 held, size = [], 0
@@ -273,7 +291,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, most: int = 100
         yield _batch(_sort_block(held, length), SORTED)
 
 
-CUT = PART[:8]
+CUT = [*PART[:8], ("common", _INT), ("place", _INT), ("two", _INT)]
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -283,8 +301,8 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             raw = text.as_buffer().to_pybytes()
             for w in wanted:
-                out.append((w["g1"], 0, w["n1"], w["n2"], w["o"], 0, length - GRAM + 1, raw[w["start"] : w["start"] + w["n"] - 1 + length], int(w["common"])))
-        yield _batch(out, [*CUT, ("common", _INT)])
+                out.append((w["g1"], 0, w["n1"], w["n2"], w["o"], 0, length - GRAM + 1, raw[w["start"] : w["start"] + w["n"] - 1 + length], w["common"], w["place"], w["two"]))
+        yield _batch(out, CUT)
 
 
 # ---------------------------------------------------------------- the operator
@@ -298,13 +316,14 @@ def _kinds(places: DataFrame, group: list[str], one: list[str], same: list[str])
     )
     # the first and the last row of a name are two places, if it has several; any two will do
     several = found.groupBy(*group).agg(F.count(F.lit(1)).alias("segs"))
-    return found.join(several, group).filter("times > 1 or segs > 1").withColumn("common", F.col("segs") > TOGETHER).drop("segs")
+    return found.join(several, group).filter("times > 1 or segs > 1").select("*", (F.col("segs") > TOGETHER).cast("int").alias("common"), (F.col("times") > 1).cast("int").alias("two"))
 
 
-def _two_places(kinds: DataFrame, one: list[str], keep: list[str]) -> DataFrame:
+def _places(kinds: DataFrame, one: list[str], keep: list[str]) -> DataFrame:
+    """One or two rows of each kind, with the number of the place."""
     sides = [F.struct(*(F.col(f"{side}_{c}").alias(c) for c in one)) for side in ("first", "last")]
-    places = F.when(F.col("times") > 1, F.array(*sides)).otherwise(F.array(sides[0]))
-    return kinds.withColumn("place", F.explode(places)).select(*keep, "place.*")
+    found = F.when(F.col("two") > 0, F.array(*sides)).otherwise(F.array(sides[0]))
+    return kinds.select("*", F.posexplode(found).alias("place", "at")).select(*keep, "at.*", "common", "place", "two")
 
 
 def repeated_starts(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -312,25 +331,25 @@ def repeated_starts(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
     parts = shuffle_parts(docs.sparkSession)
     found = scratch.table(docs.mapInArrow(partial(_segment_rows, length=length), SEGMENTS), "segments")
     kinds = scratch.table(_kinds(found, ["g1"], ["k1", "k2", "start"], ["n", "o"]), "kinds")  # without segments that nothing else can be like
-    wanted = _two_places(kinds, ["k1", "k2", "start"], ["g1", "n1", "n2", "n", "o", "common"])
-    by_text = wanted.groupBy(F.col("k1").alias("at1"), F.col("k2").alias("at2")).agg(F.collect_list(F.struct("g1", "n1", "n2", "start", "n", "o", "common")).alias("wanted"))
+    wanted = _places(kinds, ["k1", "k2", "start"], ["g1", "n1", "n2", "n", "o"])
+    by_text = wanted.groupBy(F.col("k1").alias("at1"), F.col("k2").alias("at2")).agg(F.collect_list(F.struct("g1", "n1", "n2", "start", "n", "o", "common", "place", "two")).alias("wanted"))
     joined = docs.join(by_text, (F.col("k1") == F.col("at1")) & (F.col("k2") == F.col("at2"))).select("text", "wanted")
-    cut = joined.mapInArrow(partial(_cut_segments, length=length), _ddl([*CUT, ("common", _INT)]))
+    cut = joined.mapInArrow(partial(_cut_segments, length=length), _ddl(CUT))
     levels: list[DataFrame] = []
     while True:
-        dealt = cut.mapInArrow(partial(_deal, length=length), _ddl(PART)).repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2", "n1", "n2")
+        dealt = cut.mapInArrow(partial(_deal, length=length), _ddl(PART)).repartition(parts, "g1", "g2", "deal").sortWithinPartitions("g1", "g2", "n1", "n2")
         levels.append(scratch.table(dealt.mapInArrow(partial(_sort_groups, length=length), _ddl(SORTED)), f"sorted{len(levels)}"))
         halved = levels[-1].filter("base is not null")
         if halved.isEmpty():
             break
         kinds = _kinds(halved, ["g1", "g2"], ["bytes"], ["o", "lo", "hi"])
-        cut = _two_places(kinds, ["bytes"], ["g1", "g2", "n1", "n2", "o", "lo", "hi", "common"])
-        cut = cut.select("g1", "g2", "n1", "n2", "o", "lo", "hi", "bytes", F.col("common").cast("int").alias("common"))
-    name = ["g1", "g2", "n1", "n2"]
+        cut = _places(kinds, ["bytes"], ["g1", "g2", "n1", "n2", "o", "lo", "hi"])
+    name, whose = ["g1", "g2", "n1", "n2"], ["h1", "h2", "m1", "m2"]
     marks = levels[-1].filter("low is not null").select(*name, "low", "high")
     for level in levels[-2::-1]:  # from parts to what they are parts of
-        placed = level.filter("base is not null").select(*name, "h1", "h2", "m1", "m2", "base").join(marks, name)
-        up = placed.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("m1").alias("n1"), F.col("m2").alias("n2"), (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+        by_name = marks.groupBy(*name).agg(F.collect_set(F.struct("low", "high")).alias("marks"))
+        placed = level.filter("h1 is not null").select(*name, *whose, "base").join(by_name, name).withColumn("mark", F.explode("marks"))
+        up = placed.select(*(F.col(h).alias(g) for h, g in zip(whose, name)), (F.col("base") + F.col("mark.low")).alias("low"), (F.col("base") + F.col("mark.high")).alias("high"))
         marks = level.filter("low is not null").select(*name, "low", "high").unionByName(up)
     places = found.join(marks.drop("g2"), ["g1", "n1", "n2"])
     out = scratch.table(places.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")), "starts")
