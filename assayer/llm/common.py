@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import tempfile
 import uuid
@@ -24,13 +25,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one that is set as checkpoint folder."""
+    """The folder of spark.checkpoint.dir. Where that is unset, as in tests, a temporary one on a local master; an error on a cluster, whose
+    executors couldn't see it."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-"))
         held = context._jsc.sc().getCheckpointDir()
     return os.path.dirname(held.get().rstrip("/"))
@@ -142,8 +146,36 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return c
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, in order, and the n + 1 offsets of the texts among them. ``lower`` maps A-Z to a-z."""
+#: Longer words are hashed one by one from where they are.
+_LONG = 64
+
+
+def _long_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: bytes, block: int = 1 << 20) -> np.ndarray:
+    """64-bit BLAKE2 digests of words, of each distinct one among neighbours once."""
+    out, raw = np.empty(len(starts), np.uint64), memoryview(np.ascontiguousarray(data))
+    blake2b = hashlib.blake2b
+    numbers = lambda held: np.frombuffer(b"".join([blake2b(w, digest_size=8, key=key).digest() for w in held]), "<u8")
+    large = np.flatnonzero(sizes > _LONG)
+    out[large] = numbers([raw[a : a + n] for a, n in zip(starts[large].tolist(), sizes[large].tolist())])
+    rest = np.flatnonzero(sizes <= _LONG)
+    at = np.concatenate([[0], np.cumsum(sizes[rest])])
+    i = 0
+    while i < len(rest):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1)
+        own, to = rest[i:j], at[i : j + 1] - at[i]
+        held = data[np.repeat(starts[own] - to[:-1], sizes[own]) + np.arange(to[-1])]
+        named = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(held)]).dictionary_encode()
+        out[own] = numbers(named.dictionary.to_pylist())[named.indices.to_numpy()]
+        i = j
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, in order, and the n + 1 offsets of the texts among them. ``lower`` maps A-Z to a-z.
+
+    Words of up to seven bytes have different hashes: eight bytes hold them with their length, and all else is a bijection. Longer ones have
+    BLAKE2 digests. With a secret ``key`` nobody can write words whose hashes have to do with each other.
+    """
     if lower:
         data = _LOWER[data]
     inside = _IS_WORD[data]
@@ -153,24 +185,26 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, block: int = 1 <<
     before[edges[edges < len(data)]] = False
     after[edges[edges > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):  # blocks of whole words keep the 8-byte columns small however long a text is
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
-        a = starts[i]
-        c = prefix_hash(data[a : ends[j - 1]])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        hashes[i:j] = mix64((c[e] - c[s]) * powers(int(ends[j - 1] - a))[1][s] + (e - s).astype(np.uint64))
-        i = j
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts].view("<u8").ravel()
+    short = np.minimum(sizes, 7).astype(np.uint64)
+    lanes = lanes & ((_U(1) << (short * _U(8))) - _U(1)) | short << _U(56)
+    hashes = mix64(lanes ^ _U(int.from_bytes(hashlib.blake2b(b"words", digest_size=8, key=key).digest(), "little")))
+    long = np.flatnonzero(sizes > 7)
+    if len(long):
+        hashes[long] = _long_words(data, starts[long], sizes[long], key)
     return hashes, np.searchsorted(starts, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of ``width`` lower-cased words of each text, repeats included, and the n + 1 offsets of the texts among them.
 
     A text of fewer words, but at least one, has its whole sequence as the only shingle.
     """
-    w, at = words(data, offsets, lower=True)
+    w, at = words(data, offsets, True, key)
     n = np.diff(at)
     count = np.where(n >= width, n - width + 1, (n > 0).astype(n.dtype))
     to = np.concatenate([[0], np.cumsum(count)])

@@ -7,10 +7,17 @@ subsets, or one is a one-deletion neighbour of the other). Sizes fall into bands
 is indexed in the next band, too. All sets of a band look at its segments in one order, cheapest first by the squares of the shingle
 frequencies of the whole corpus, and stop when their weights suffice; the cheapest quarter of the segments has weight 2. Two sets that stop at
 different places both looked at all that the one that stopped first did, and that was enough.
+
+Sets of a signature meet their hub, one of them, first. Links and what is connected by them need no more. Where many of a hub's sets are still
+apart, as with a long passage that many texts share but that isn't enough to link them, two of them link only if they differ from the hub in
+the same elements: |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)|. So the elements in which a set differs from the hub are signatures, too,
+as many of them, in one order, as the smallest overlap that is needed leaves (a prefix filter). A few sets left apart are compared pair by pair.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,16 +39,18 @@ COUNTER_BLOCK = 1 << 12
 BLOCK = 512
 #: Partners of each set in a block that the first round compares, nearest by sketch first; the last round compares all that are left.
 NEAREST = (4, None)
+#: Rounds in which groups of more members than BLOCK are dealt out by the elements in which these differ from the hub.
+DEEPER = 3
 #: Segments for each element of the largest sets of a band, as a power of two. More segments tell frequent shingles apart better.
 FINER = 3
 _U = np.uint64
 _DELETED = 1 << 15
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct shingle hashes of each text, and the n + 1 offsets of the texts among them."""
     data, offsets = text_buffer(texts)
-    h, at = shingles(data, offsets, WIDTH)
+    h, at = shingles(data, offsets, WIDTH, key)
     for a, b in zip(at.tolist(), at[1:].tolist()):
         h[a:b].sort()
     new = np.ones(len(h), bool)
@@ -51,30 +60,51 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; equal sets have equal names. The empty set's is 0."""
-    n = np.diff(at)
-    c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return np.where(n > 0, mix64((c[at[1:]] - c[at[:-1]]) + n.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), _U(0))
+    """A 128-bit name of each set, as rows of 16 bytes; equal sets have equal names. The empty set's is all zeros."""
+    raw = memoryview(np.ascontiguousarray(tokens)).cast("B") if len(tokens) else memoryview(b"")
+    names = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else bytes(16) for a, b in zip(at.tolist(), at[1:].tolist())]
+    return np.frombuffer(b"".join(names), np.uint8).reshape(-1, 16)
+
+
+def _ranks(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row of 16 bytes, in one order of these whatever the rows, and a row with each number."""
+    halves = np.ascontiguousarray(names).view(np.uint64).reshape(-1, 2)
+    by = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.ones(len(by), bool)
+    new[1:] = (halves[by][1:] != halves[by][:-1]).any(axis=1)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return rank, by[new]
+
+
+def _first_of_each(names: np.ndarray) -> np.ndarray:
+    """Whether a row of 16 bytes is the one that counts of its kind."""
+    once = np.zeros(len(names), bool)
+    once[_ranks(names)[1]] = True
+    return once
+
+
+def _binary(names: np.ndarray) -> pa.Array:
+    """Rows of 16 bytes as an Arrow column."""
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(names))])
 
 
-SETS = "kind int, doc_id long, key long, node long, n long, packed binary"
+SETS = "kind int, doc_id long, key long, node binary, n long, packed binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, row key, set name, size, sketch) of each row; kind 1: (block, ..., counts) of the shingles of this partition."""
     names, counts = ["kind", "doc_id", "key", "node", "n", "packed"], np.zeros(1 << COUNTER_BITS, np.int32)
     for batch in small_batches(batches):
-        tokens, at = shingle_sets(batch.column(2))
+        tokens, at = shingle_sets(batch.column(2), key)
         node, n = set_names(tokens, at), np.diff(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(n), pa.array(sketches(tokens, at), pa.binary())], names)
-        _, first = np.unique(node, return_index=True)  # copies in a batch count once
-        once = np.zeros(len(n), bool)
-        once[first] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), _binary(node), pa.array(n), pa.array(sketches(tokens, at), pa.binary())], names)
+        once = _first_of_each(node)  # copies in a batch count once
         counts += np.bincount((tokens[np.repeat(once, n)] >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
     blocks = counts.reshape(-1, COUNTER_BLOCK)
     hit = np.flatnonzero(blocks.any(axis=1))
     zero = pa.array(np.zeros(len(hit), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, zero, zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, pa.nulls(len(hit), pa.binary()), zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
     release()
 
 
@@ -197,32 +227,34 @@ def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tu
 BLOB = "bucket int, nodes binary, sizes binary, high binary, low binary, owner binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blobs(sig: np.ndarray, owner: np.ndarray, deleted: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Signatures, the numbers of their sets and whether they are neighbours, packed by bucket; names (rows of 16 bytes) and sizes of the sets."""
+    bucket = (sig % _U(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    sig, owner, bucket = sig[by], owner[by] | np.where(deleted[by], _DELETED, 0), bucket[by]
+    here, start = np.unique(bucket, return_index=True)
+    out = []
+    for b, x, y in zip(here.tolist(), start.tolist(), np.append(start[1:], len(bucket)).tolist()):
+        used, local = np.unique(owner[x:y] & (_DELETED - 1), return_inverse=True)
+        local = local.astype(np.uint16) | (owner[x:y] & _DELETED).astype(np.uint16)
+        out.append((b, node[used].tobytes(), n[used].astype(np.int32).tobytes(), (sig[x:y] >> _U(32)).astype(np.uint32).tobytes(), (sig[x:y] >> _U(16)).astype(np.uint16).tobytes(), local.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int32()] + [pa.binary()] * 5)], ["bucket", "nodes", "sizes", "high", "low", "owner"])
+
+
+def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int, key: bytes) -> Iterator[pa.RecordBatch]:
     """Signatures of this partition's distinct sets, packed by bucket: names and sizes of the sets, and 48 bits of hash and a set number for each signature."""
-    allocation, names = Allocation(excess), ["bucket", "nodes", "sizes", "high", "low", "owner"]
+    allocation = Allocation(excess)
     for batch in small_batches(batches):
         for rows in (batch.slice(i, _DELETED - 1) for i in range(0, batch.num_rows, _DELETED - 1)):
-            tokens, at = shingle_sets(rows.column(0))
+            tokens, at = shingle_sets(rows.column(0), key)
             node, n = set_names(tokens, at), np.diff(at)
-            _, first = np.unique(node, return_index=True)
-            once = np.zeros(len(n), bool)
-            once[first] = n[first] > 0
+            once = _first_of_each(node) & (n > 0)
             tokens, n, node = tokens[np.repeat(once, n)], n[once], node[once]
-            sig, owner, deleted = signatures(tokens, np.concatenate([[0], np.cumsum(n)]), allocation)
-            bucket = (sig % _U(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sig, owner, bucket = sig[by], owner[by] | np.where(deleted[by], _DELETED, 0), bucket[by]
-            here, start = np.unique(bucket, return_index=True)
-            out = []
-            for b, x, y in zip(here.tolist(), start.tolist(), np.append(start[1:], len(bucket)).tolist()):
-                used, local = np.unique(owner[x:y] & (_DELETED - 1), return_inverse=True)
-                local = local.astype(np.uint16) | (owner[x:y] & _DELETED).astype(np.uint16)
-                out.append((b, node[used].tobytes(), n[used].astype(np.int32).tobytes(), (sig[x:y] >> _U(32)).astype(np.uint32).tobytes(), (sig[x:y] >> _U(16)).astype(np.uint16).tobytes(), local.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int32()] + [pa.binary()] * 5)], names)
+            yield _blobs(*signatures(tokens, np.concatenate([[0], np.cumsum(n)]), allocation), node, n, buckets)
         release()
 
 
-CANDIDATES = "a long, b long, star boolean"
+CANDIDATES = "a binary, b binary, star boolean"
 
 
 def _bucket_pairs(blobs: list[tuple]) -> pa.RecordBatch:
@@ -230,21 +262,25 @@ def _bucket_pairs(blobs: list[tuple]) -> pa.RecordBatch:
 
     A signature's hub is the set with the smallest name of those with the subset itself. All sets of a signature are in the group of its hub.
     """
-    nodes, sizes, sig, deleted = [], [], [], []
+    nodes, sizes, sig, deleted, known = [], [], [], [], 0
     for name, size, high, low, owner in blobs:
         at = np.frombuffer(owner, np.uint16).astype(np.int64)
         deleted.append(at >= _DELETED)
         at &= _DELETED - 1
-        nodes.append(np.frombuffer(name, np.uint64)[at])
+        nodes.append(at + known)
+        known += len(name) // 16
         sizes.append(np.frombuffer(size, np.int32)[at])
         sig.append((np.frombuffer(high, np.uint32).astype(np.uint64) << _U(16)) | np.frombuffer(low, np.uint16).astype(np.uint64))
     node, n, s, cut = (np.concatenate(x) for x in (nodes, sizes, sig, deleted))
+    names = np.frombuffer(b"".join(blob[0] for blob in blobs), np.uint8).reshape(-1, 16)
+    rank, kinds = _ranks(names)
     by = np.argsort(s, kind="stable")
     twice = s[by][1:] == s[by][:-1]
     shared = np.zeros(len(by), bool)
     shared[1:] |= twice
     shared[:-1] |= twice
     by = by[shared]
+    node = rank[node]
     by = by[np.lexsort((node[by], cut[by], s[by]))]  # subsets themselves first, by name
     node, n, s, cut = node[by], n[by], s[by], cut[by]
     new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
@@ -254,8 +290,8 @@ def _bucket_pairs(blobs: list[tuple]) -> pa.RecordBatch:
     star = np.repeat(count > 2, count)
     # of two sets only one pair can come; in a larger group, whoever doesn't fit the hub's size may still fit another member
     keep = (node != node[hub]) & ~cut[hub] & (star | (4 * np.minimum(n, n[hub]) >= 3 * np.maximum(n, n[hub])))
-    rows = np.unique(np.stack([node[hub][keep], node[keep], star[keep].astype(np.uint64)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0]).view(np.int64) if len(rows) else [], pa.int64()), pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64) if len(rows) else [], pa.int64()), pa.array(rows[:, 2] > 0)], ["a", "b", "star"])
+    rows = np.unique(np.stack([node[hub][keep], node[keep], star[keep].astype(np.int64)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([_binary(names[kinds[rows[:, 0]]]), _binary(names[kinds[rows[:, 1]]]), pa.array(rows[:, 2] > 0)], ["a", "b", "star"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +310,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
     """Pairs of a group's two blocks (or within one) that no links connect yet and that may link. rows: (block, node, n, sketch, root)."""
-    block, node, n, packed, root = (np.array(x) if k != 3 else list(x) for k, x in enumerate(zip(*rows)))
+    block, _, n, _, _ = (np.array(x) if k in (0, 2) else None for k, x in enumerate(zip(*rows)))
+    numbers = {r: k for k, r in enumerate({row[4] for row in rows})}
+    node, packed, root = [row[1] for row in rows], [row[3] for row in rows], np.array([numbers[row[4]] for row in rows])
     width = 4 * min(map(len, packed))
     table = np.stack([_counters(x, width) for x in packed]).astype(np.int8)
     low, out = block.min(), []
@@ -288,9 +326,9 @@ def _block_pairs(rows: list[tuple], nearest: int | None) -> pa.RecordBatch:
             j, apart = j[may], apart[may]
             if nearest is not None and len(j) > nearest:
                 j = j[np.argsort(apart, kind="stable")[:nearest]]
-            out.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
-    found = np.unique(np.sort(np.concatenate(out or [np.zeros((0, 2), np.int64)]), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist()]
+    found = sorted(set(out))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[pa.RecordBatch]:
@@ -316,31 +354,72 @@ def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array([may_link(*z) for z in zip(x, y, n, m)], pa.bool_()))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets have 100 * intersection >= 75 * union; equal neighbours in a column are one text."""
+def _two_sets(batches: Iterator[pa.RecordBatch], first: int, key: bytes) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows, some at a time, with the sets of their two texts, columns ``first`` (text_a) and the next; equal neighbours in a column are one text."""
     for batch in small_batches(batches, text="text_a", most=2 << 20):
         for rows in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
             sides = []
-            for k in (2, 3):
+            for k in (first, first + 1):
                 text = rows.column(k).dictionary_encode()
-                tokens, at = shingle_sets(text.dictionary)
-                sides.append((tokens, at, text.indices.to_numpy(zero_copy_only=False)))
-            (ta, pa_, ia), (tb, pb, ib) = sides
-            keep = []
-            for i, j in zip(ia.tolist(), ib.tolist()):
-                x, y = ta[pa_[i] : pa_[i + 1]], tb[pb[j] : pb[j + 1]]
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= 75 * (len(both) - shared))
-            yield rows.select([0, 1]).filter(pa.array(keep))
+                tokens, at = shingle_sets(text.dictionary, key)
+                sides.append([tokens[at[i] : at[i + 1]] for i in text.indices.to_pylist()])
+            yield rows, list(zip(*sides))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have 100 * intersection >= 75 * union."""
+    for rows, sets in _two_sets(batches, 2, key):
+        keep = []
+        for x, y in sets:
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep.append(100 * shared >= 75 * (len(both) - shared))
+        yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    release()
+
+
+APART = "hub binary, node binary, block int, n long, e long, tokens binary, linked boolean"
+
+
+def _apart(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, node, block, text_a of the hub, text_b of the node): the node's size n, the elements in which it differs from the hub, whether
+    the two link, and e = 7 times the number of the elements less n. Two nodes with 7 |x ^ y| <= n + m share at least (e_x + e_y) / 14 of them. They come in one order for all
+    nodes of a hub, the node's own before the hub's, which others are likelier to lack, too."""
+    names = ["hub", "node", "block", "n", "e", "tokens", "linked"]
+    for rows, sets in _two_sets(batches, 3, key):
+        e, tokens, size, linked = [], [], [], []
+        for hub, x in sets:
+            own, lacking = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+            size.append(len(x))
+            e.append(7 * (len(own) + len(lacking)) - len(x))
+            linked.append(e[-1] <= len(hub))
+            tokens.append(np.concatenate([own, lacking]).tobytes())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(size, pa.int64()), pa.array(e, pa.int64()), pa.array(tokens, pa.binary()), pa.array(linked, pa.bool_())], names)
     release()
 
 
-def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
+def _sign_apart(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, node, n, e, tokens, least): so many elements as signatures of the hub that nodes which share enough of them share one of these."""
+    for batch in small_batches(batches, text="tokens"):
+        for rows in (batch.slice(i, _DELETED - 1) for i in range(0, batch.num_rows, _DELETED - 1)):
+            sig, owner = [], []
+            for i, (hub, e, tokens, least) in enumerate(zip(*(rows.column(k).to_pylist() for k in (0, 3, 4, 5)))):
+                t = np.frombuffer(tokens, np.uint64)
+                t = t[: max(0, len(t) - max(1, -(-(e + least) // 14)) + 1)]
+                sig.append(mix64(t ^ _U(int.from_bytes(hub[:8], "little"))))
+                owner.append(np.full(len(t), i))
+            sig, owner = np.concatenate(sig), np.concatenate(owner)
+            node = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(-1, 16)
+            yield _blobs(sig, owner, np.zeros(len(sig), bool), node, rows.column(2).to_numpy(), buckets)
+    release()
+
+
+def connected(links: DataFrame, scratch: Scratch, tables: list[str] | None = None) -> DataFrame:
     """(node, root) of every node with a link; nodes of one group have one root. Names are hashes, so contraction halves what is left each time.
 
-    Each round, every node goes to the smallest of itself and its neighbours; links are renamed and those within a node go.
+    Each round, every node goes to the smallest of itself and its neighbours; links are renamed and those within a node go. The result is a
+    table of ``scratch``, whose name is added to ``tables``.
     """
     own, steps, k, names = uuid.uuid4().hex, [], 0, []
     left = scratch.table(links.select("a", "b").filter("a <> b").distinct(), f"links-{own}-0")
@@ -356,65 +435,118 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     for name in names:
         scratch.drop(name)
     if not steps:
+        scratch.drop(f"links-{own}-0")
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     roots = steps[0]
     for up in steps[1:]:
         roots = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-    return scratch.table(roots, f"roots-{own}")
+    out = scratch.table(roots, f"roots-{own}")
+    for name in (*(f"up-{own}-{i}" for i in range(len(steps))), f"links-{own}-{k}"):
+        scratch.drop(name)
+    if tables is not None:
+        tables.append(f"roots-{own}")
+    return out
 
 
 def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """What link_groups gives, and the root: the name of the group itself, as ids may be null or shared. Rows without shingles have none."""
     spark = docs.sparkSession
     parts, scratch = shuffle_parts(spark), Scratch(spark, "ngram")
+    secret = os.urandom(16)  # keys the hashes of this run
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    sets = scratch.table(rows.select("doc_id", "key", "text").mapInArrow(_sets, SETS), "sets")
+    sets = scratch.table(rows.select("doc_id", "key", "text").mapInArrow(partial(_sets, key=secret), SETS), "sets")
     blocks = sets.filter("kind = 1").select(F.col("doc_id").alias("block"), "packed").repartition(parts, "block").mapInArrow(_add_counts, "block long, excess binary")
     excess = np.zeros(1 << COUNTER_BITS, np.float32)
     for r in blocks.collect():  # 2**COUNTER_BITS numbers, whatever the corpus
         excess[r["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(r["excess"], np.float32)
     members = sets.filter("kind = 0").select("doc_id", "key", "node", "n")
-    blobs = rows.select("text").mapInArrow(partial(_sign, excess=excess, buckets=4 * parts), BLOB)
-    found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, CANDIDATES)
-    found = scratch.table(found.distinct(), "candidates")
-    nodes = sets.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key", "n", "packed")).alias("first"))
-    nodes = scratch.table(nodes.select("node", "first.*").drop("doc_id"), "nodes")
+    nodes = sets.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "n", "packed")).alias("first"))
+    nodes = scratch.table(nodes.select("node", "first.*"), "nodes")
+    tables = ["nodes"]
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        tables.append(name)
+        return scratch.table(df, name)
+
+    def candidates(blobs: DataFrame, name: str) -> DataFrame:
+        found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, CANDIDATES)
+        return table(found.distinct(), f"candidates-{name}")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of distinct nodes; 128 bits name a row: its id (0 if null) and a hash of id and text."""
+        places = wanted.join(nodes, "node").select("node", F.col("id").alias("at_id"), F.col("key").alias("at_key"))
+        here = (F.coalesce("doc_id", F.lit(0)) == F.col("at_id")) & (F.col("key") == F.col("at_key"))
+        return rows.join(places, here).select("node", "text")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node").select("node", F.col("key").alias("at_key"))
-        texts = scratch.table(rows.select("key", "text").join(wanted, F.col("key") == F.col("at_key")).select("node", "text"), f"texts-{name}")
+        texts = scratch.table(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), f"texts-{name}")
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        out = scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), f"verified-{name}")
+        out = table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, key=secret), "a binary, b binary").distinct(), f"verified-{name}")
         scratch.drop(f"texts-{name}")
         return out
 
-    star = found.filter("star").select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    once = star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    first = found.filter("not star").select("a", "b").unionByName(once)
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (nodes.select(F.col("node").alias(v), F.col("n").alias(f"n_{v}"), F.col("packed").alias(f"s_{v}")) for v in "ab")
-    first = scratch.table(first.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_hopeful, "a long, b long"), "first")
-    links = verified(first, "first")
-    roots = connected(links, scratch)
-    group = scratch.table(star.unionByName(star.select("hub", F.col("hub").alias("node"))).distinct(), "group")
-    tried = first
-    for k, nearest in enumerate(NEAREST):
+    def once(found: DataFrame, name: str) -> DataFrame:
+        """Pairs of two, and each set of a larger group with one of its hubs, without those that sketches rule out."""
+        each = found.filter("star").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
+        pairs = found.filter("not star").select("a", "b").unionByName(each.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = (nodes.select(F.col("node").alias(v), F.col("n").alias(f"n_{v}"), F.col("packed").alias(f"s_{v}")) for v in "ab")
+        return table(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_hopeful, "a binary, b binary"), f"once-{name}")
+
+    def grouped(found: DataFrame, name: str) -> DataFrame:
+        star = found.filter("star").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        return table(star.unionByName(star.select("hub", F.col("hub").alias("node"))).distinct(), f"group-{name}")
+
+    def open_groups(group: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The group's rows with their roots, and the hubs whose sets aren't all connected, with the number of blocks that they make."""
         now = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_hubs = now.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        open_hubs = scratch.table(open_hubs, f"open-{k}")  # so that both sides of the join are shuffled for it, and a large group is split
-        each = now.join(open_hubs, "hub").join(nodes.select("node", "n", "packed"), "node")
+        hubs = now.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        return now, table(hubs, f"open-{name}")  # so that both sides of a join are shuffled for it, and a large group is split
+
+    blobs = rows.select("text").mapInArrow(partial(_sign, excess=excess, buckets=4 * parts, key=secret), BLOB)
+    found = candidates(blobs, "0")
+    tried = once(found, "0")
+    links = verified(tried, "0")
+    roots = connected(links, scratch, tables)
+    group = grouped(found, "0")
+    for level in range(DEEPER):
+        now, hubs = open_groups(group, roots, f"deep-{level}")
+        large = hubs.filter("blocks > 1")
+        if large.isEmpty():
+            break
+        inside = now.join(large, "hub").filter("node <> hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("hub", "node", "block")
+        inside = table(inside, f"inside-{level}")
+        copies = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # as many of a hub as it has blocks
+        texts = table(texts_of(inside.select("node").union(large.select(F.col("hub").alias("node"))).distinct()), f"deep-texts-{level}")
+        hub_texts = copies.select("hub", "block").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("text_a")), "hub")
+        both = inside.join(texts.withColumnRenamed("text", "text_b"), "node").join(hub_texts, ["hub", "block"]).select("hub", "node", "block", "text_a", "text_b")
+        apart = table(both.mapInArrow(partial(_apart, key=secret), APART), f"apart-{level}")
+        nearest = apart.groupBy("hub").agg(F.min(F.struct("e", "node")).alias("best"))
+        least = table(copies.select("hub", "block").join(nearest, "hub").select("hub", "block", F.col("best.e").alias("least"), F.col("best.node").alias("best")), f"least-{level}")
+        ready = apart.join(least, ["hub", "block"])
+        # 7 (|x ^ h| + |y ^ h|) <= n + m: these link, whatever they share, and all such sets of a hub link with the nearest one
+        sure = ready.filter("e + least <= 0 and node <> best").select("node", F.col("best").alias("other")).unionByName(apart.filter("linked").select("node", F.col("hub").alias("other")))
+        sure = sure.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        found = candidates(ready.select("hub", "node", "n", "e", "tokens", "least").mapInArrow(partial(_sign_apart, buckets=4 * parts), BLOB), str(level + 1))
+        fresh = table(once(found, str(level + 1)).join(tried, ["a", "b"], "left_anti"), f"fresh-{level}")
+        links = links.unionByName(table(sure, f"sure-{level}")).unionByName(verified(fresh, str(level + 1)))
+        roots, tried = connected(links, scratch, tables), tried.unionByName(fresh)
+        group = table(group.join(large.select("hub"), "hub", "left_anti").unionByName(grouped(found, str(level + 1))).distinct(), f"left-{level}")
+    for k, nearest in enumerate(NEAREST):
+        now, hubs = open_groups(group, roots, str(k))
+        each = now.join(hubs, "hub").join(nodes.select("node", "n", "packed"), "node")
         each = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         each = each.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "packed", "root")
-        pairs = each.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(partial(_across, nearest=nearest), "a long, b long")
-        rest = scratch.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"rest-{k}")
+        pairs = each.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high").mapInArrow(partial(_across, nearest=nearest), "a binary, b binary")
+        rest = table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"rest-{k}")
         if rest.isEmpty() and nearest is None:
             break
         links = links.unionByName(verified(rest, f"rest-{k}"))
-        roots, tried = connected(links, scratch), tried.unionByName(rest)
+        roots, tried = connected(links, scratch, tables), tried.unionByName(rest)
     named = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.table(named, "named")
     lowest = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id")
-    for name in ("candidates", "group", "nodes"):
+    for name in tables:
         scratch.drop(name)
     return members.join(lowest, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
@@ -423,23 +555,27 @@ def link_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """(doc_id, key, n_shingles, component_id) of every row: the size of its set and the smallest id that links lead to, itself included.
 
     Words are lower-cased (A-Z) and a set holds distinct 5-word shingles; with fewer words the whole sequence is the only one. Two rows
-    link when 100 * intersection >= 75 * union. Empty and null texts have no shingle and link with nothing. Equal sets are one node with
-    many rows, so copies cost nothing; ``key`` names a row by its id and text. Sets that share a signature with others are first compared
-    with one hub each. Then all pairs of each hub's group that are still in different groups of links are compared, in blocks, by sketches
-    that only rule out what can't link, and what they leave by the texts. So a large group of near copies costs little once its members are
-    linked; a large group that shares signatures but doesn't link costs its sketches' pairs.
+    link when 100 * intersection >= 75 * union. Empty and null texts have no shingle and link with nothing; null ids are smaller than none, so
+    a group of rows without ids has none. Equal sets are one node with many rows, so copies cost nothing; ``key`` is a hash of a row's id
+    and text. Hashes are keyed by a secret of the run, so no text can be written to clash with another; names of sets have 128 bits.
+
+    Sets that share a signature with others are first compared with one hub each. Of a large group that links leave apart, sets that differ from
+    the hub in the same elements are candidates next, in at most DEEPER rounds; pairs within what is left are compared by sketches that
+    only rule out what can't link, in blocks, and what these leave by the texts. Very long texts are whole sets in one row. An empty table has no
+    rows, and other columns, whatever their names, don't matter.
     """
     return _rooted(docs, id_column, text_column).drop("root")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows without near duplicates: of each group that links connect, the row with the smallest id stays; rows without shingles all stay.
-
-    Rows with the same id and the same text count as one row and stay or go together. Columns stay as they are.
+    """The rows without near duplicates: of each group that links connect, the row with the smallest id stays (null is the smallest); rows without
+    shingles all stay, but of rows with the same id and the same text only one. Columns stay as they are.
     """
-    groups = _rooted(docs, id_column, text_column)
-    key = F.struct("doc_id", "key")
-    first = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(key)["key"].alias("key")).select("key")
-    kept = Scratch(docs.sparkSession, "first").table(first.union(groups.filter("n_shingles = 0").select("key")).distinct(), "kept").select(F.col("key").alias("kept"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
-    return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    groups = _rooted(docs, id_column, text_column).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    first = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key", "id")).alias("first")).select("first.id", "first.key")
+    kept = first.union(groups.filter("n_shingles = 0").select("id", "key")).distinct()
+    kept = Scratch(docs.sparkSession, "first").table(kept, "kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"))
+    number = F.col(id_column).cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(number, F.coalesce(F.col(text_column), F.lit(""))).alias("key"))
+    rows = rows.dropDuplicates(["id", "key"])  # combined before the shuffle, which the next join can use
+    return rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -308,14 +308,20 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 # ---------------------------------------------------------------- the operator
 
 
-def _kinds(places: DataFrame, group: list[str], one: list[str], same: list[str]) -> DataFrame:
-    """Segments that another one is or may be like: their group, name, ``same`` columns, two of their places, and whether the group is common."""
+def _kinds(places: DataFrame, group: list[str], one: list[str], same: list[str], slices: int = 1) -> DataFrame:
+    """Segments that another one is or may be like: their group, name, ``same`` columns, two of their places, and whether the group is common.
+
+    ``slices`` deals the names of a group to so many tasks when they meet the group's count, of which each gets a copy.
+    """
     name = [*group, "n1", "n2"]
     found = places.groupBy(*name).agg(
         F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in same), *(F.first(c).alias(f"first_{c}") for c in one), *(F.last(c).alias(f"last_{c}") for c in one)
     )
     # the first and the last row of a name are two places, if it has several; any two will do
     several = found.groupBy(*group).agg(F.count(F.lit(1)).alias("segs"))
+    if slices > 1:
+        found, group = found.withColumn("slice", F.pmod("n1", F.lit(slices)).cast("int")), [*group, "slice"]
+        several = several.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return found.join(several, group).filter("times > 1 or segs > 1").select("*", (F.col("segs") > TOGETHER).cast("int").alias("common"), (F.col("times") > 1).cast("int").alias("two"))
 
 
@@ -342,7 +348,7 @@ def repeated_starts(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame
         halved = levels[-1].filter("base is not null")
         if halved.isEmpty():
             break
-        kinds = _kinds(halved, ["g1", "g2"], ["bytes"], ["o", "lo", "hi"])
+        kinds = _kinds(halved, ["g1", "g2"], ["bytes"], ["o", "lo", "hi"], slices=64)
         cut = _places(kinds, ["bytes"], ["g1", "g2", "n1", "n2", "o", "lo", "hi"])
     name, whose = ["g1", "g2", "n1", "n2"], ["h1", "h2", "m1", "m2"]
     marks = levels[-1].filter("low is not null").select(*name, "low", "high")

@@ -36,6 +36,40 @@ def test_next_document_and_likeness(spark):
         assert abs(got[i]["distinct_shingles"] - len(a)) < 0.3 * len(a)
 
 
+def test_bottom_k_and_likeness_are_exact(spark):
+    """Against hashes of words and shingles computed one by one."""
+    mask = (1 << 64) - 1
+
+    def mix(h: int) -> int:
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    start = int.from_bytes(hashlib.blake2b(b"words", digest_size=8).digest(), "little")
+
+    def word(w: str) -> int:
+        raw = re.sub("[A-Z]", lambda m: m.group().lower(), w).encode()
+        if len(raw) > 7:
+            return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+        return mix((int.from_bytes(raw, "little") | len(raw) << 56) ^ start)
+
+    def hashes(text: str) -> set[int]:
+        w, out = [word(x) for x in re.findall(r"[^\x20\x09-\x0D]+", text)], set()
+        for i in range(max(1, len(w) - 4) if w else 0):
+            h = 0
+            for k, x in enumerate(w[i : i + 5]):
+                h = mix((h * 0xD6E8FEB86659FD93 + x + k + 1) & mask)
+            out.add(h)
+        return out
+
+    texts = [prose(5, 700), prose(5, 500) + " " + prose(6, 100), "Ärger ÜBER Alles", "", "one\x0btwo", "x" * 300 + " y", prose(7, 40) + " " + "z" * 64 + " " + "w" * 65]
+    got = [r["fingerprint"] for r in P.fingerprint(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("doc_id").collect()]
+    low = [sorted(hashes(t))[:256] for t in texts]
+    assert [P.Sketch.parse(g, 256).hashes.tolist() for g in got] == low
+    union = sorted(set(low[0]) | set(low[1]))[:256]
+    assert P.Sketch.parse(got[0], 256).resemblance(P.Sketch.parse(got[1], 256)) == len(set(union) & set(low[0]) & set(low[1])) / 256
+
+
 def test_small_sketches_are_exact_and_merge():
     one, two = np.arange(10, dtype=np.uint64), np.arange(5, 20, dtype=np.uint64)
     a, b = P.Sketch.of(one, 64), P.Sketch.of(two, 64)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from assayer.llm import fingerprints as P
 from assayer.llm import ngram_join as N
 from assayer.llm import suffix_dedup as S
 
@@ -122,6 +123,51 @@ def test_groups_agree_with_brute_force(spark):
     assert got == brute_groups(texts)
 
 
+def boilerplate(n: int) -> list[str]:
+    """Texts of which most share a long passage, whose own parts are too long to link them, but for copies with a few changes and further shared parts."""
+    r = random.Random(18)
+    shared, second = prose(901, 80), prose(902, 12)
+    texts: list[str] = []
+    for i in range(n):
+        kind = r.random()
+        if kind < 0.2 and texts:
+            words = r.choice(texts).split()
+            for _ in range(r.randint(0, 4)):
+                words[r.randrange(len(words))] = prose(r.randint(0, 9999), 1)
+            texts.append(" ".join(words))
+        else:
+            own = prose(3000 + i, r.randint(8, 24))
+            texts.append(f"{own} {shared}" + (f" {second}" if kind < 0.6 else "") + (f" {prose(7000 + i, 6)}" if kind > 0.8 else ""))
+    return texts
+
+
+def test_large_groups_that_links_leave_apart(spark, monkeypatch):
+    texts = boilerplate(160)
+    docs, want = spark.createDataFrame(rows(texts), SCHEMA), brute_groups(texts)
+    assert 20 < len({g for _, g in want.values()}) < 150
+    monkeypatch.setattr(N, "BLOCK", 4)
+    for deeper in (3, 1, 0):
+        monkeypatch.setattr(N, "DEEPER", deeper)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.link_groups(docs).collect()} == want
+
+
+def test_words_that_polynomial_hashes_mix_up_are_told_apart(spark):
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    texts = [x for n in (1024, 2048, 4096) for x in (a[:n], b[:n])] + [f"one two three four {x[:2048]}" for x in (a, b)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    assert [r["component_id"] for r in N.link_groups(docs).orderBy("doc_id").collect()] == list(range(len(texts)))
+    assert len({r["fingerprint"] for r in P.fingerprint(docs).collect()}) == len(texts)
+
+
+def test_one_of_repeated_rows_stays(spark):
+    a, b = prose(40, 60), prose(41, 60)
+    data = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, b, "x"), (2, b, "x"), (3, "", "x"), (3, "", "x"), (None, None, "x"), (None, None, "y")]
+    kept = N.one_of_each(spark.createDataFrame(data, "doc_id long, text string, extra string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["text"] is not None) == [(1, a), (2, b), (3, "")] and len(kept) == 4
+
+
 def test_sets_at_the_threshold_always_share_a_signature():
     rng = np.random.default_rng(5)
     plan = N.Allocation(rng.integers(0, 1000, 1 << N.COUNTER_BITS))
