@@ -20,18 +20,64 @@ EVIDENCE = 60
 #: Pages that a level's parent counts for in the host priors, and pseudo-counts in the tables of declarations and suffixes.
 PARENT, PSEUDO = 4.0, 0.5
 
-_DROPPED = re.compile(r"(?is)<(script|style|nav|footer|aside|header|noscript)\b.*?</\1\s*>|<!--.*?-->")
-_MAIN = re.compile(r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""")
-_META = re.compile(r"""(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*["']?([a-z]{2,3})""")
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style", "nav", "footer", "aside", "header", "noscript")}
+_LANG = re.compile(r"""\blang\s*+=\s*+["']?([a-z]{2,3})""", re.IGNORECASE)
+_CONTENT = re.compile(r"""(?<![\w-])content\s*+=\s*+["']?([a-z]{2,3})""", re.IGNORECASE)
 
 
-def visible(markup: str) -> str:
-    """The text of the article or main element, or else of all that isn't navigation, script or style."""
-    kept = _DROPPED.sub(" ", markup)
-    main = [m.group(2) for m in _MAIN.finditer(kept)]
-    return _TAG.sub(" ", " ".join(main) if main else kept)
+def visible_and_declared(markup: str) -> tuple[str, str | None]:
+    """The text of the article or main elements, or else of all that isn't navigation, script or style; and the language that html or meta declares.
+
+    One pass over the tags. What isn't closed is no element: it is looked for once, and its tag goes like any other. Comments go, tags become
+    blanks, and a < without a > is text.
+    """
+    out: list[str] = []
+    opened: dict[str, int] = {}
+    regions: list[tuple[int, int]] = []
+    never: set[str] = set()  # elements, or comments, that aren't closed any more
+    by_html = by_meta = None
+    at = 0
+    while (start := markup.find("<", at)) >= 0:
+        if markup.startswith("<!--", start) and "!--" not in never:
+            end = markup.find("-->", start + 4)
+            if end >= 0:
+                out += [markup[at:start], " "]
+                at = end + 3
+                continue
+            never.add("!--")
+        end = markup.find(">", start)
+        if end < 0:
+            break
+        out += [markup[at:start], " "]
+        at = end + 1
+        m = _NAME.match(markup, start, at)
+        name = m.group(1).lower() if m else ""
+        closing = markup.startswith("</", start)
+        if name in _CLOSE and not closing and name not in never:
+            m = _CLOSE[name].search(markup, at)
+            if m:
+                at = m.end()
+            else:
+                never.add(name)
+        elif name in ("article", "main"):
+            if not closing:
+                opened.setdefault(name, len(out))
+            elif name in opened:
+                regions.append((opened.pop(name), len(out)))
+        elif name == "html" and by_html is None and not closing:
+            m = _LANG.search(markup, start, at)
+            by_html = m.group(1).lower() if m else None
+        elif name == "meta" and by_meta is None and "content-language" in markup[start:at].lower():
+            m = _CONTENT.search(markup, start, at)
+            by_meta = m.group(1).lower() if m else None
+    out.append(markup[at:])
+    text, last = [], 0
+    for a, b in sorted(regions):
+        if a >= last:
+            text.append("".join(out[a:b]))
+            last = b
+    return " ".join(text) if regions else "".join(out), by_html or by_meta
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in small_batches(batches):
         langs = batch.column(0).to_pylist()
-        grams, at = _trigrams(pa.array([(t or "").lower() for t in batch.column(1).to_pylist()]))
+        grams, at = _trigrams(pa.array([(t or "").lower() for t in batch.column(1).to_pylist()], pa.large_string()))
         for lang, a, b in zip(langs, at, at[1:]):
             total[lang] = total.get(lang, 0) + np.bincount(grams[a:b], minlength=BUCKETS)
     for lang, counts in total.items():
@@ -77,8 +123,9 @@ def train(labelled: DataFrame, max_labelled: int = 8000, lang_column: str = "lan
 def _evidence(batches: Iterator[pa.RecordBatch], table: np.ndarray, markup: bool) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, text="content"):
         content = [t or "" for t in batch.column(2).to_pylist()]
-        found = [m.group(1).lower() if (m := _DECLARED.search(t) or _META.search(t)) else None for t in content] if markup else [None] * len(content)
-        grams, at = _trigrams(pa.array([(visible(t) if markup else t).lower() for t in content]))
+        seen = [visible_and_declared(t) for t in content] if markup else [(t, None) for t in content]
+        found = [d for _, d in seen]
+        grams, at = _trigrams(pa.array([t.lower() for t, _ in seen], pa.large_string()))
         n = np.diff(at)
         scores = np.zeros((len(content), len(table)))
         for k, row in enumerate(table):

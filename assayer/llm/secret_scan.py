@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.common import Scratch
@@ -32,7 +32,7 @@ RULES: dict[str, tuple[re.Pattern[str], int, tuple[str, ...]]] = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 20, ("AKIA",)),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 24, ()),
     "pem": (re.compile(_PEM), 1, ("PRIVATE KEY-----",)),
-    "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII), 1, (".eyJ",)),
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), 1, (".eyJ",)),  # parts between dots, see _tokens
     "bearer": (re.compile(r"\bBearer\x20+(?P<value>[A-Za-z0-9+/_.=-]+)", re.ASCII), 16, ("Bearer",)),
     "urlcred": (re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:(?P<value>[^\s/:@]++)@", re.ASCII), 3, ("://",)),
 }
@@ -40,21 +40,45 @@ BASE = ("assign", "access", "hex")
 #: Changes with RULES: findings of another version don't stand for this one.
 RULE_VERSION = "1.1"
 
+#: Blobs with secrets, of eight spans on average, that go to every executor; more meet their rows in a shuffle.
+BROADCAST_BLOBS = 50_000
+
 _KEYWORDS = re.compile(r"pass|secr|token|api", re.ASCII | re.IGNORECASE)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of three parts that dots join, of which two begin with eyJ, the first one after a hyphen if need be: eight more characters of them and
+    eight of the third at least. A run of parts is read once, so long texts cost their length."""
+    for m in RULES["jwt"][0].finditer(text):
+        if ".eyJ" not in m.group():
+            continue
+        parts, at, i = m.group().split("."), m.start(), 0
+        while i + 2 < len(parts):
+            head = 0 if parts[i].startswith("eyJ") else parts[i].find("-eyJ") + 1 or len(parts[i])
+            if len(parts[i]) - head >= 11 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) >= 11 and len(parts[i + 2]) >= 8:
+                end = at + sum(len(x) + 1 for x in parts[i : i + 3])
+                yield at + head, end - 1
+                at, i = end, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start, then by kind as listed; ends are exclusive. Matches of a kind don't overlap."""
     found = []
     for order, (kind, (pattern, least, needs)) in enumerate(RULES.items()):
         if needs and not any(n in text for n in needs) or kind == "assign" and not _KEYWORDS.search(text):
             continue
+        if kind == "jwt":
+            found += [(a, order, b, kind) for a, b in _tokens(text)]
+            continue
         value = "value" if "value" in pattern.groupindex else 0
         found += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text) if m.end(value) - m.start(value) >= least]
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
 SPANS = "array<struct<start: long, end: long, kind: string>>"
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
@@ -84,19 +108,39 @@ def scan_unseen(texts: DataFrame, ledger: DataFrame | None = None, rule_version:
     return todo.mapInArrow(_scan, f"blob string, spans {SPANS}").dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
-def scan(texts: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, blob, spans) of every row: findings of the ledger and of the unseen blobs, joined back to all paths.
+def append(texts: DataFrame, path: str, rule_version: str = RULE_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The ledger stored at ``path``, after the findings of all blobs of ``texts`` that it doesn't hold under this version were appended to it.
 
-    Null texts count as empty. Repeated rows each get their findings. Null ids are paths like others.
+    The first call makes it. One writer at a time; a write that is repeated after a failure adds rows that are there already, which reading ignores.
     """
-    scratch = Scratch(texts.sparkSession, "secrets")
-    fresh = scratch.table(scan_unseen(texts, ledger, rule_version, id_column, text_column), "ledger")
-    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "rule_version", "spans"))
-    hits = known.filter(F.size("spans") > 0).select("blob", "spans")  # most blobs have none: their paths need no partner
+    spark, target = texts.sparkSession, texts.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    ledger = read_ledger(spark, path) if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else None
+    scan_unseen(texts, ledger, rule_version, id_column, text_column).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(blob, rule_version, spans) of a stored ledger, each blob and version once."""
+    return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
+
+
+def findings(texts: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, blob, spans) of every row, from a ledger that holds all blobs: what was found once, joined back to all paths. Texts aren't scanned."""
+    hits = ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")  # most blobs have none: their paths need no partner
     paths = texts.select(F.col(id_column).alias(id_column), blob_column(text_column).alias("blob"))
     return paths.join(hits, "blob", "left").select(id_column, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def scan(texts: DataFrame, path: str | None = None, rule_version: str = RULE_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, blob, spans) of every row: unseen blobs are scanned and appended to the ledger at ``path`` (one of this run, if None), and findings joined back.
+
+    Null texts count as empty. Repeated rows each get their findings. Null ids are paths like others. An empty table has no rows; other
+    columns, whatever their names, don't matter. Very long texts cost their length, as no pattern looks at a character again and again.
+    """
+    path = path or Scratch(texts.sparkSession, "secrets").path + "/ledger"
+    return findings(texts, append(texts, path, rule_version, id_column, text_column), rule_version, id_column, text_column)
+
+
 def render(spans, kinds: tuple[str, ...] | None = None):
     """kind:start:end of the spans, in their order, comma-joined."""
     if kinds:
@@ -111,11 +155,14 @@ def count_kind(spans, kind: str):
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with every span replaced by [KIND]; overlapping spans go as one, under the name of the first. Other columns stay.
 
-    Rows whose text is null or has no secret are unchanged. Findings meet rows by blob, so equal texts are scanned once.
+    Rows whose text is null or has no secret are unchanged. Findings meet rows by blob, so equal texts are scanned once. An empty table has no
+    rows; columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.table(scan_unseen(docs, None, RULE_VERSION, id_column, text_column), "ledger").filter(F.size("spans") > 0).select("blob", "spans")
+    found = scratch.table(scan_unseen(docs, None, RULE_VERSION, id_column, text_column).filter(F.size("spans") > 0).select("blob", "spans"), "found")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_column(text_column).alias("blob"))
+    if found.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS and (found.agg(F.sum(F.size("spans"))).head()[0] or 0) <= 8 * BROADCAST_BLOBS:
+        found = F.broadcast(found)  # counted: rows stay where they are
     joined, text = rows.join(found, "blob", "left"), F.col(f"row.`{text_column}`")
     step = F.aggregate(
         "spans",

@@ -43,14 +43,39 @@ def test_scan_counts_digests_and_extra_kinds(spark, edge, empty):
     assert S.scan(edge).count() == edge.count() and S.scan(empty).count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
     first = spark.createDataFrame(rows(["token = abcdef", "nothing", "nothing"]), SCHEMA)
     ledger = S.scan_unseen(first).cache()
     assert ledger.count() == 2 and S.scan_unseen(first, ledger).count() == 0
     more = first.unionByName(spark.createDataFrame([(9, "AKIA" + "A" * 16, "en", "s", 20)], SCHEMA))
     assert S.scan_unseen(more, ledger).count() == 1 and S.scan_unseen(more, ledger, "2").count() == 3
-    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in S.scan(more, ledger).collect()}
-    assert found == {0: ["assign"], 1: [], 2: [], 9: ["access"]}
+    path = f"{tmp_path}/ledger"
+    assert S.scan(first, path).count() == 3 and S.read_ledger(spark, path).count() == 2
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in S.scan(more, path).collect()}
+    assert found == {0: ["assign"], 1: [], 2: [], 9: ["access"]} and S.read_ledger(spark, path).count() == 3
+    before = spark.read.parquet(path).count()
+    assert S.append(more, path).count() == 3 and spark.read.parquet(path).count() == before == 3  # nothing is scanned again
+    assert S.append(more, path, "2").count() == 6
+
+
+def test_web_tokens_agree_with_a_plain_pattern():
+    plain = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
+    r = random.Random(12)
+    bits = ["eyJ", "eyJabcdefgh", ".", ".", "-", "_", "abcdefgh", "é", " ", "-eyJ12345678", "x", "abcdefghi"]
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(3, 16)))
+        assert [(a, b) for a, b, k in S.find_spans(t) if k == "jwt"] == [m.span() for m in plain.finditer(t)], t
+
+
+@pytest.mark.parametrize("bit", ["<meta content-language ", "<nav ", "<nav>", "<!--", "<html lang ", "<article>", "</nav", "eyJaaaaaaaa-", "eyJaaaaaaaa.", "password ", "-----BEGIN ", "a-b://c", "AKIA", "Bearer "])
+def test_ten_megabytes_of_anything_are_read_in_seconds(bit):
+    import time
+
+    text = bit * (10_000_000 // len(bit)) + " .eyJ"
+    began = time.perf_counter()
+    S.find_spans(text)
+    G.visible_and_declared(text)
+    assert time.perf_counter() - began < 10
 
 
 def test_redaction(spark, edge, empty):
