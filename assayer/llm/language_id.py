@@ -19,6 +19,8 @@ BUCKETS = 1 << 14
 EVIDENCE = 60
 #: Pages that a level's parent counts for in the host priors, and pseudo-counts in the tables of declarations and suffixes.
 PARENT, PSEUDO = 4.0, 0.5
+#: Declarations or suffixes that the pseudo-counts of a language stand for.
+KINDS = 20
 
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _CLOSE = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style", "nav", "footer", "aside", "header", "noscript")}
@@ -105,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, max_labelled: int = 8000, lang_column: str = "lang", id_column: str = "doc_id", text_column: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages, in order of name, and the log-probability of every trigram bucket in each.
+    """Languages, in order of name, and the log-probability of every trigram bucket in each: a model of BUCKETS numbers a language.
 
     ``max_labelled`` bounds the labelled texts used: of more, about so many are taken by the hash of their id. Null languages are left out.
     """
@@ -114,9 +116,10 @@ def train(labelled: DataFrame, max_labelled: int = 8000, lang_column: str = "lan
     picked = known.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else known
     rows = picked.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
+    place = {lang: k for k, lang in enumerate(langs)}
     counts = np.full((max(1, len(langs)), BUCKETS), 0.5)
     for r in rows:
-        counts[langs.index(r["lang"]), r["bucket"]] += r["n"]
+        counts[place[r["lang"]], r["bucket"]] += r["n"]
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -134,12 +137,21 @@ def _evidence(batches: Iterator[pa.RecordBatch], table: np.ndarray, markup: bool
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(scores), pa.list_(pa.float64()))], ["id", "address", "declared", "likelihood"])
 
 
-def _normal(logs: list[Column]) -> list[Column]:
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def _normal(logs: Column) -> Column:
     """Probabilities in proportion to the exponentials."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+    weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(weights, lambda w: w / _total(weights))
+
+
+def _added(*arrays: Column) -> Column:
+    out = arrays[0]
+    for x in arrays[1:]:
+        out = F.zip_with(out, x, lambda a, b: a + b)
+    return out
 
 
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray, id_column: str, content_column: str, address_column: str | None = None, markup: bool = False) -> DataFrame:
@@ -149,7 +161,8 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, id_column: st
     and without the row itself; its sums by declared language and by suffix are the tables of how a language's pages declare themselves and where
     they lie. A second pass adds the logarithms of all evidence. An address without a scheme, such as a source's name, is a host with no
     suffix. Null and empty contents have no text evidence, so priors decide; null addresses and missing declarations say nothing. Without
-    languages, language is null.
+    languages, language is null. Repeated rows are rows like others and each other's evidence. Markup is read in one pass, so very long or
+    malformed pages cost their length. An empty table has no rows; other columns, whatever their names, don't matter.
     """
     address = F.col(address_column).cast("string") if address_column else F.lit(None).cast("string")
     base = rows.select(F.col(id_column).cast("long").alias("id"), address.alias("address"), F.col(content_column).alias("content"))
@@ -162,41 +175,44 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, id_column: st
     if not langs:
         return found.select("id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host")
     k = range(len(langs))
-    logs = [F.col("likelihood")[i] for i in k]
-    first = found.select("id", "declared", "host", "suffix", *(x.alias(f"l{i}") for i, x in enumerate(logs)), *(p.alias(f"p{i}") for i, p in enumerate(_normal(logs))))
-    first = scratch.table(first, "first")
+    first = scratch.table(found.select("id", "declared", "host", "suffix", F.col("likelihood").alias("l"), _normal(F.col("likelihood")).alias("p")), "first")
     scratch.drop("evidence")
+    p, zeros = F.col("p"), F.lit([0.0] * len(langs))
+
+    def sums(name: str, *by: str) -> DataFrame:
+        return first.groupBy(*by).agg(F.array(*(F.sum(p[i]) for i in k)).alias(name))
+
+    def looked_up(df: DataFrame, name: str, by: str) -> DataFrame:
+        return df.join(sums(name, by).filter(F.col(by).isNotNull()), by, "left").withColumn(name, F.coalesce(name, zeros))
+
+    df = first.crossJoin(F.broadcast(sums("everywhere")))  # one row
+    for name, by in (("at_host", "host"), ("at_suffix", "suffix"), ("at_declared", "declared")):
+        df = looked_up(df, name, by)
+
+    def others(name: str, there: str | None = None) -> Column:
+        """The sums without the row itself, which is among them where it has that host, suffix or declaration."""
+        own = p if there is None else F.when(F.col(there).isNotNull(), p).otherwise(zeros)
+        return F.zip_with(name, own, lambda a, x: F.greatest(a - x, F.lit(0.0)))
+
+    prior = F.lit([1.0 / len(langs)] * len(langs))
+    for name, there in (("everywhere", None), ("at_suffix", "suffix"), ("at_host", "host")):
+        df = df.withColumn(f"n_{name}", others(name, there))
+        df = df.withColumn(f"prior_{name}", F.zip_with(f"n_{name}", prior, lambda a, q: a + PARENT * q))
+        df = df.withColumn(f"prior_{name}", F.transform(f"prior_{name}", lambda x: x / (_total(F.col(f"n_{name}")) + PARENT)))  # noqa: B023
+        prior = F.col(f"prior_{name}")
+    df = df.withColumn("n_declared", others("at_declared", "declared"))
+
+    def table(name: str, there: str) -> Column:
+        """The logarithm of a declaration's or suffix's probability in each language, next to its probability in any."""
+        logs = F.zip_with(name, "n_everywhere", lambda a, n: F.log((a + PSEUDO) / (n + PSEUDO * KINDS)))
+        return F.when(F.col(there).isNull(), zeros).otherwise(logs)
+
+    df = df.withColumn("q", _normal(_added(F.col("l"), F.transform(prior, lambda x: F.log(x)), table("n_declared", "declared"), table("n_at_suffix", "suffix"))))
+
+    def best(name: str) -> Column:
+        """(p, order): the likeliest language, the first of equals."""
+        return F.array_max(F.transform(name, lambda x, i: F.struct(x.alias("p"), (-i).alias("order"))))
 
-    def sums(prefix: str, *by: str) -> DataFrame:
-        return first.groupBy(*by).agg(*(F.sum(f"p{i}").alias(f"{prefix}{i}") for i in k))
-
-    def looked_up(df: DataFrame, prefix: str, by: str) -> DataFrame:
-        return df.join(sums(prefix, by).filter(F.col(by).isNotNull()), by, "left").fillna(0.0, [f"{prefix}{i}" for i in k])
-
-    whole = sums("a")
-    df = first.crossJoin(F.broadcast(whole))  # one row
-    df = looked_up(looked_up(looked_up(df, "h", "host"), "s", "suffix"), "d", "declared")
-    p = [F.col(f"p{i}") for i in k]
-
-    def prior(level: str, parent: list[Column], there: str | None) -> list[Column]:
-        own = [F.greatest(F.col(f"{level}{i}") - (p[i] if there is None else F.when(F.col(there).isNotNull(), p[i]).otherwise(0.0)), F.lit(0.0)) for i in k]
-        n = sum(own[1:], own[0])
-        return [(own[i] + PARENT * parent[i]) / (n + PARENT) for i in k]
-
-    flat = [F.lit(1.0 / len(langs)) for _ in k]
-    for level, there in (("a", None), ("s", "suffix"), ("h", "host")):
-        names = [f"prior_{level}{i}" for i in k]
-        df = df.withColumns(dict(zip(names, prior(level, flat, there))))
-        flat = [F.col(n) for n in names]
-    # a declaration's or suffix's probability in a language, next to its probability in any
-    rest = [F.greatest(F.col(f"a{i}") - p[i], F.lit(0.0)) for i in k]
-    said = [F.when(F.col("declared").isNull(), F.lit(0.0)).otherwise(F.log((F.greatest(F.col(f"d{i}") - p[i], F.lit(0.0)) + PSEUDO) / (rest[i] + PSEUDO * 20))) for i in k]
-    lies = [F.when(F.col("suffix").isNull(), F.lit(0.0)).otherwise(F.log((F.greatest(F.col(f"s{i}") - p[i], F.lit(0.0)) + PSEUDO) / (rest[i] + PSEUDO * 20))) for i in k]
-    df = df.withColumns({f"z{i}": F.col(f"l{i}") + F.log(flat[i]) + said[i] + lies[i] for i in k})
-    posterior = _normal([F.col(f"z{i}") for i in k])
-    df = df.withColumns({f"q{i}": x for i, x in enumerate(posterior)})
-
-    def best(prefix: str) -> Column:
-        return F.array_max(F.array(*(F.struct(F.col(f"{prefix}{i}").alias("p"), F.lit(-i).alias("order"), F.lit(langs[i]).alias("lang")) for i in k)))
-
-    return df.select("id", best("q")["lang"].alias("language"), best("q")["p"].alias("probability"), best("p")["lang"].alias("text_language"), "declared", "host")
+    names = F.lit(langs)
+    df = df.select("id", best("q").alias("q"), best("p").alias("p"), "declared", "host")
+    return df.select("id", F.get(names, -F.col("q.order")).alias("language"), F.col("q.p").alias("probability"), F.get(names, -F.col("p.order")).alias("text_language"), "declared", "host")

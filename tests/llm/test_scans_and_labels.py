@@ -174,3 +174,67 @@ def test_language_from_text_and_from_priors(spark, edge, empty):
     assert G.identify(edge, langs, table, "doc_id", "text", "source").count() == edge.count()
     assert G.identify(empty, langs, table, "doc_id", "text", "source").count() == 0
     assert G.train(empty)[0] == [] and G.identify(edge, [], table, "doc_id", "text").count() == edge.count()
+
+
+def test_markup_is_read_like_a_browser_would():
+    read = G.visible_and_declared
+    text, lang = read("<html lang='de-AT'><nav>no</nav><p>a</p><!-- <article>x</article> --><ARTICLE class=x>yes <b>it</b></Article ><main>more</main></html>")
+    assert (text.split(), lang) == (["yes", "it", "more"], "de")
+    assert read("plain text") == ("plain text", None) and read("") == ("", None) and read("a < b") == ("a < b", None)
+    assert read('<meta http-equiv="Content-Language" content="fr"><p>x</p>')[1] == "fr" and read('<meta content="it" http-equiv=content-language>')[1] == "it"
+    assert read("<nav>open <p>kept</p>")[0].split() == ["open", "kept"] and read("<article>open <main>in</main>")[0].strip() == "in"
+    assert read("<script>if (a < b) x</script>y<style>z")[0].split() == ["y", "z"]
+
+
+def test_posterior_agrees_with_brute_force(spark, edge, empty):
+    r = random.Random(4)
+    langs = ["de", "en", "fr"]
+    rng = np.random.default_rng(3)
+    table = np.log(rng.dirichlet(np.ones(G.BUCKETS), 3))
+    pages = []
+    for i in range(60):
+        host = r.choice(["a.x.de", "b.x.de", "c.y.com", "d.z.fr"])
+        head = r.choice(["<html>", "<html lang=de>", '<html lang="en">', ""])
+        pages.append((i, None if i == 7 else f"https://{host}/p{i}", None if i == 9 else f"{head}<p>{prose(i, r.randint(0, 12))}</p>"))
+    pages += [pages[3], pages[3]]
+    got = G.identify(spark.createDataFrame(pages, "id long, url string, html string"), langs, table, "id", "html", "url", markup=True).collect()
+
+    def likelihood(html):
+        import pyarrow as pa
+
+        grams, _ = G._trigrams(pa.array([G.visible_and_declared(html or "")[0].lower()]))
+        n = len(grams)
+        return table[:, grams].sum(axis=1) / max(n, 1) * min(n, G.EVIDENCE)
+
+    normal = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    seen = []
+    for i, url, html in pages:
+        host = re.match("https://([^/]*)", url).group(1) if url else None
+        seen.append((i, host, host.rsplit(".", 1)[1] if host else None, G.visible_and_declared(html or "")[1], likelihood(html), normal(likelihood(html))))
+    want = []
+    for k, (i, host, suffix, declared, l, p) in enumerate(seen):
+        def counts(column, value):
+            if value is None:
+                return np.zeros(3)
+            return sum((x[5] for j, x in enumerate(seen) if j != k and (column is None or x[column] == value)), np.zeros(3))  # noqa: B023
+
+        everywhere, at_suffix, at_host, said = counts(None, 1), counts(2, suffix), counts(1, host), counts(3, declared)
+        prior = np.ones(3) / 3
+        for own in (everywhere, at_suffix, at_host):
+            prior = (own + G.PARENT * prior) / (own.sum() + G.PARENT)
+        z = l + np.log(prior)
+        for own, value in ((said, declared), (at_suffix, suffix)):
+            if value is not None:
+                z = z + np.log((own + G.PSEUDO) / (everywhere + G.PSEUDO * G.KINDS))
+        q = normal(z)
+        want.append((i, langs[int(q.argmax())], round(float(q.max()), 6), declared, host))
+    assert sorted(map(repr, want)) == sorted(repr((x["id"], x["language"], round(x["probability"], 6), x["declared"], x["host"])) for x in got)
+    assert G.identify(edge, langs, table, "doc_id", "text", "source", markup=True).count() == edge.count()
+    assert G.identify(empty, langs, table, "doc_id", "text", "source", markup=True).count() == 0
+
+
+def test_many_languages_fit_in_one_plan(spark):
+    langs = [f"l{i:03d}" for i in range(120)]
+    table = np.log(np.random.default_rng(1).dirichlet(np.ones(G.BUCKETS), len(langs)))
+    docs = spark.createDataFrame([(i, prose(i, 30), f"s{i % 3}") for i in range(20)], "doc_id long, text string, source string")
+    assert {r["language"] for r in G.identify(docs, langs, table, "doc_id", "text", "source").collect()} <= set(langs)
