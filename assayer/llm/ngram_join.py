@@ -39,8 +39,9 @@ COUNTER_BLOCK = 1 << 12
 BLOCK = 512
 #: Partners of each set in a block that the first round compares, nearest by sketch first; the last round compares all that are left.
 NEAREST = (4, None)
-#: Rounds in which groups of more members than BLOCK are dealt out by the elements in which these differ from the hub.
-DEEPER = 3
+#: Rounds in which groups of more blocks than LARGE are dealt out by the elements in which their members differ from the hub. In smaller ones
+#: all pairs of sketches cost less than that.
+DEEPER, LARGE = 3, 16
 #: Segments for each element of the largest sets of a band, as a power of two. More segments tell frequent shingles apart better.
 FINER = 3
 _U = np.uint64
@@ -66,21 +67,19 @@ def set_names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(names), np.uint8).reshape(-1, 16)
 
 
-def _ranks(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each row of 16 bytes, in one order of these whatever the rows, and a row with each number."""
-    halves = np.ascontiguousarray(names).view(np.uint64).reshape(-1, 2)
-    by = np.lexsort((halves[:, 1], halves[:, 0]))
-    new = np.ones(len(by), bool)
-    new[1:] = (halves[by][1:] != halves[by][:-1]).any(axis=1)
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new) - 1
-    return rank, by[new]
+def _short(names: np.ndarray) -> np.ndarray:
+    """The first 64 bits of names. Sets that look alike by these become candidates too many, and only two of them that link could be missed."""
+    return np.ascontiguousarray(names).view(np.int64).reshape(-1, 2)[:, 0].copy()
 
 
 def _first_of_each(names: np.ndarray) -> np.ndarray:
     """Whether a row of 16 bytes is the one that counts of its kind."""
+    halves = np.ascontiguousarray(names).view(np.uint64).reshape(-1, 2)
+    by = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.ones(len(by), bool)
+    new[1:] = (halves[by][1:] != halves[by][:-1]).any(axis=1)
     once = np.zeros(len(names), bool)
-    once[_ranks(names)[1]] = True
+    once[by[new]] = True
     return once
 
 
@@ -89,22 +88,22 @@ def _binary(names: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(names))])
 
 
-SETS = "kind int, doc_id long, key long, node binary, n long, packed binary"
+SETS = "kind int, doc_id long, key long, node binary, short long, n long, packed binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, row key, set name, size, sketch) of each row; kind 1: (block, ..., counts) of the shingles of this partition."""
-    names, counts = ["kind", "doc_id", "key", "node", "n", "packed"], np.zeros(1 << COUNTER_BITS, np.int32)
+    names, counts = ["kind", "doc_id", "key", "node", "short", "n", "packed"], np.zeros(1 << COUNTER_BITS, np.int32)
     for batch in small_batches(batches):
         tokens, at = shingle_sets(batch.column(2), key)
         node, n = set_names(tokens, at), np.diff(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), _binary(node), pa.array(n), pa.array(sketches(tokens, at), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), _binary(node), pa.array(_short(node)), pa.array(n), pa.array(sketches(tokens, at), pa.binary())], names)
         once = _first_of_each(node)  # copies in a batch count once
         counts += np.bincount((tokens[np.repeat(once, n)] >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
     blocks = counts.reshape(-1, COUNTER_BLOCK)
     hit = np.flatnonzero(blocks.any(axis=1))
     zero = pa.array(np.zeros(len(hit), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, pa.nulls(len(hit), pa.binary()), zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.array(hit), zero, pa.nulls(len(hit), pa.binary()), zero, zero, pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in hit], pa.binary())], names)
     release()
 
 
@@ -224,11 +223,13 @@ def signatures(tokens: np.ndarray, at: np.ndarray, allocation: Allocation) -> tu
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-BLOB = "bucket int, nodes binary, sizes binary, high binary, low binary, owner binary"
+BLOB = "bucket int, nodes binary, sizes binary, high binary, low binary, owner binary, roots binary"
 
 
-def _blobs(sig: np.ndarray, owner: np.ndarray, deleted: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Signatures, the numbers of their sets and whether they are neighbours, packed by bucket; names (rows of 16 bytes) and sizes of the sets."""
+def _blobs(sig: np.ndarray, owner: np.ndarray, deleted: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int, root: np.ndarray | None = None) -> pa.RecordBatch:
+    """Signatures, the numbers of their sets and whether they are neighbours, packed by bucket; short names and sizes of the sets, and short
+    names of what they are connected with, if that is known. A set is in many buckets, so these are most of what is shuffled."""
+    node, root = _short(node), None if root is None else _short(root)
     bucket = (sig % _U(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     sig, owner, bucket = sig[by], owner[by] | np.where(deleted[by], _DELETED, 0), bucket[by]
@@ -237,8 +238,8 @@ def _blobs(sig: np.ndarray, owner: np.ndarray, deleted: np.ndarray, node: np.nda
     for b, x, y in zip(here.tolist(), start.tolist(), np.append(start[1:], len(bucket)).tolist()):
         used, local = np.unique(owner[x:y] & (_DELETED - 1), return_inverse=True)
         local = local.astype(np.uint16) | (owner[x:y] & _DELETED).astype(np.uint16)
-        out.append((b, node[used].tobytes(), n[used].astype(np.int32).tobytes(), (sig[x:y] >> _U(32)).astype(np.uint32).tobytes(), (sig[x:y] >> _U(16)).astype(np.uint16).tobytes(), local.tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int32()] + [pa.binary()] * 5)], ["bucket", "nodes", "sizes", "high", "low", "owner"])
+        out.append((b, node[used].tobytes(), n[used].astype(np.int32).tobytes(), (sig[x:y] >> _U(32)).astype(np.uint32).tobytes(), (sig[x:y] >> _U(16)).astype(np.uint16).tobytes(), local.tobytes(), b"" if root is None else root[used].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, [pa.int32()] + [pa.binary()] * 6)], ["bucket", "nodes", "sizes", "high", "low", "owner", "roots"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int, key: bytes) -> Iterator[pa.RecordBatch]:
@@ -254,44 +255,47 @@ def _sign(batches: Iterator[pa.RecordBatch], excess: np.ndarray, buckets: int, k
         release()
 
 
-CANDIDATES = "a binary, b binary, star boolean"
+CANDIDATES = "a long, b long, star boolean"
 
 
 def _bucket_pairs(blobs: list[tuple]) -> pa.RecordBatch:
-    """Distinct pairs of set names to compare: the two of a signature that two sets have, or each set with the hub, where more have it.
+    """Distinct pairs of short names to compare: the two of a signature that two sets have, or each set with the hub, where more have it.
 
     A signature's hub is the set with the smallest name of those with the subset itself. All sets of a signature are in the group of its hub.
+    Signatures of sets that are all connected give nothing.
     """
     nodes, sizes, sig, deleted, known = [], [], [], [], 0
-    for name, size, high, low, owner in blobs:
+    for name, size, high, low, owner, _ in blobs:
         at = np.frombuffer(owner, np.uint16).astype(np.int64)
         deleted.append(at >= _DELETED)
         at &= _DELETED - 1
         nodes.append(at + known)
-        known += len(name) // 16
+        known += len(name) // 8
         sizes.append(np.frombuffer(size, np.int32)[at])
         sig.append((np.frombuffer(high, np.uint32).astype(np.uint64) << _U(16)) | np.frombuffer(low, np.uint16).astype(np.uint64))
     node, n, s, cut = (np.concatenate(x) for x in (nodes, sizes, sig, deleted))
-    names = np.frombuffer(b"".join(blob[0] for blob in blobs), np.uint8).reshape(-1, 16)
-    rank, kinds = _ranks(names)
+    names, root = (np.frombuffer(b"".join(x), np.int64) for x in ((blob[0] for blob in blobs), (blob[5] or blob[0] for blob in blobs)))
     by = np.argsort(s, kind="stable")
     twice = s[by][1:] == s[by][:-1]
     shared = np.zeros(len(by), bool)
     shared[1:] |= twice
     shared[:-1] |= twice
     by = by[shared]
-    node = rank[node]
+    node, root = names[node], root[node]
     by = by[np.lexsort((node[by], cut[by], s[by]))]  # subsets themselves first, by name
-    node, n, s, cut = node[by], n[by], s[by], cut[by]
+    node, n, s, cut, root = node[by], n[by], s[by], cut[by], root[by]
     new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(s)))
     hub = np.repeat(first, count)
     star = np.repeat(count > 2, count)
     # of two sets only one pair can come; in a larger group, whoever doesn't fit the hub's size may still fit another member
-    keep = (node != node[hub]) & ~cut[hub] & (star | (4 * np.minimum(n, n[hub]) >= 3 * np.maximum(n, n[hub])))
+    apart = np.zeros(len(s), bool)
+    if len(first):
+        apart = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), count)
+    keep = apart & (node != node[hub]) & ~cut[hub] & (star | (4 * np.minimum(n, n[hub]) >= 3 * np.maximum(n, n[hub])))
     rows = np.unique(np.stack([node[hub][keep], node[keep], star[keep].astype(np.int64)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([_binary(names[kinds[rows[:, 0]]]), _binary(names[kinds[rows[:, 1]]]), pa.array(rows[:, 2] > 0)], ["a", "b", "star"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2] > 0)], ["a", "b", "star"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,15 +383,15 @@ def _verify(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.Record
     release()
 
 
-APART = "hub binary, node binary, block int, n long, e long, tokens binary, linked boolean"
+APART = "hub binary, node binary, block int, root binary, n long, e long, tokens binary, linked boolean"
 
 
 def _apart(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, node, block, text_a of the hub, text_b of the node): the node's size n, the elements in which it differs from the hub, whether
+    """Rows (hub, node, block, root, text_a of the hub, text_b of the node): the node's size n, the elements in which it differs from the hub, whether
     the two link, and e = 7 times the number of the elements less n. Two nodes with 7 |x ^ y| <= n + m share at least (e_x + e_y) / 14 of them. They come in one order for all
     nodes of a hub, the node's own before the hub's, which others are likelier to lack, too."""
-    names = ["hub", "node", "block", "n", "e", "tokens", "linked"]
-    for rows, sets in _two_sets(batches, 3, key):
+    names = ["hub", "node", "block", "root", "n", "e", "tokens", "linked"]
+    for rows, sets in _two_sets(batches, 4, key):
         e, tokens, size, linked = [], [], [], []
         for hub, x in sets:
             own, lacking = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
@@ -395,23 +399,23 @@ def _apart(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordB
             e.append(7 * (len(own) + len(lacking)) - len(x))
             linked.append(e[-1] <= len(hub))
             tokens.append(np.concatenate([own, lacking]).tobytes())
-        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(size, pa.int64()), pa.array(e, pa.int64()), pa.array(tokens, pa.binary()), pa.array(linked, pa.bool_())], names)
+        yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(size, pa.int64()), pa.array(e, pa.int64()), pa.array(tokens, pa.binary()), pa.array(linked, pa.bool_())], names)
     release()
 
 
 def _sign_apart(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, node, n, e, tokens, least): so many elements as signatures of the hub that nodes which share enough of them share one of these."""
+    """Rows (hub, node, root, n, e, tokens, least): so many elements as signatures of the hub that nodes which share enough of them share one of these."""
     for batch in small_batches(batches, text="tokens"):
         for rows in (batch.slice(i, _DELETED - 1) for i in range(0, batch.num_rows, _DELETED - 1)):
             sig, owner = [], []
-            for i, (hub, e, tokens, least) in enumerate(zip(*(rows.column(k).to_pylist() for k in (0, 3, 4, 5)))):
+            for i, (hub, e, tokens, least) in enumerate(zip(*(rows.column(k).to_pylist() for k in (0, 4, 5, 6)))):
                 t = np.frombuffer(tokens, np.uint64)
                 t = t[: max(0, len(t) - max(1, -(-(e + least) // 14)) + 1)]
                 sig.append(mix64(t ^ _U(int.from_bytes(hub[:8], "little"))))
                 owner.append(np.full(len(t), i))
             sig, owner = np.concatenate(sig), np.concatenate(owner)
-            node = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(-1, 16)
-            yield _blobs(sig, owner, np.zeros(len(sig), bool), node, rows.column(2).to_numpy(), buckets)
+            node, root = (np.frombuffer(b"".join(rows.column(k).to_pylist()), np.uint8).reshape(-1, 16) for k in (1, 2))
+            yield _blobs(sig, owner, np.zeros(len(sig), bool), node, rows.column(3).to_numpy(), buckets, root)
     release()
 
 
@@ -460,7 +464,7 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     for r in blocks.collect():  # 2**COUNTER_BITS numbers, whatever the corpus
         excess[r["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(r["excess"], np.float32)
     members = sets.filter("kind = 0").select("doc_id", "key", "node", "n")
-    nodes = sets.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "n", "packed")).alias("first"))
+    nodes = sets.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "short", "n", "packed")).alias("first"))
     nodes = scratch.table(nodes.select("node", "first.*"), "nodes")
     tables = ["nodes"]
 
@@ -470,7 +474,11 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def candidates(blobs: DataFrame, name: str) -> DataFrame:
         found = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, CANDIDATES)
-        return table(found.distinct(), f"candidates-{name}")
+        found = scratch.table(found.distinct(), f"short-{name}")
+        a, b = nodes.select(F.col("short").alias("a"), F.col("node").alias("x")), nodes.select(F.col("short").alias("b"), F.col("node").alias("y"))
+        out = table(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "star").filter("a <> b"), f"candidates-{name}")
+        scratch.drop(f"short-{name}")
+        return out
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, text) of distinct nodes; 128 bits name a row: its id (0 if null) and a hash of id and text."""
@@ -511,15 +519,15 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     group = grouped(found, "0")
     for level in range(DEEPER):
         now, hubs = open_groups(group, roots, f"deep-{level}")
-        large = hubs.filter("blocks > 1")
+        large = hubs.filter(F.col("blocks") > LARGE)
         if large.isEmpty():
             break
-        inside = now.join(large, "hub").filter("node <> hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("hub", "node", "block")
+        inside = now.join(large, "hub").filter("node <> hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("hub", "node", "block", "root")
         inside = table(inside, f"inside-{level}")
         copies = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # as many of a hub as it has blocks
         texts = table(texts_of(inside.select("node").union(large.select(F.col("hub").alias("node"))).distinct()), f"deep-texts-{level}")
         hub_texts = copies.select("hub", "block").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("text_a")), "hub")
-        both = inside.join(texts.withColumnRenamed("text", "text_b"), "node").join(hub_texts, ["hub", "block"]).select("hub", "node", "block", "text_a", "text_b")
+        both = inside.join(texts.withColumnRenamed("text", "text_b"), "node").join(hub_texts, ["hub", "block"]).select("hub", "node", "block", "root", "text_a", "text_b")
         apart = table(both.mapInArrow(partial(_apart, key=secret), APART), f"apart-{level}")
         nearest = apart.groupBy("hub").agg(F.min(F.struct("e", "node")).alias("best"))
         least = table(copies.select("hub", "block").join(nearest, "hub").select("hub", "block", F.col("best.e").alias("least"), F.col("best.node").alias("best")), f"least-{level}")
@@ -527,7 +535,7 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         # 7 (|x ^ h| + |y ^ h|) <= n + m: these link, whatever they share, and all such sets of a hub link with the nearest one
         sure = ready.filter("e + least <= 0 and node <> best").select("node", F.col("best").alias("other")).unionByName(apart.filter("linked").select("node", F.col("hub").alias("other")))
         sure = sure.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        found = candidates(ready.select("hub", "node", "n", "e", "tokens", "least").mapInArrow(partial(_sign_apart, buckets=4 * parts), BLOB), str(level + 1))
+        found = candidates(ready.select("hub", "node", "root", "n", "e", "tokens", "least").mapInArrow(partial(_sign_apart, buckets=4 * parts), BLOB), str(level + 1))
         fresh = table(once(found, str(level + 1)).join(tried, ["a", "b"], "left_anti"), f"fresh-{level}")
         links = links.unionByName(table(sure, f"sure-{level}")).unionByName(verified(fresh, str(level + 1)))
         roots, tried = connected(links, scratch, tables), tried.unionByName(fresh)

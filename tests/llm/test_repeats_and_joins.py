@@ -146,6 +146,7 @@ def test_large_groups_that_links_leave_apart(spark, monkeypatch):
     docs, want = spark.createDataFrame(rows(texts), SCHEMA), brute_groups(texts)
     assert 20 < len({g for _, g in want.values()}) < 150
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "LARGE", 1)
     for deeper in (3, 1, 0):
         monkeypatch.setattr(N, "DEEPER", deeper)
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.link_groups(docs).collect()} == want
