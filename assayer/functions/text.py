@@ -25,7 +25,7 @@ def rstrip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))  # what is left at the ends are blanks
 
 
 def text_key(text: Column) -> Column:
@@ -40,7 +40,7 @@ def first_sentence(text: Column) -> Column:
 
 def summary(text: Column, sentences: int) -> Column:
     """The first sentences, with their terminators, one blank apart."""
-    parts = F.slice(F.split(strip(text), r"(?U)(?<=[.!?])\s+"), 1, sentences)
+    parts = F.slice(F.split(strip(text), r"(?U)(?<=[.!?])\s+", sentences + 1), 1, sentences)
     return strip(F.array_join(F.filter(parts, lambda x: x != ""), " "))
 
 

@@ -36,7 +36,8 @@ def split_nodes(nodes: DataFrame, most: int = 200) -> DataFrame:
     long = nodes.filter(F.length(strip(F.col(text))) > most)
     if "is_split_child" in nodes.columns:
         long = long.filter(~F.coalesce("is_split_child", F.lit(False)))
-    pieces = long.withColumn("__parent", parent).withColumn("__pieces", split_description(F.col(text), most)).filter(F.size("__pieces") > 1)
+    # one generated row holds the pieces: a filter on them isn't pushed below it, where the splitter would run again
+    pieces = long.select("*", parent.alias("__parent"), F.explode(F.array(split_description(F.col(text), most))).alias("__pieces")).filter(F.size("__pieces") > 1)
     each = pieces.select(*long.columns, "__parent", F.posexplode("__pieces").alias("__at", "__piece"))
     number = F.col("__at") + 1
     child = F.concat("__parent", F.lit("::split::"), number.cast("string"))

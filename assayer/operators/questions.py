@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import first_sentence, strip, summary, themes
 from assayer.functions.values import truthy
+from assayer.session import checkpointed
 
 MODES = ("local", "global", "multi-hop", "unanswerable")
 #: Wordings of questions and answers; {} is a title. Fixed values.
@@ -20,6 +21,10 @@ METADATA_QUESTION = "What is the exact unpublished metadata of {}?"
 NO_ANSWER = "The documents do not provide enough information to answer this exactly."
 #: Documents that a question over the whole corpus cites.
 GLOBAL_DOCS = 3
+#: Documents that each other mode's question needs.
+NEEDED = {"global": 1, "multi-hop": 2, "unanswerable": 1}
+#: Questions that are chosen by a top-k, which one task ends.
+AT_ONCE = 10_000
 
 
 def _filled(wording: str, *titles: Column) -> Column:
@@ -33,6 +38,18 @@ def first_documents(docs: DataFrame, n: int, order: str = "id") -> DataFrame:
     return docs.orderBy(order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(order)))
 
 
+def numbered(docs: DataFrame, order: str = "id") -> tuple[DataFrame, int]:
+    """All documents, sorted, with their position from 1, and how many there are. They are dealt out by ranges and sorted in these; of each part
+    only the number of its rows comes to the driver."""
+    kept = checkpointed(docs.repartitionByRange(order).sortWithinPartitions(order)).withColumn("__row", F.monotonically_increasing_id())
+    part, row = F.shiftright("__row", 33).cast("int"), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["part"]: r["n"] for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0]
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(before[-1] + sizes.get(k, 0))
+    return kept.withColumn("pos", F.get(F.lit(before).cast("array<long>"), part) + row + 1).drop("__row"), before[-1]
+
+
 def _question(sample_id: Column, question: Column, kind: str, mode: str, answer: Column, contexts: Column, sources: Column, difficulty: str) -> list[Column]:
     return [sample_id.alias("sample_id"), question.alias("question"), F.lit(kind).alias("query_type"), F.lit(mode).alias("search_mode"), answer.alias("reference_answer"), contexts.alias("reference_contexts"), sources.alias("source_doc_ids"), F.lit(difficulty).alias("difficulty")]
 
@@ -83,15 +100,27 @@ def unanswerable_question(docs: DataFrame) -> DataFrame:
 
 
 def questions(docs: DataFrame, most: int, modes: tuple[str, ...] = ("local", "global"), order: str = "id") -> DataFrame:
-    """At most so many questions: local ones first, then the other modes in the order of MODES. Unknown modes ask nothing."""
-    numbered = first_documents(docs, max(most, GLOBAL_DOCS), order)
+    """At most so many questions: local ones first, then the other modes in the order of MODES. Unknown modes ask nothing.
+
+    A few are a top-k of documents. Of more than AT_ONCE all documents are numbered where they are, and nothing is sorted again.
+    """
+    first, total = (first_documents(docs, max(most, GLOBAL_DOCS), order), None) if most <= AT_ONCE else numbered(docs, order)
     makers = {"local": local_questions, "global": global_question, "multi-hop": multi_hop_question, "unanswerable": unanswerable_question}
-    parts = [makers[m](numbered).withColumn("mode_rank", F.lit(k)) for k, m in enumerate(MODES) if m in modes]
-    if not parts:
-        return local_questions(numbered).drop("index").limit(0)
-    out = parts[0]
+    wanted = [m for m in MODES if m in modes]
+    if not wanted:
+        return local_questions(first).drop("index").limit(0)
+    if total is not None:
+        room = most - (min(most, total) if "local" in wanted else 0)
+        others = [m for m in wanted if m != "local" and total >= NEEDED[m]][:room]
+        parts = [local_questions(first).filter(F.col("index") <= most)] if "local" in wanted else []
+        parts += [makers[m](first) for m in others]
+    else:
+        parts = [makers[m](first).withColumn("mode_rank", F.lit(k)) for k, m in enumerate(wanted)]
+    out = parts[0] if parts else local_questions(first).limit(0)
     for part in parts[1:]:
         out = out.unionByName(part)
+    if total is not None:
+        return out.drop("index")
     return out.orderBy("mode_rank", "index").limit(most).drop("mode_rank", "index")
 
 
@@ -107,9 +136,20 @@ def document_summaries(docs: DataFrame, sentences: int = 2) -> DataFrame:
 
 
 def corpus_summary(summaries: DataFrame, order: str = "id") -> DataFrame:
-    """One row: the summary of all summaries and its themes. It is for the few documents that a report names, as it holds them in one text."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("summary") != "", F.struct(order, "summary")))), lambda x: x["summary"]), " ")
-    return summaries.agg(joined.alias("corpus")).select(summary(F.col("corpus"), 3).alias("corpus_summary"), themes(F.col("corpus")).alias("themes"))
+    """One row: the summary of all summaries, in order, and its themes, as of one text that joins them.
+
+    Only its beginning decides: a top-k of the summaries that say something, and a longer one while these end before the last theme or sentence
+    does. So what one task holds grows with the answer and not with the corpus.
+    """
+    said, most = summaries.filter(F.col("summary") != "").select(order, "summary"), 16
+    while True:
+        head = said.orderBy(order, "summary").limit(most)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "summary"))), lambda x: x["summary"]), " ")
+        text = head.agg(joined.alias("corpus"), F.count(F.lit(1)).alias("n"))
+        ahead = text.select("n", F.length(summary(F.col("corpus"), 3)).alias("said"), F.length(summary(F.col("corpus"), 4)).alias("more"), F.size(themes(F.col("corpus"), 6)).alias("parts")).head()
+        if ahead["n"] < most or ahead["more"] > ahead["said"] and ahead["parts"] > 5:
+            return text.select(summary(F.col("corpus"), 3).alias("corpus_summary"), themes(F.col("corpus")).alias("themes"))
+        most *= 8
 
 
 def cluster_samples(vectors: DataFrame, clusters: int, seed: int = 42) -> DataFrame:

@@ -32,7 +32,7 @@ class Evaluate:
         elif self.metrics == "lexical":
             from assayer.operators.joins import strict_lookup
 
-            found = results.select("sample_id", "pos", "answer", F.transform("retrieved_contexts", lambda c: c["text"]).alias("retrieved_contexts"))
+            found = results.select("sample_id", "pos", "answer", F.filter(F.transform("retrieved_contexts", lambda c: c["text"]), lambda t: t.isNotNull() & (t != "")).alias("retrieved_contexts"))
             made = lexical_scores(strict_lookup(samples.select("sample_id", "question", "reference_answer"), found, "sample_id", F.col("pos"), self.strict))
         else:
             raise ValueError(f"unknown metrics: {self.metrics}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that a query's result or its plan at scale depends on; memory and partition counts belong to the cluster.
 DEFAULTS = {
@@ -22,3 +24,17 @@ def build_session(master: str | None = None, app: str = "assayer", **conf: str)
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions and order, written to the checkpoint folder: computed once, and safe from lost executors.
+
+    Where no folder is set, a local master gets a temporary one, and a cluster an error, as its executors couldn't see it.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assayer-"))
+    return df.checkpoint()

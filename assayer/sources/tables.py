@@ -9,7 +9,7 @@ from functools import partial
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.text import canonical_path, file_name, safe_token, stem, suffix
@@ -39,6 +39,19 @@ def text_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(suffix(name) == ".txt").select(file_name(name).alias("id"), stem(name).alias("title"), "text", "source_path")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line): lines that aren't blank, numbered from 0 in the order of files and lines, however they are split.
+
+    Lines of a split are numbered where they are read; how many there are in the splits before comes from a count of each.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place).filter(F.trim("value") != "").withColumn("row", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "block", "first", before.alias("before"))  # one row for each split
+    return lines.join(offsets, ["file", "block"]).select((F.col("before") + F.col("row") - F.col("first")).alias("pos"), F.col("value").alias("line"))
+
+
 def json_items(spark: SparkSession, path: str, envelopes: tuple[str, ...], strict: bool = False) -> DataFrame:
     """(pos, item variant): objects of a JSON list, of the list under the first envelope key that is there, or of JSON lines.
 
@@ -47,8 +60,7 @@ def json_items(spark: SparkSession, path: str, envelopes: tuple[str, ...], stric
     _must_exist(spark, path)
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".jsonl":
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")).filter(F.trim("line") != "")
-        return lines.select("pos", F.parse_json("line").alias("item"))
+        return numbered_lines(spark, path).select("pos", F.parse_json("line").alias("item"))
     if kind != ".json":
         raise ValueError(f"unsupported format: {kind or path}")
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
