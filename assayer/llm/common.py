@@ -82,7 +82,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, so that what is derived of a batch stays small."""
+    """The same rows in batches of about ``most`` bytes of text, so that what is derived of a batch stays small; memory goes back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,6 +92,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def release() -> None:

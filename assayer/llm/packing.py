@@ -30,7 +30,7 @@ class WordTokenizer:
     Only U+0020 and U+000A are taken as blanks; what else counts as white space is left to the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
