@@ -12,7 +12,7 @@ from assayer.sources.tables import Ocr, json_documents, pdf_pages, pypdf_pages,
 
 DOCUMENT = ("id", "title", "text", "source_path", "canonical_path", "kind")
 #: Kinds of layout blocks whose text is what they say; the others are pictures of something. Fixed values.
-TEXT_KINDS = ("text", "title", "list", "paragraph", "caption", "heading")
+TEXT_KINDS = ("text", "title", "heading", "paragraph", "list", "caption")
 
 
 def plain_documents(files: DataFrame) -> DataFrame:
