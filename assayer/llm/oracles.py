@@ -83,6 +83,23 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM d LEFT JOIN k ON d.r = k.r"""
 
 
+_COUNTS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS x FROM d)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(x) - len(list_distinct(x)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN p USING (doc_id)"""
+
+_EDITS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id, text) AS k FROM documents)
+SELECT a.doc_id, a.n::BIGINT AS n_chars, sha256(left(a.t, a.n - a.n // 2) || left(b.t, a.n // 2)) AS edited_sha256
+FROM d a JOIN d b ON b.k = a.k % (SELECT count(*) FROM d) + 1"""
+
+
 def _licenses() -> str:
     values = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in NOTICES.items())
     words = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -99,6 +116,8 @@ def _licenses() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op_quality_counts": _COUNTS,
+    "op_fingerprint_edits": _EDITS,
     "op3_suffix_dedup": _REPEATS,
     "op4_secret_scan": _secrets(),
     "op5_source_mixing": _MIX,

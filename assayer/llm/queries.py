@@ -32,12 +32,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.judge(docs.select("doc_id", "text"), rules).select("doc_id", *Q.BASE_COUNTS, "base_failed", "kept", "rule")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1's base rules count, and their verdict."""
+    from assayer.llm import quality_rules as Q
+
+    return Q.judge(documents(spark, sf_dir).select("doc_id", "text"), Q.DecisionList(())).select("doc_id", *Q.BASE_COUNTS, "base_failed")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.fingerprints import compare_with_next
 
     return compare_with_next(documents(spark, sf_dir))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and edited texts that op2 compares."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.suffix_dedup import remove_repeats
 
@@ -115,4 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op_quality_counts": quality_counts,
+    "op_fingerprint_edits": fingerprint_edits,
 }
