@@ -13,6 +13,8 @@ WIDTH = 3
 BLOCK = 4
 #: A template that is found with less probability than this by its bands isn't accepted.
 MIN_RECALL = 0.99
+#: Up to so many band keys of templates are literals of the plan; more are joined as a table, which gives the same rows.
+LITERALS = 4096
 
 #: Short notices as they are printed in works, with the identifiers of the licenses. Fixed values.
 NOTICES = {
@@ -52,24 +54,37 @@ def _keyed(least: Column, band: int) -> Column:
     return least.bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(band).cast("long"))
 
 
-def collision_probability(shingles: int, bands: int) -> float:
-    """At least: that a window of a document shares a band with a template of so many shingles that occurs in it whole.
+def held_shingles(shingles: int, missing: int) -> int:
+    """At least: how many shingles of a template the best window of a text holds, wherever it starts, if so many were altered where they stand.
 
-    Windows start every BLOCK shingles. A template longer than a window and a block holds a whole window, and its own windows start at every
-    shingle, so they are equal. Of a shorter one, some window holds so many shingles as counted here.
+    Windows that don't overlap share no shingle, so to leave none with more than h, all that they hold beyond h must be altered.
+    """
+    window, least = 2 * BLOCK, shingles
+    for offset in range(BLOCK):
+        best = 0
+        for first in (-offset, BLOCK - offset):
+            over = [min(s + window, shingles) - max(s, 0) for s in range(first, shingles, window)]
+            best = max(best, next(h for h in range(window + 1) if sum(max(0, o - h) for o in over) <= missing))
+        least = min(least, best)
+    return least
+
+
+def collision_probability(shingles: int, bands: int, containment: float = 1.0) -> float:
+    """At least: that a window of a text shares a band with a template of so many distinct shingles, of which the text holds that share in their places.
+
+    Windows of texts start every BLOCK shingles and those of templates at every shingle, so the best window's shingles are all in one of the template's.
     """
     window = 2 * BLOCK
-    if shingles >= window + BLOCK - 1:
-        return 1.0
-    held = min(shingles, max(window - BLOCK + 1, shingles - BLOCK // 2))
-    held = min(held, window)
+    held = held_shingles(shingles, shingles - math.ceil(containment * shingles - 1e-9))
     return 1.0 - (1.0 - held / (window + min(shingles, window) - held)) ** bands
 
 
 def template_keys(templates: DataFrame, bands: int) -> DataFrame:
     """(license, shingles, keys): distinct shingles of each template and the band keys of its windows, which start at every shingle."""
     window = 2 * BLOCK
-    rows = templates.select("license", _words(F.col("notice")).alias("words")).withColumn("all", _shingles(F.col("words"))).filter(F.size("all") > 0)
+    # generated rows, as in scan: no filter is pushed into the bodies of array expressions, where it would be evaluated for each element
+    rows = templates.select("license", F.explode(F.array(_words(F.col("notice")))).alias("words"))
+    rows = rows.select("license", F.explode(F.array(_shingles(F.col("words")))).alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - (window - 1)))
     keys = F.flatten(F.transform(starts, lambda s: F.array(*(_keyed(F.array_min(_xored(F.slice("all", s, F.lit(window)), m)), b) for b, m in enumerate(_masks(bands))))))
     return rows.select("license", F.array_distinct("all").alias("shingles"), F.array_distinct(keys).alias("keys"))
@@ -82,21 +97,19 @@ def _xored(hashes: Column, mask: int) -> Column:
 def scan(docs: DataFrame, templates: DataFrame, bands: int = 12, min_containment: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, license, containment, word): the licenses whose notice is in a text, and the word (from 0) near which it starts first.
 
-    Templates (license, notice) are a small list that the driver holds; their bands are literals of the plan. Every text's shingles are
-    taken in blocks, the least hash of a block under each band's order is kept, and a window's least is that of its two blocks. Texts
-    without a window that meets a template go; of the others, the windows that do are verified: at least ``min_containment`` of the
-    template's distinct shingles are among those from a template's length before the window to one after it. ``bands`` must find every
-    template with probability MIN_RECALL (ValueError otherwise). Null, empty and short texts have no window; repeated rows give one
-    result; templates without a shingle are never found.
+    Templates are a table (license, notice). Every text's shingles are taken in blocks, the least hash of a block under each band's order is
+    kept, and a window's least is that of its two blocks. Windows that meet no template go; the others are verified: at least
+    ``min_containment`` of the template's distinct shingles are among those from a template's length before the window to one after it.
+    ``bands`` must find every template that holds so many shingles in their places with probability MIN_RECALL (ValueError otherwise).
+    Null, empty and short texts have no window; repeated rows give one result; a license may have several templates, the best counts;
+    templates without a shingle are never found. Empty tables give no rows, and no column of ``docs`` but its id and text is read.
     """
-    held = template_keys(templates, bands).collect()
-    for t in held:
-        if collision_probability(len(t["shingles"]), bands) < MIN_RECALL:
-            raise ValueError(f"{t['license']}: {bands} bands find it with probability {collision_probability(len(t['shingles']), bands):.3f}")
-    empty = docs.select(F.col(id_column).cast("long").alias("doc_id")).limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"))
-    if not held:
-        return empty
-    wanted = F.lit(sorted({k for t in held for k in t["keys"]})).cast("array<long>")
+    keyed = template_keys(templates, bands).withColumn("template", F.xxhash64("license", "shingles"))
+    lengths = keyed.groupBy(F.size("shingles").alias("n")).agg(F.min("license").alias("license"), F.sum(F.size("keys")).alias("keys")).collect()  # one row for each length
+    for t in lengths:
+        if (found := collision_probability(t["n"], bands, min_containment)) < MIN_RECALL:
+            raise ValueError(f"{t['license']}: {bands} bands find it with probability {found:.3f}")
+    few = sum(t["keys"] for t in lengths) <= LITERALS
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("words", _words(F.col("text"))).withColumn("h", _shingles(F.col("words"))).drop("words")
     hashes, blocks = F.col("h"), F.ceil(F.size("h") / BLOCK).cast("int")
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "h", F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")).alias("at"))
@@ -104,16 +117,36 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = 12, min_containment
         rows = rows.withColumn(f"b{b}", _block_least(hashes, mask))
     windows = F.array(*(F.transform("at", _window_key(F.col(f"b{b}"), b)) for b in range(bands)))
     # a generated row is a wall that filters aren't pushed through, into the bodies of array expressions
-    rows = rows.select("doc_id", "key", F.explode(F.array(F.struct("h", windows.alias("bands")))).alias("s")).filter(F.arrays_overlap(F.flatten("s.bands"), wanted))
-    hit = rows.select("doc_id", "key", "s.h", F.explode(F.arrays_zip("s.bands")).alias("band")).select("doc_id", "key", "h", F.posexplode("band.bands").alias("window", "found")).filter(F.array_contains(wanted, F.col("found")))
-    known = docs.sparkSession.createDataFrame([(t["license"], t["shingles"], k) for t in held for k in t["keys"]], "license string, shingles array<long>, found long")
-    pairs = hit.join(F.broadcast(known), "found")  # as many rows as the templates have windows and bands
+    rows = rows.select("doc_id", "key", F.explode(F.array(F.struct("h", windows.alias("bands")))).alias("s"))
+    pairs = (_pairs_by_literals if few else _pairs_by_join)(rows, keyed)
     first, last = F.greatest(F.lit(0), F.col("window") * BLOCK - F.size("shingles")), F.col("window") * BLOCK + 2 * BLOCK + F.size("shingles")
     near = F.slice("h", first + 1, last - first)
     checked = pairs.select("doc_id", "key", "license", (F.size(F.array_intersect("shingles", near)) / F.size("shingles")).alias("containment"), (F.col("window") * BLOCK).cast("long").alias("word"))
     return checked.groupBy("doc_id", "key", "license").agg(F.max("containment").alias("containment"), F.min("word").alias("word")).filter(F.col("containment") >= min_containment).drop("key")
 
 
+def _keys_of(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row (doc_id, key, carried..., window, found) for each window and band."""
+    each = rows.select("doc_id", "key", *carried, F.explode(F.arrays_zip("s.bands")).alias("band"))
+    return each.select("doc_id", "key", *(c.rpartition(".")[2] for c in carried), F.posexplode("band.bands").alias("window", "found"))
+
+
+def _pairs_by_literals(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(doc_id, key, h, window, license, shingles) of windows that meet a template: texts without one go before a row is made of any window."""
+    held = keyed.collect()
+    wanted = F.lit(sorted({k for t in held for k in t["keys"]})).cast("array<long>")
+    known = rows.sparkSession.createDataFrame([(t["license"], t["shingles"], k) for t in held for k in t["keys"]], "license string, shingles array<long>, found long")
+    hit = _keys_of(rows.filter(F.arrays_overlap(F.flatten("s.bands"), wanted)), "s.h").filter(F.array_contains(wanted, F.col("found")))
+    return hit.join(F.broadcast(known), "found")  # at most LITERALS rows
+
+
+def _pairs_by_join(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The same rows by joins: keys meet keys, and only texts that meet a template are met with their shingles again."""
+    known = keyed.select("license", "template", F.explode("keys").alias("found"))
+    met = _keys_of(rows).join(known, "found").select("doc_id", "key", "window", "license", "template").distinct()
+    return met.join(keyed.select("license", "template", "shingles"), ["license", "template"]).join(rows.select("key", "s.h"), "key")
+
+
 def _block_least(hashes: Column, mask: int) -> Column:
     return F.transform("at", lambda j: F.least(*(F.get(hashes, j * BLOCK + k).bitwiseXOR(F.lit(mask)) for k in range(BLOCK))))
 
@@ -122,7 +155,7 @@ def _window_key(blocks: Column, band: int):
     return lambda j: _keyed(F.least(F.get(blocks, j), F.get(blocks, j + 1)), band)
 
 
-def bands_for(shingles: int, recall: float = MIN_RECALL) -> int:
+def bands_for(shingles: int, recall: float = MIN_RECALL, containment: float = 1.0) -> int:
     """The fewest bands that find a template of so many shingles with probability ``recall``."""
-    miss = 1.0 - collision_probability(shingles, 1)
+    miss = 1.0 - collision_probability(shingles, 1, containment)
     return 1 if miss <= 0 else max(1, math.ceil(math.log(1.0 - recall) / math.log(miss)))

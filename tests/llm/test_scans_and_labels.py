@@ -150,10 +150,46 @@ def test_licenses_are_found_where_they_are(spark, edge, empty):
     assert "Python" not in L.scan(docs, L.notices(spark))._jdf.queryExecution().executedPlan().toString()
 
 
+def altered(notice: str, r: random.Random) -> str:
+    """A notice with a few words replaced, left out or put in."""
+    words = notice.split()
+    for _ in range(r.randint(1, 3)):
+        at, how = r.randrange(len(words)), r.random()
+        words[at : at + (how < 0.7)] = [prose(r.randrange(10**6), 1)] if how < 0.4 or how >= 0.7 else []
+        words = words or ["x"]
+    return " ".join(words)
+
+
+def test_altered_notices_are_found_as_brute_force_finds_them(spark):
+    r, texts, want = random.Random(4), [], set()
+    shingles = lambda t: (lambda w: {tuple(w[i : i + L.WIDTH]) for i in range(len(w) - L.WIDTH + 1)})([w for w in re.split(r"[\W_]+", t.lower()) if w])
+    for i in range(1500):
+        texts.append(f"{prose(i, r.randint(0, 9))} {altered(r.choice(list(L.NOTICES.values())), r)} {prose(i + 5000, r.randint(0, 30))}")
+        want |= {(i, name) for name, notice in L.NOTICES.items() if len(shingles(notice) & shingles(texts[-1])) >= 0.8 * len(shingles(notice))}
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {(x["doc_id"], x["license"]) for x in L.scan(docs, L.notices(spark)).collect()}
+    assert len(want) > 200 and got <= want and len(got) >= L.MIN_RECALL * len(want), (len(got), len(want))
+
+
+def test_templates_of_any_number_are_joined(spark, edge, empty, monkeypatch):
+    """More keys than are literals: whole texts of two thousand words, two templates of one license."""
+    long = [("long-a", prose(1, 2000)), ("long-b", prose(2, 700)), ("long-b", prose(3, 400)), ("none", "")]
+    templates = spark.createDataFrame([*L.NOTICES.items(), *long], "license string, notice string")
+    texts = [f"{prose(50 + i, i * 3)} {notice} {prose(90 + i, 20)}" for i, (_, notice) in enumerate(long[:3])] + [f"x {n} y" for n in L.NOTICES.values()] + [None, "", prose(8, 900)]
+    docs = spark.createDataFrame(rows(texts) + rows(texts)[:1], SCHEMA)
+    got = sorted((x["doc_id"], x["license"]) for x in L.scan(docs, templates).filter("containment = 1.0").collect())
+    assert got == sorted([(0, "long-a"), (1, "long-b"), (2, "long-b")] + [(3 + i, n) for i, n in enumerate(L.NOTICES)])
+    few = sorted(map(tuple, L.scan(docs, L.notices(spark)).collect()))
+    monkeypatch.setattr(L, "LITERALS", 0)
+    assert sorted(map(tuple, L.scan(docs, L.notices(spark)).collect())) == few
+    assert L.scan(edge, L.notices(spark)).count() == 0 and L.scan(empty, L.notices(spark)).count() == 0
+
+
 def test_bands_must_be_enough(spark):
     with pytest.raises(ValueError):
         L.scan(spark.createDataFrame(rows(["a b c d"]), SCHEMA), L.notices(spark), bands=2)
     assert L.collision_probability(3, L.bands_for(3)) >= L.MIN_RECALL and L.collision_probability(40, 1) == 1.0
+    assert L.held_shingles(8, 1) == 5 and L.held_shingles(20, 4) == 6 and L.collision_probability(8, 12, 0.8) >= L.MIN_RECALL
     assert L.scan(spark.createDataFrame(rows(["a"]), SCHEMA), L.notices(spark).limit(0)).count() == 0
 
 
