@@ -6,6 +6,8 @@ import argparse
 import json
 from collections.abc import Sequence
 
+from pyspark.sql import functions as F
+
 from assayer.plans import jobs
 from assayer.session import build_session
 from assayer.sources import sinks, tables
@@ -38,6 +40,20 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--fidelity", default="js")
     c.add_argument("--neighbours", type=int, default=10)
     c.add_argument("--centroids", type=int, default=5)
+    add("stage", "source", "output", help="mixed files to flat text files")
+    add("retrieval-prep", "results", "units", "output", help="saved results to retrieval rows with ids of text units")
+    c = add("retrieval-score", "reference", "clusters", "output", help="retrieval rows against a reference")
+    c.add_argument("results", nargs="+", help="method=path of retrieval rows")
+    c.add_argument("--units")
+    c.add_argument("--match-by", default="id", choices=("id", "short_id", "text"))
+    c.add_argument("--threshold", type=int, default=2)
+    c.add_argument("--fidelity", default="js")
+    c.add_argument("--alpha", type=float, default=0.05)
+    c.add_argument("--correction", default="holm", choices=("holm", "bonferroni", "none"))
+    c = add("assertion-score", "questions", "answers", "output", help="answers against assertions")
+    c.add_argument("--trials", type=int, default=1)
+    c.add_argument("--top", type=int)
+    add("assertion-report", "questions", "scores", "output", help="a report of assertion scores")
     c = add("pipeline-report", "output", help="a report of step summaries")
     c.add_argument("summaries", nargs="+", help="name=path of JSON lines")
     return p
@@ -62,6 +78,25 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
         out = jobs.Summarise(a.source, a.output).run(spark)
     elif a.command == "retrieval":
         out = jobs.RetrievalSmoke(a.graph, a.results, a.output, a.neighbours, a.centroids, a.fidelity).run(spark)
+    elif a.command == "stage":
+        from assayer.operators import ingest
+
+        docs = sinks.staged(ingest.normalise_tree(spark, a.source)[0])
+        sinks.text_files(a.output, docs.withColumn("canonical_path", F.col("name")))
+        out = docs.agg(F.count(F.lit(1)).alias("staged"))
+    elif a.command == "retrieval-prep":
+        out = jobs.PrepareRetrieval(a.results, a.units, a.output).run(spark)
+    elif a.command == "retrieval-score":
+        out = jobs.ScoreRetrieval(a.reference, a.clusters, dict(r.split("=", 1) for r in a.results), a.output, a.units, a.match_by, a.threshold, a.fidelity, a.alpha, a.correction).run(spark)
+    elif a.command == "assertion-score":
+        out = jobs.ScoreAssertions(*jobs.assertion_inputs(spark, a.questions, a.answers), a.output, a.trials, a.top).run(spark)
+    elif a.command == "assertion-report":
+        from assayer import report
+
+        asked = tables.json_items(spark, a.questions, ("questions", "assertions")).select(F.coalesce(F.try_variant_get("item", "$.claim_count", "long"), F.lit(0)).alias("claim_count"), F.coalesce(F.size(F.try_variant_get("item", "$.assertions", "array<variant>")), F.lit(0)).alias("assertion_count"))
+        sinks.write_text(spark, a.output, report.assertion_report(asked, spark.read.parquet(a.scores)))
+        print(json.dumps({"written": a.output}))
+        return 0
     else:
         from assayer import report
 

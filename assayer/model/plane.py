@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -151,8 +152,6 @@ def run_metrics(rows: DataFrame, metrics: Mapping[str, Callable[[], Metric]]) ->
 
 
 def _search(batches: Iterator[pa.RecordBatch], searcher: Searcher) -> Iterator[pa.RecordBatch]:
-    import json
-
     for batch in batches:
         found = [json.dumps(searcher.search(r["question"], r["search_mode"], r["sample_id"]), ensure_ascii=False) for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sample_id")), pa.array(found)], ["sample_id", "result"])
@@ -163,6 +162,13 @@ def search(questions: DataFrame, searcher: Searcher) -> DataFrame:
     return questions.select("sample_id", "question", "search_mode").mapInArrow(partial(_search, searcher=searcher), "sample_id string, result string")
 
 
+def resolve(names: list[str], registry: Mapping[str, Callable[[], Metric]]) -> dict[str, Callable[[], Metric]]:
+    """The registry's metrics of these names, once each, in this order."""
+    if lost := [n for n in names if n not in registry]:
+        raise ValueError(f"unsupported or unavailable metrics: {', '.join(lost)}")
+    return {n: registry[n] for n in names}
+
+
 # ---------------------------------------------------------------- lexical variants of model metrics
 
 
@@ -193,6 +199,48 @@ def parse_whole(text: str | None) -> int | None:
     return int(text) if text and text.strip() else None
 
 
+def parse_object(name: str, text: str | None) -> dict[str, Any] | None:
+    """A setting that is a JSON object, or None if it isn't set."""
+    if not text:
+        return None
+    try:
+        value = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{name} isn't JSON") from e
+    if not isinstance(value, dict):
+        raise ValueError(f"{name} must be a JSON object")
+    return value
+
+
+@dataclass(frozen=True)
+class EmbeddingConfig:
+    """How to embed. The provider is the chat model's where none is given."""
+
+    provider: str = ""
+    model: str = ""
+    base_url: str | None = None
+    api_key: str | None = None
+    extra_body: Mapping[str, Any] | None = None
+    device: str | None = None
+    max_seq_length: int = 128
+    query_prefix: str | None = None
+    document_prefix: str | None = None
+    normalize: bool = True
+
+    @classmethod
+    def from_env(cls, prefix: str, env: Mapping[str, str] | None = None, **given: Any) -> EmbeddingConfig:
+        """Settings PREFIX_EMBEDDINGS_MODEL, ... of the environment; arguments count more."""
+        env = os.environ if env is None else env
+        at = lambda name: env.get(f"{prefix}_EMBEDDINGS_{name}") or None
+        found: dict[str, Any] = {k: v for k in ("model", "base_url", "api_key", "device", "query_prefix", "document_prefix") if (v := at(k.upper()))}
+        found["provider"] = (at("PROVIDER") or env.get(f"{prefix}_PROVIDER") or "").strip().lower()
+        found["extra_body"] = parse_object(f"{prefix}_EMBEDDINGS_EXTRA_BODY", at("EXTRA_BODY"))
+        found["normalize"] = parse_flag(at("NORMALIZE"), True)
+        if (n := parse_whole(at("MAX_SEQ_LENGTH"))) is not None:
+            found["max_seq_length"] = n
+        return cls(**(found | given))
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     """How to reach a model. Hosts other than these few must be allowed by name."""
@@ -202,6 +250,8 @@ class ModelConfig:
     api_key: str = ""
     max_tokens: int = 256
     sequence: int = 128
+    provider: str = ""
+    extra_body: Mapping[str, Any] | None = None
     hosts: tuple[str, ...] = ("openrouter.ai", "localhost", "127.0.0.1")
 
     def __post_init__(self) -> None:
@@ -213,5 +263,7 @@ class ModelConfig:
         """Settings PREFIX_BASE_URL, PREFIX_MODEL, ... of the environment; arguments count more."""
         env = os.environ if env is None else env
         found: dict[str, Any] = {k: v for k in ("base_url", "model", "api_key") if (v := env.get(f"{prefix}_{k.upper()}"))}
+        found["provider"] = (env.get(f"{prefix}_PROVIDER") or "").strip().lower()
+        found["extra_body"] = parse_object(f"{prefix}_EXTRA_BODY", env.get(f"{prefix}_EXTRA_BODY"))
         found |= {k: n for k in ("max_tokens", "sequence") if (n := parse_whole(env.get(f"{prefix}_{k.upper()}"))) is not None}
         return cls(**(found | given))

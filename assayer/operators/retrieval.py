@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from assayer.functions.values import divergence, truthy
 from assayer.operators.joins import nearest, resolve_units
+from assayer.operators.scores import corrected, sign_test
+
+#: What a retrieved context and a cluster's unit are matched by: the context's column and the unit's.
+MATCH = {"id": ("chunk_id", "unit_id"), "short_id": ("chunk_id", "short_id"), "text": ("text", "text")}
+#: What is scored of each question.
+SCORES = ("binary_precision", "graded_precision", "recall", "fidelity")
 
 
 def context_ids(contexts: DataFrame) -> DataFrame:
@@ -62,13 +68,51 @@ def centroids(units: DataFrame) -> DataFrame:
     return means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def match_units(contexts: DataFrame, units: DataFrame, by: str = "id") -> DataFrame:
+    """Contexts (question_id, chunk_id, text, ...) with the unit_id and cluster_id of the unit that they are, by id, short_id or text.
+
+    units: (unit_id, short_id, text, cluster_id). Of several equal units the smallest id counts; a context without a unit has its own id and no
+    cluster. Texts meet by digest.
+    """
+    if by not in MATCH:
+        raise ValueError(f"clusters are matched by {', '.join(MATCH)}, not by {by}")
+    theirs, ours = ((F.sha2(c, 256) if by == "text" else F.col(c).cast("string")) for c in MATCH[by])
+    known = units.select(ours.alias("__match"), F.struct("unit_id", "cluster_id").alias("u")).groupBy("__match").agg(F.min("u").alias("__unit"))
+    joined = contexts.withColumn("__match", theirs).join(known, "__match", "left")
+    return joined.withColumn("unit_id", F.coalesce("__unit.unit_id", "chunk_id")).withColumn("cluster_id", F.col("__unit.cluster_id")).drop("__match", "__unit")
+
+
+def rate(matched: DataFrame, reference: DataFrame) -> DataFrame:
+    """Matched contexts with a score by rule: 3 for a unit of the question's reference, else 0; those of no cluster are in "none"."""
+    good = reference.select("question_id", "unit_id").distinct().withColumn("score", F.lit(3))
+    return matched.join(good, ["question_id", "unit_id"], "left").withColumn("score", F.coalesce("score", F.lit(0))).withColumn("cluster_id", F.coalesce("cluster_id", F.lit("none")))
+
+
+def compare(each: DataFrame, method: str = "rag_method", alpha: float = 0.05, correction: str = "holm") -> DataFrame:
+    """(metric_name, first, second, wins, losses, p_value, p_adjusted, significant): sign tests of each two methods over the questions that both have.
+
+    each: what question_scores gives, by method. Tests of one metric are a family for the correction: holm, bonferroni or none.
+    """
+    tidy = each.unpivot([method, "question_id"], list(SCORES), "metric_name", "value")
+    left = tidy.select("question_id", "metric_name", F.col(method).alias("first"), F.col("value").alias("a"))
+    right = tidy.select("question_id", "metric_name", F.col(method).alias("second"), F.col("value").alias("b"))
+    pairs = left.join(right, ["question_id", "metric_name"]).filter("first < second")  # as many rows of a question as pairs of methods
+    tests = sign_test(pairs, ["metric_name", "first", "second"], "a", "b").withColumn("test", F.concat_ws(" / ", "first", "second"))
+    return corrected(tests, "metric_name", correction).withColumn("significant", F.col("p_adjusted") < alpha).drop("test")
+
+
 def score(retrieved: DataFrame, relevance: DataFrame, threshold: int = 2, fidelity: str = "js", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each group of ``by``: binary_precision, graded_precision, recall, fidelity, total_queries.
+    """One row for each group of ``by``: binary_precision, graded_precision, recall, fidelity, total_queries; means of question_scores."""
+    return means(question_scores(retrieved, relevance, threshold, fidelity, by), by)
+
+
+def question_scores(retrieved: DataFrame, relevance: DataFrame, threshold: int = 2, fidelity: str = "js", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each question and group of ``by``: binary_precision, graded_precision, recall, fidelity.
 
     retrieved: (by..., question_id, unit_id, cluster_id, score 0-3); relevance: (question_id, cluster_id, n), how many units of each cluster
     are relevant. Precision is the share of retrieved units with the threshold, or the mean score over 3. Recall is the share of relevant
-    clusters of which a relevant unit was retrieved; fidelity is 1 minus the divergence of the clusters' shares, relevant and retrieved. All are
-    means over questions; the formulas are ours, as none is published.
+    clusters of which a relevant unit was retrieved; fidelity is 1 minus the divergence of the clusters' shares, relevant and retrieved. The
+    formulas are ours, as none is published.
     """
     keys = [*by, "question_id"]
     hit = F.col("score") >= threshold
@@ -86,4 +130,9 @@ def score(retrieved: DataFrame, relevance: DataFrame, threshold: int = 2, fideli
     q = F.transform("c", lambda x: F.coalesce(F.try_divide(x["got"].cast("double"), F.col("all_got")), F.lit(0.0)))
     same = shares.withColumn("p", p).withColumn("q", q).withColumn("same", 1 - divergence(fidelity, F.col("p"), F.col("q")))
     joined = precision.join(same.select(*keys, "recall", "same"), keys)
-    return joined.groupBy(*by).agg(F.avg("binary").alias("binary_precision"), F.avg("graded").alias("graded_precision"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("recall"), F.avg("same").alias("fidelity"), F.count(F.lit(1)).alias("total_queries"))
+    return joined.select(*keys, F.col("binary").alias("binary_precision"), F.col("graded").alias("graded_precision"), F.coalesce("recall", F.lit(0.0)).alias("recall"), F.col("same").alias("fidelity"))
+
+
+def means(each: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The means of question_scores, and how many questions there are."""
+    return each.groupBy(*by).agg(*(F.avg(c).alias(c) for c in SCORES), F.count(F.lit(1)).alias("total_queries"))

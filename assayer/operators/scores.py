@@ -60,7 +60,18 @@ def holm(tests: DataFrame, family: str, p_value: str = "p_value", name: str = "t
     return tests.withColumn("step", step).withColumn("p_adjusted", F.max("step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("step")
 
 
-def sign_test(pairs: DataFrame, name: str, first: str, second: str) -> DataFrame:
+def corrected(tests: DataFrame, family: str, correction: str = "holm") -> DataFrame:
+    """Tests (test, p_value) with p_adjusted within each family, by the correction's name."""
+    if correction == "holm":
+        return holm(tests, family)
+    if correction == "bonferroni":
+        return tests.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * F.count(F.lit(1)).over(Window.partitionBy(family))))
+    if correction == "none":
+        return tests.withColumn("p_adjusted", F.col("p_value"))
+    raise ValueError(f"unknown correction: {correction}")
+
+
+def sign_test(pairs: DataFrame, name: str | list[str], first: str, second: str) -> DataFrame:
     """Two-sided sign test of paired values, ours where a published one is unknown: normal approximation with continuity correction."""
     counted = pairs.groupBy(name).agg(F.count_if(F.col(first) > F.col(second)).alias("wins"), F.count_if(F.col(first) < F.col(second)).alias("losses"))
     n = F.col("wins") + F.col("losses")

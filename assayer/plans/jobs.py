@@ -128,6 +128,69 @@ class ScoreAssertions:
         return out
 
 
+def assertion_inputs(spark: SparkSession, questions_path: str, answers_path: str) -> tuple[DataFrame, DataFrame]:
+    """Questions with assertions, and answers, of JSON files with a list each or under "questions" and "results" or "answers"."""
+    a = "array<struct<statement: string, assertion: string, rank: int, score: double>>"
+    text = lambda *names: F.coalesce(*(F.try_variant_get("item", f"$.{n}", "string") for n in names))
+    asked = tables.json_items(spark, questions_path, ("questions", "assertions")).select(text("question_id", "id").alias("question_id"), text("question_text", "question", "text").alias("question_text"), F.try_variant_get("item", "$.assertions", a).alias("assertions"))
+    given = tables.json_items(spark, answers_path, ("results", "answers"))
+    return asked, given.select(text("question_id", "sample_id").alias("question_id"), text("question_text", "question").alias("question_text"), text("answer", "generated_answer").alias("answer"))
+
+
+@dataclass(frozen=True)
+class PrepareRetrieval:
+    """Saved results as retrieval rows whose contexts have the ids of the text units they quote."""
+
+    results: str
+    units: str
+    output: str
+
+    def run(self, spark: SparkSession) -> DataFrame:
+        found = tables.search_results(spark, self.results).select(F.col("sample_id").alias("question_id"), F.col("question").alias("question_text"), F.col("retrieved_contexts").alias("contexts"))
+        units = tables.frame(spark, self.units).select(F.col("id").cast("string").alias("unit_id"), "text", F.monotonically_increasing_id().alias("pos")).filter("text <> ''")
+        retrieval.prepare(found, units).write.mode("overwrite").parquet(self.output)
+        return spark.read.parquet(self.output)
+
+
+@dataclass(frozen=True)
+class ScoreRetrieval:
+    """Retrieval rows of one or more methods, name to path, against a reference; methods are compared by sign tests."""
+
+    reference: str
+    clusters: str
+    results: dict[str, str]
+    output: str
+    units: str | None = None
+    match_by: str = "id"
+    threshold: int = 2
+    fidelity: str = "js"
+    alpha: float = 0.05
+    correction: str = "holm"
+
+    def run(self, spark: SparkSession) -> DataFrame:
+        units = None
+        if self.units:
+            units = tables.frame(spark, self.units)
+            units = units.select(F.col("id").cast("string").alias("unit_id"), "text", F.col("short_id" if "short_id" in units.columns else "id").cast("string").alias("short_id"))
+        placed = tables.cluster_units(spark, self.clusters, units)
+        reference = spark.read.parquet(self.reference)
+        each = None
+        for name, path in self.results.items():
+            rows = spark.read.parquet(path).select(F.lit(name).alias("rag_method"), "question_id", F.explode("context").alias("c")).select("rag_method", "question_id", "c.chunk_id", "c.text")
+            each = rows if each is None else each.unionByName(rows)
+        if each is None:
+            raise ValueError("no retrieval results are given")
+        rated = retrieval.rate(retrieval.match_units(each, placed, self.match_by), reference)
+        relevance = reference.groupBy("question_id", "cluster_id").agg(F.count_distinct("unit_id").alias("n"))
+        retrieval.question_scores(rated, relevance, self.threshold, self.fidelity, ("rag_method",)).write.mode("overwrite").parquet(f"{self.output}/questions")
+        scored = spark.read.parquet(f"{self.output}/questions")
+        out = retrieval.means(scored, ("rag_method",))
+        out.write.mode("overwrite").json(f"{self.output}/summary")
+        retrieval.compare(scored, "rag_method", self.alpha, self.correction).write.mode("overwrite").json(f"{self.output}/significance")
+        sinks.write_text(spark, f"{self.output}/report.html", report.retrieval_report(out, reference))
+        return out
+
+
 @dataclass(frozen=True)
 class RetrievalSmoke:
     """From a graph and saved results to retrieval metrics: clusters, reference, preparation, scores and report.
