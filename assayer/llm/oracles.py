@@ -115,6 +115,27 @@ def _licenses() -> str:
     SELECT doc_id, license, max(held)::DOUBLE / max(n) AS containment FROM c GROUP BY doc_id, license HAVING max(held)::DOUBLE / max(n) >= 0.8"""
 
 
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT part, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS lowest FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (w.doc_id > lowest)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+s(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.c || q.c || r.c || x.c || y.c AS filter_order, [p.b, q.b, r.b, x.b, y.b] AS bits FROM s p, s q, s r, s x, s y WHERE p.b | q.b | r.b | x.b | y.b = 31),
+k AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+g AS (SELECT part, filter_order, step, bit,
+             sum(n) FILTER (mask & (bit | before) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+             sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+             sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost
+      FROM m, k GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM g"""
+
+
 ORACLES: dict[str, str] = {
     "op_quality_counts": _COUNTS,
     "op_fingerprint_edits": _EDITS,
@@ -123,4 +144,5 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": _MIX,
     "op8_ngram_join": _JOIN,
     "op9_license_scan": _licenses(),
+    "op11_filter_audit": _AUDIT,
 }

@@ -116,6 +116,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(nothing.alias("doc_id"), F.col("id").alias("page_id"), *pages.columns[1:]).unionByName(texts.select(F.col("id").alias("doc_id"), nothing.alias("page_id"), *texts.columns[1:]))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.filter_audit import audit
+
+    return audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from assayer.llm.alignment import align
+
+    return align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.simhash import near_groups
+
+    return near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
@@ -127,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash_dedup": op13_simhash_dedup,
     "op_quality_counts": quality_counts,
     "op_fingerprint_edits": fingerprint_edits,
 }
