@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import Scratch, release, shuffle_parts, small_batches
 
-#: A blank between two characters that are surely no white space. Either tokenizer starts anew there, so what lies between is a unit of its own.
-_CUT = re.compile("(?<=[^\\s\\u180e\\u200b\\ufeff]) (?=[^\\s\\u180e\\u200b\\ufeff])")
+#: Characters that are surely no white space.
+_SOLID = "[^\\s\\u180e\\u200b\\ufeff]"
+#: Before a single blank or line end between two of those either tokenizer starts anew, so what lies between is a unit of its own.
+_CUT = re.compile(f"(?<={_SOLID})(?=[ \n]{_SOLID})")
+#: A unit between two such places, and not the first or last of its text with more white space at its edge.
+_SAFE = re.compile(f" {_SOLID}(.*{_SOLID})?\\Z", re.DOTALL)
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 #: Labels of bytes: nothing ends here, a token of A, one of B, one of both. A group goes up to each byte where both end.
 _NONE, _A, _B, _BOTH = range(4)
 _GROUP = re.compile(rb"[^\x03]*\x03")
@@ -33,7 +39,7 @@ def _byte_of_char() -> dict[str, int]:
 class Aligner:
     """Two tokenizers with a bounded memory of units between blanks, and what the group strings are made of."""
 
-    def __init__(self, byte_level: str, pieces: str, most: int = 120_000):
+    def __init__(self, byte_level: str, pieces: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -50,19 +56,38 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # a token's text in a group string, with what follows it inside its list and at the list's end
         self.written = [f"{i}{end}".encode() for ids, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(ids) for end in ends]
-        self.units_apart = not any(re.search("[^▁]▁", p) for _, p in kinds)
+        self.units_apart = not any(re.search("[^▁]▁|\n", p) for _, p in kinds)
         self.most, self.young, self.old = most, {}, {}
+        self.odd: set[str] = set()  # units whose bytes under A or B aren't those of blank and unit
+
+    def learn_one(self, unit: str) -> None:
+        """Ids of a unit, of B without the blank that it adds: this stands before a line end, which it never joins."""
+        a, b = self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit.removeprefix(" "))
+        b = b if unit[0] == " " else b[1:]
+        self.young[unit] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes())
+        if any(b"".join([table[i] for i in ids]) != unit.encode() for ids, table in ((a, self.a_bytes), (b, self.b_bytes))):
+            self.odd.add(unit)
 
     def learn(self, units: list[str]) -> None:
-        spaced = [" " + u for u in units]
-        for u, s, e, b in zip(units, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(units, num_threads=1)):
-            raw = s.encode()
-            plain = b"".join([self.a_bytes[i] for i in e.ids]) == raw == b"".join([self.b_bytes[i] for i in b])
-            self.young[u] = (np.array(e.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes(), plain)
+        """Units that begin with a blank and hold solid characters at their edges are encoded many at a time and told apart by their bytes."""
+        plain = [u for u in units if "▁" not in u and _SAFE.match(u)] if self.units_apart else []
+        joined = ["".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
+        a = np.array([i for e in self.a.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+        b = np.array([i for ids in self.b.encode([x[1:] for x in joined], num_threads=1) for i in ids], "<u4")
+        raw, ends = "".join(joined).encode(), np.cumsum([len(u.encode()) for u in plain], dtype=np.int64)
+        if all(b"".join(map(table.__getitem__, ids.tolist())) == raw for ids, table in ((a, self.a_bytes), (b, self.b_bytes))):
+            cuts = []
+            for ids, sizes in ((a, self.a_size), (b, self.b_size)):
+                at, held = [0, *(4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()], ids.tobytes()
+                cuts.append([held[x:y] for x, y in zip(at, at[1:])])
+            self.young.update(zip(plain, zip(*cuts)))
+        for u in units:
+            if u not in self.young:
+                self.learn_one(u)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of A and of B as little-endian 32-bit numbers for each text; none where the bytes of either differ from blank and text."""
-        lists = [(_CUT.split(t) if self.units_apart else [t]) if t else [] for t in texts]
+        lists = [(_CUT.split(" " + t) if self.units_apart else [" " + t]) if t else [] for t in texts]
         missing = []
         for u in set().union(*lists).difference(self.young):
             if (known := self.old.get(u)) is None:
@@ -74,14 +99,15 @@ class Aligner:
         get = self.young.__getitem__
         for text, units in zip(texts, lists):
             held = list(map(get, units))
-            a, b = b"".join([h[0] for h in held]), b"".join([h[1] for h in held])
-            if not all([h[2] for h in held]):
+            a, b = b"".join(map(_FIRST, held)), b"".join(map(_SECOND, held))
+            if self.odd and not self.odd.isdisjoint(units):
                 raw = (" " + text).encode()
                 if any(b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]) != raw for ids, table in ((a, self.a_bytes), (b, self.b_bytes))):
                     a = b = b""
             yield a, b
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
+            self.odd &= self.old.keys()
 
 
 @lru_cache(2)
