@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import markdown, text, values
 from assayer.functions.verdicts import verdict
-from assayer.operators import assertions, graph, ingest, joins, questions, retrieval, runs, scores
+from assayer.operators import assertions, graph, hierarchy, ingest, joins, paths, questions, retrieval, runs, scores, significance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,38 @@ def sign_test_counts(spark: SparkSession, d: str) -> DataFrame:
     return scores.sign_test(pairs, "lang", "quality", "toxic").select("lang", "wins", "losses")
 
 
+@query
+def assertion_significance(spark: SparkSession, d: str) -> DataFrame:
+    """Quality and toxicity as two systems' scores of each document, sources as questions, languages as families."""
+    pairs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("question_id")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("first"), F.col("toxic").alias("second")), "doc_id")
+    out = significance.assertion_significance(pairs, "lang")
+    return out.select("lang", "wins", "losses", "ties", "n_questions", *(F.round(c, 9).alias(c) for c in ("p_value", "p_adjusted", "mean_difference", "low", "high", "p_bootstrap")))
+
+
+def _tree(spark: SparkSession, d: str, even: str, odd: str) -> DataFrame:
+    """Sentences of labelled documents, each but the first supporting the one at a third of its place."""
+    n = F.size(F.split("text", r"[.!?]\s+"))
+    docs = table(spark, d, "documents").select("doc_id", n.alias("n")).join(table(spark, d, "labels"), "doc_id")
+    each = docs.select(F.col("doc_id").alias("question_id"), "quality", "toxic", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("assertion_id"))
+    parent = F.when(F.col("assertion_id") > 0, F.floor((F.col("assertion_id") - 1) / 3).cast("int"))
+    return each.select("question_id", "assertion_id", parent.alias("parent_id"), F.when(F.col("assertion_id") % 2 == 0, F.col(even)).otherwise(F.col(odd)).alias("value"))
+
+
+@query
+def hierarchical_assertions(spark: SparkSession, d: str) -> DataFrame:
+    out = hierarchy.question_scores(hierarchy.roll_up(_tree(spark, d, "quality", "toxic")))
+    return out.select("question_id", *(F.round(c, 9).alias(c) for c in ("score", "own")), "assertions", "roots")
+
+
+@query
+def hierarchical_significance(spark: SparkSession, d: str) -> DataFrame:
+    """The same trees judged by two systems, which differ in what they ask of every other sentence."""
+    both = hierarchy.paired(hierarchy.roll_up(_tree(spark, d, "quality", "toxic")), hierarchy.roll_up(_tree(spark, d, "toxic", "quality")))
+    pairs = both.join(table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "lang"), "question_id")
+    rounded = pairs.select("lang", "question_id", *(F.round(c, 9).alias(c) for c in ("first", "second")))
+    return significance.exact_sign_test(rounded, ["lang"], "first", "second").withColumn("p_value", F.round("p_value", 9))
+
+
 @query
 def report_alerts(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "labels").agg(F.count(F.lit(1)).alias("scores"), F.count_if(F.col("quality") > 5).alias("total_assertions"), F.count_if(F.col("toxic") > 5).alias("valid_assertions"), F.count(F.lit(1)).alias("retrieval_rows"))
@@ -357,6 +389,21 @@ def graph_path_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return graph.path_accuracy(paths, edges)
 
 
+@query
+def graph_path_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Whether four edges lead from the customer of each line's order to its supplier: nations and regions lead to each other, and regions to themselves."""
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    customer, nation, supplier, region = (table(spark, d, t) for t in ("customer", "nation", "supplier", "region"))
+    edges = customer.select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target"))
+    edges = edges.unionByName(nation.select(name("n", "n_nationkey").alias("source"), name("r", "n_regionkey").alias("target")))
+    edges = edges.unionByName(nation.select(name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target")))
+    edges = edges.unionByName(region.select(name("r", "r_regionkey").alias("source"), name("r", "r_regionkey").alias("target")))
+    edges = edges.unionByName(supplier.select(name("n", "s_nationkey").alias("source"), name("s", "s_suppkey").alias("target")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    sample = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return paths.path_exists(lines.select(sample.alias("sample_id"), name("c", "o_custkey").alias("source"), name("s", "l_suppkey").alias("target")), edges, 4)
+
+
 # ---------------------------------------------------------------- retrieval
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _TIDY = "SELECT doc_id, 'quality' AS metric_name, quality::DOUBLE AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic::DOUBLE FROM labels"
 _RESULTS = """SELECT doc_id AS sample_id, doc_id AS pos, text AS answer FROM documents
   UNION ALL SELECT doc_id // 2, doc_id + 1000000000, text FROM documents WHERE doc_id % 2 = 0"""
@@ -84,6 +86,13 @@ def _part(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"
 
 
+_POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+_TAIL = "CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))) END"
+_TREES = r"""d AS (SELECT doc_id, len(string_split_regex(text, '[.!?]\s+')) AS n, quality, toxic FROM documents JOIN labels USING (doc_id)),
+  w(doc_id, i, n, weight) AS (SELECT doc_id, 0::BIGINT, n, 1::DOUBLE FROM d
+    UNION ALL SELECT doc_id, 3 * i + k, n, weight / least(3, n - 1 - 3 * i) FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE 3 * i + k < n),
+  x AS (SELECT w.doc_id, sum(weight * CASE WHEN i % 2 = 0 THEN quality ELSE toxic END) FILTER (3 * i + 1 >= w.n) AS a, sum(weight * CASE WHEN i % 2 = 0 THEN toxic ELSE quality END) FILTER (3 * i + 1 >= w.n) AS b,
+    any_value(quality) AS quality, count(*) AS n FROM w JOIN d ON d.doc_id = w.doc_id GROUP BY w.doc_id)"""
 SQL: dict[str, str] = {
     "score_by_metric": f"SELECT metric_name, avg(value) AS mean_value, count(value) AS n FROM ({_TIDY}) GROUP BY metric_name",
     "score_by_lang_metric_gsets": f"SELECT lang, metric_name, avg(value) AS mean_value, count(value) AS n FROM documents JOIN ({_TIDY}) USING (doc_id) GROUP BY GROUPING SETS ((lang, metric_name), (metric_name), ())",
@@ -184,6 +193,26 @@ SQL: dict[str, str] = {
       m AS (SELECT sample_id, (({_part("e", "w")} > 0.2)::INT + ({_part("e", "o")} > 0.2)::INT) / 2.0 AS a, {_part("e", "h")} AS b, {_part("w", "h")} AS c, {_part("q", "w")} AS d FROM r)
       SELECT sample_id, 'lexical_context_precision' AS metric_name, round(a, 9) AS value FROM m UNION ALL SELECT sample_id, 'lexical_context_recall', round(b, 9) FROM m
       UNION ALL SELECT sample_id, 'lexical_faithfulness', round(c, 9) FROM m UNION ALL SELECT sample_id, 'lexical_answer_relevancy', round(d, 9) FROM m""",
+    "graph_path_exists": """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+      UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+      p AS (SELECT l_orderkey || '-' || l_linenumber AS sample_id, 'c' || o_custkey AS source, 's' || l_suppkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+      w(origin, node, hops) AS (SELECT DISTINCT source, source, 0 FROM p UNION SELECT origin, e.target, hops + 1 FROM w JOIN e ON e.source = w.node WHERE hops < 4),
+      b AS (SELECT origin, node, min(hops) AS hops FROM w GROUP BY origin, node)
+      SELECT sample_id, b.hops IS NOT NULL AS path_exists, b.hops FROM p LEFT JOIN b ON origin = source AND node = target""",
+    "assertion_significance": f"""WITH p AS (SELECT lang, source AS q, quality AS a, toxic AS b FROM documents JOIN labels USING (doc_id)),
+      c AS (SELECT lang, count(*) FILTER (a > b) AS wins, count(*) FILTER (a < b) AS losses, count(*) FILTER (a = b) AS ties, sum(a - b)::DOUBLE / count(*) AS mean, count(DISTINCT q) AS n_questions FROM p GROUP BY lang),
+      s AS (SELECT *, {_TAIL} AS p_value FROM c),
+      h AS (SELECT *, least(1, p_value * (count(*) OVER () - row_number() OVER (ORDER BY p_value, lang) + 1)) AS step FROM s),
+      g AS (SELECT lang, q, sum(a - b) AS d, count(*) AS n FROM p GROUP BY lang, q),
+      r AS (SELECT lang, k, d, n, len(list_filter({_POISSON}, lambda t: t <= ('0x' || substr(md5('42|' || k || '|' || q), 1, 13))::BIGINT / 16::DOUBLE ** 13)) AS w FROM g, (SELECT unnest(range(1, 201)) AS k)),
+      m AS (SELECT lang, sum(w * d)::DOUBLE / sum(w * n) AS m FROM r GROUP BY lang, k HAVING sum(w) > 0),
+      e AS (SELECT lang, list(m ORDER BY m) AS ms FROM m GROUP BY lang)
+      SELECT lang, wins, losses, ties, n_questions, round(p_value, 9) AS p_value, round(max(step) OVER (ORDER BY p_value, lang), 9) AS p_adjusted, round(mean, 9) AS mean_difference, round(ms[ceil(round(len(ms) * 0.025, 9))::INT], 9) AS low, round(ms[ceil(round(len(ms) * 0.975, 9))::INT], 9) AS high,
+        round(least(1, 2 * least(len(list_filter(ms, lambda x: x < 0)) + len(list_filter(ms, lambda x: x = 0)) / 2, len(list_filter(ms, lambda x: x > 0)) + len(list_filter(ms, lambda x: x = 0)) / 2) / len(ms)), 9) AS p_bootstrap
+      FROM h JOIN e USING (lang)""",
+    "hierarchical_assertions": f"WITH RECURSIVE {_TREES} SELECT doc_id AS question_id, round(a, 9) AS score, round(quality::DOUBLE, 9) AS own, n AS assertions, 1::BIGINT AS roots FROM x",
+    "hierarchical_significance": f"""WITH RECURSIVE {_TREES}, c AS (SELECT lang, count(*) FILTER (round(a, 9) > round(b, 9)) AS wins, count(*) FILTER (round(a, 9) < round(b, 9)) AS losses, count(*) FILTER (round(a, 9) = round(b, 9)) AS ties
+      FROM x JOIN documents USING (doc_id) GROUP BY lang) SELECT *, round({_TAIL}, 9) AS p_value FROM c""",
     "run_tally": "SELECT count(*) FILTER (WHERE c = '0') AS passed, count(*) FILTER (WHERE c <> '0') AS failed, count(*) FILTER (WHERE c = 'broken') AS unknown, count(*) AS total FROM (SELECT CASE WHEN event_type = 'error' THEN '1' WHEN event_id % 17 = 0 THEN 'broken' ELSE '0' END AS c FROM events)",
     "last_success": "SELECT user_id, strftime(max(ts) FILTER (WHERE event_type <> 'error'), '%Y-%m-%d %H:%M:%S') AS last_success_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run_at FROM events GROUP BY user_id",
     "success_so_far": "SELECT event_id, strftime(max(CASE WHEN event_type <> 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), '%Y-%m-%d %H:%M:%S') AS last_success_at FROM events",
