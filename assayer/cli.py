@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     c = add("evaluate", "benchmark", "results", "output", help="score saved results")
-    c.add_argument("--metrics", choices=("correctness", "lexical"), default="correctness")
+    c.add_argument("--metrics", default="correctness", help="names with commas between them: " + ", ".join([*jobs.GROUPS, *jobs.KNOWN]))
     c.add_argument("--skip-missing", action="store_true", help="leave out samples without a result")
     c = add("generate-questions", "source", "output", help="questions by rule from text files")
     c.add_argument("--count", type=int, default=10)
@@ -42,6 +42,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--centroids", type=int, default=5)
     add("stage", "source", "output", help="mixed files to flat text files")
     add("retrieval-prep", "results", "units", "output", help="saved results to retrieval rows with ids of text units")
+    c = add("retrieval-reference", "questions", "clusters", "output", help="rate the units near each question in every cluster")
+    c.add_argument("--units")
+    c.add_argument("--semantic-neighbors", type=int, default=10)
+    c.add_argument("--centroid-neighbors", type=int, default=5)
+    c.add_argument("--max-questions", type=int)
+    c = add("reference-score", "answers", "references", "output", help="answers against reference answers, by criteria")
+    c.add_argument("--trials", type=int, default=1)
     c = add("retrieval-score", "reference", "clusters", "output", help="retrieval rows against a reference")
     c.add_argument("results", nargs="+", help="method=path of retrieval rows")
     c.add_argument("--units")
@@ -86,6 +93,11 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
         out = docs.agg(F.count(F.lit(1)).alias("staged"))
     elif a.command == "retrieval-prep":
         out = jobs.PrepareRetrieval(a.results, a.units, a.output).run(spark)
+    elif a.command == "retrieval-reference":
+        out = jobs.RetrievalReference(a.questions, a.clusters, a.output, a.units, a.semantic_neighbors, a.centroid_neighbors, a.max_questions).run(spark)
+    elif a.command == "reference-score":
+        given, wanted = (jobs.answer_inputs(spark, p) for p in (a.answers, a.references))
+        out = jobs.ScoreReferences(given, wanted.select("question_id", "answer").dropna(), a.output, trials=a.trials).run(spark)
     elif a.command == "retrieval-score":
         out = jobs.ScoreRetrieval(a.reference, a.clusters, dict(r.split("=", 1) for r in a.results), a.output, a.units, a.match_by, a.threshold, a.fidelity, a.alpha, a.correction).run(spark)
     elif a.command == "assertion-score":

@@ -115,6 +115,18 @@ def divergence(metric: str, p: Column, q: Column) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda x, y: (part(x, y) + part(y, x)) / 2), F.lit(0.0), lambda s, x: s + x)
 
 
+def average_precision(useful: Column) -> Column:
+    """Of an array of 0 and 1 in the order of ranks: the mean of the precision at each useful rank; 0 where none is useful, null for no ranks."""
+    start = F.struct(F.lit(0.0).alias("rank"), F.lit(0.0).alias("hits"), F.lit(0.0).alias("sum"))
+
+    def add(s: Column, v: Column) -> Column:
+        rank, hit = s["rank"] + 1, F.coalesce((v >= 0.5).cast("double"), F.lit(0.0))
+        hits = s["hits"] + hit
+        return F.struct(rank.alias("rank"), hits.alias("hits"), (s["sum"] + hit * hits / rank).alias("sum"))
+
+    return F.when(F.size(useful) > 0, F.aggregate(useful, start, add, lambda s: F.coalesce(F.try_divide(s["sum"], s["hits"]), F.lit(0.0))))
+
+
 def coverage(expected: Column, found: Column) -> Column:
     """The share of the expected ids that were found; 1 where none is expected."""
     wanted = F.array_distinct(expected)

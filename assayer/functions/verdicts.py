@@ -39,6 +39,19 @@ def verdict(raw: Column) -> Column:
     return F.when(has, F.struct(binary_text(value).alias("value"), F.coalesce(*reasons, text).alias("reason"))).otherwise(F.struct(bare.alias("value"), text.alias("reason")))
 
 
+def rated(raw: Column, low: int, high: int, keys: tuple[str, ...] = ("score", "relevance")) -> Column:
+    """A struct (score int, reasoning string): the score of a JSON object, in a fence or in prose or not, rounded down and cut to the range; else the first whole
+    number of the range that stands alone; else the lowest score."""
+    text = strip_code_fence(F.coalesce(raw, F.lit("")))
+    found = F.try_parse_json(F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), text))
+    named = F.coalesce(*(F.try_variant_get(found, f"$.{k}", "string") for k in keys)).try_cast("double")
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d{1,4})(?!\d|\.\d)"), 1), lambda n: n.try_cast("double"))
+    bare = F.get(F.filter(numbers, lambda n: (n >= low) & (n <= high)), F.lit(0))
+    score = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.floor(F.nanvl(named, F.lit(float(low)))), bare, F.lit(float(low))))).cast("int")
+    reasons = [F.nullif(F.try_variant_get(found, f"$.{k}", "string"), F.lit("")) for k in ("reasoning", "rationale", "reason")]
+    return F.struct(score.alias("score"), F.coalesce(*reasons, text).alias("reasoning"))
+
+
 def prompt(question: Column, reference: Column, contexts: Column) -> Column:
     """What the judge is asked about one answer's contexts (see render_contexts)."""
     return F.concat(

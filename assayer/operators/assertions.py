@@ -9,17 +9,17 @@ from assayer.functions.values import truthy
 from assayer.sources.tables import exists
 
 
-def assertion_rows(questions: DataFrame) -> DataFrame:
-    """One row for each assertion that says something. questions: (question_id, question_text, assertions: array of structs).
+def assertion_rows(questions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each assertion that says something. questions: (question_id, question_text, assertions: array of structs), and columns to ``keep``.
 
     The rank is the given one, or the position from 1 where none or 0 is given.
     """
     fields = {f.name for f in questions.schema["assertions"].dataType.elementType.fields}
-    each = questions.select("question_id", "question_text", F.posexplode("assertions").alias("at", "a"))
+    each = questions.select("question_id", "question_text", *keep, F.posexplode("assertions").alias("at", "a"))
     text = truthy(*(F.col(f"a.{n}") for n in ("statement", "assertion") if n in fields))
     rank = F.nullif(F.col("a.rank").try_cast("int"), F.lit(0)) if "rank" in fields else F.lit(None).cast("int")
     rest = [F.col(f"a.{n}").alias(n) for n in ("score", "reasoning", "source_count") if n in fields]
-    return each.select("question_id", "question_text", text.alias("assertion"), F.coalesce(rank, F.col("at") + 1).alias("rank"), *rest).filter("assertion is not null")
+    return each.select("question_id", "question_text", *keep, text.alias("assertion"), F.coalesce(rank, F.col("at") + 1).alias("rank"), *rest).filter("assertion is not null")
 
 
 def complete_answers(answers: DataFrame) -> DataFrame:

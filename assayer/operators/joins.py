@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import text_key
 from assayer.functions.values import cosine, dot, truthy
+from assayer.operators.nearest import best_of_parts
 from assayer.session import checkpointed
 
 
@@ -106,22 +107,21 @@ QUERIES_AT_ONCE = 4096
 def nearest(queries: DataFrame, rows: DataFrame, k: int, normalised: bool = True) -> DataFrame:
     """(query_id, row_id, similarity, rank): the k rows most similar to each query's vector, ids deciding ties.
 
-    queries: (query_id, vector), a stated set that is counted first. Up to QUERIES_AT_ONCE go to every executor as one array, so every row is
-    read once where it is. More are dealt into blocks, rows into chunks, and each block meets each chunk in a join of the two. Either
-    way the best k of every partition are all that is shuffled then.
+    queries: (query_id, vector), a stated set that is counted first. Up to QUERIES_AT_ONCE go to every executor as one matrix, so every row is
+    read once where it is, in products of matrices. More are dealt into blocks, rows into chunks, and each block meets each chunk in a join of the two.
+    Either way the best k of every partition are all that is shuffled then. Similarities are rounded to nine digits.
     """
     like = dot if normalised else cosine
     n = queries.count()
     if n <= QUERIES_AT_ONCE:
-        held = queries.select(F.struct("query_id", "vector").alias("q")).agg(F.collect_list("q").alias("qs"))
-        met = rows.select("row_id", "vector").crossJoin(F.broadcast(held))
+        scored = best_of_parts(queries, rows, k, normalised)
     else:
         blocks, chunks = -(-n // QUERIES_AT_ONCE), max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
         held = queries.groupBy(place("query_id", blocks).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
         spread = rows.select("row_id", "vector", place("row_id", chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         met = spread.join(held, ["block", "chunk"])
-    scored = met.select("row_id", "vector", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "row_id", like(F.col("q.vector"), F.col("vector")).alias("similarity"))
+        scored = met.select("row_id", "vector", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "row_id", F.round(like(F.col("q.vector"), F.col("vector")), 9).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))  # Spark limits each partition first
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 

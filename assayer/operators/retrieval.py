@@ -83,11 +83,18 @@ def match_units(contexts: DataFrame, units: DataFrame, by: str = "id") -> DataFr
 
 
 def rate(matched: DataFrame, reference: DataFrame) -> DataFrame:
-    """Matched contexts with a score by rule: 3 for a unit of the question's reference, else 0; those of no cluster are in "none"."""
-    good = reference.select("question_id", "unit_id").distinct().withColumn("score", F.lit(3))
+    """Matched contexts with the score that the question's reference gives the unit (3 where it gives none, the best of several), else 0; those of no cluster are in "none"."""
+    score = F.col("score") if "score" in reference.columns else F.lit(3)
+    good = reference.groupBy("question_id", "unit_id").agg(F.max(score).alias("score"))
     return matched.join(good, ["question_id", "unit_id"], "left").withColumn("score", F.coalesce("score", F.lit(0))).withColumn("cluster_id", F.coalesce("cluster_id", F.lit("none")))
 
 
+def relevant_units(reference: DataFrame, threshold: int = 2) -> DataFrame:
+    """(question_id, cluster_id, n): how many of a cluster's units are relevant to each question: those with the threshold, or all of a reference without scores."""
+    good = reference.filter(F.col("score") >= threshold) if "score" in reference.columns else reference
+    return good.groupBy("question_id", "cluster_id").agg(F.count_distinct("unit_id").alias("n"))
+
+
 def compare(each: DataFrame, method: str = "rag_method", alpha: float = 0.05, correction: str = "holm") -> DataFrame:
     """(metric_name, first, second, wins, losses, p_value, p_adjusted, significant): sign tests of each two methods over the questions that both have.
 

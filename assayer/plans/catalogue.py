@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import markdown, text, values
 from assayer.functions.verdicts import verdict
-from assayer.operators import assertions, graph, hierarchy, ingest, joins, paths, questions, retrieval, runs, scores, significance
+from assayer.operators import assertions, graph, hierarchy, ingest, joins, paths, questions, reduce, reference, retrieval, runs, scores, significance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,6 +241,20 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return questions.corpus_summary(questions.document_summaries(_docs(spark, d))).select("corpus_summary")
 
 
+@query
+def summary_groups(spark: SparkSession, d: str) -> DataFrame:
+    """How the first level of a map-reduce summary deals out all documents under a budget of 2000 tokens."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return reduce.budget_groups(texts, 2000).select(F.col("pos").alias("doc_id"), "piece", "tokens", "group")
+
+
+@query
+def map_reduce_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One text from all documents, three sentences of each group of texts standing in for a model's summary."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return reduce.map_reduce(texts, reduce.first_sentences(3), 2000)
+
+
 @query
 def themes(spark: SparkSession, d: str) -> DataFrame:
     return questions.corpus_summary(questions.document_summaries(_docs(spark, d))).select(F.explode("themes").alias("theme"))
@@ -496,6 +510,34 @@ def reference_assessments(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.reference(*_vectors(spark, d))
 
 
+@query
+def context_precision_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Precision by rank of the nearest vectors, useful if they have the question's label."""
+    asked, units = _vectors(spark, d)
+    wanted = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    near = joins.nearest(asked, units.select("row_id", "vector"), 10).join(units.select("row_id", "cluster_id"), "row_id").join(wanted, "query_id")
+    useful = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", (F.col("cluster_id") == F.col("wanted")).cast("int").alias("useful")))).alias("r"))
+    return useful.select("query_id", F.round(values.average_precision(F.transform("r", lambda x: x["useful"])), 9).alias("context_precision"))
+
+
+def _rate_by_label(labels: DataFrame):
+    """3 for units with the question's label, else what their id leaves by 3."""
+    wanted, held = labels.select(F.col("vec_id").alias("question_id"), F.col("label").alias("wanted")), labels.select(F.col("vec_id").alias("unit_id"), F.col("label").alias("held"))
+    score = F.when(F.col("wanted") == F.col("held"), 3).otherwise(F.col("unit_id") % 3).cast("int")
+    return lambda rows: rows.join(wanted, "question_id").join(held, "unit_id").select("question_id", "unit_id", score.alias("score"), F.lit("by label").alias("reasoning"))
+
+
+@query
+def retrieval_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Nested references: for every question and cluster the nearest units, those at the centre, and how they were rated."""
+    asked, units = _vectors(spark, d)
+    texts = units.withColumn("text", F.concat(F.lit("unit "), F.col("row_id").cast("string")))
+    out = reference.references(asked.withColumn("question_text", F.lit("")), texts, _rate_by_label(table(spark, d, "embeddings")))
+    each = out.select("question_id", F.explode("cluster_results").alias("c")).select("question_id", "c.*")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["unit_id"].cast("string"), x["score"].cast("string"))), ",")
+    return each.select("question_id", "cluster_id", "cluster_size", "num_assessments", "num_overlapping_chunks", listed("semantic_neighbor_assessments").alias("semantic"), listed("centroid_neighbor_assessments").alias("central"), listed("all_assessments").alias("every"))
+
+
 @query
 def kmeans_sample(spark: SparkSession, d: str) -> DataFrame:
     _, units = _vectors(spark, d)
@@ -530,8 +572,11 @@ def assertion_trials(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def assertion_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = assertions.assertion_rows(_sentences(spark, d)).join(table(spark, d, "labels").withColumnRenamed("doc_id", "question_id"), "question_id")
-    return scores.assertion_summary(rows.select("question_id", F.md5("assertion").alias("assertion"), F.when(F.col("rank") <= 3, F.col("quality")).otherwise(F.col("toxic")).alias("value")))
+    """Documents meet their labels with digests of their assertions, and are taken apart after that."""
+    digest = lambda a: F.struct(F.when(a["statement"] != "", F.md5(a["statement"])).otherwise("").alias("statement"), a["rank"].alias("rank"))
+    asked = _sentences(spark, d).withColumn("assertions", F.transform("assertions", digest)).join(table(spark, d, "labels").withColumnRenamed("doc_id", "question_id"), "question_id")
+    rows = assertions.assertion_rows(asked, ("quality", "toxic"))
+    return scores.assertion_summary(rows.select("question_id", "assertion", F.when(F.col("rank") <= 3, F.col("quality")).otherwise(F.col("toxic")).alias("value")))
 
 
 @query
@@ -589,13 +634,29 @@ def assertion_score_scale(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", values.assertion_score((F.col("doc_id") % 101).cast("double")).alias("score"))
 
 
+def _labelled_with_next(docs: DataFrame, labels: DataFrame, block: int = 4096) -> DataFrame:
+    """(doc_id, text, other): labelled documents with the text of the next id, where both are there. ids are unique in both tables.
+
+    Texts are moved once: ids are dealt into blocks, each with the first document of the next, and label rows stand before their documents in a block's order.
+    """
+    number = F.floor(F.col("doc_id") / block)
+    places = F.when(F.col("doc_id") % block == 0, F.array(number, number - 1)).otherwise(F.array(number))
+    rows = docs.select("doc_id", "text", F.lit(1).alias("kind"), F.explode(places).alias("block"))
+    rows = rows.unionByName(labels.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"), number.alias("block")))
+    w = Window.partitionBy("block").orderBy("doc_id", "kind")
+    ahead = lambda c, n: F.lead(c, n).over(w)
+    seen = rows.select("doc_id", "kind", *(ahead(c, n).alias(f"{c}{n}") for c in ("doc_id", "kind", "text") for n in (1, 2, 3)))
+    follows = lambda n: (F.col(f"doc_id{n}") == F.col("doc_id") + 1) & (F.col(f"kind{n}") == 1)
+    own = (F.col("doc_id1") == F.col("doc_id")) & (F.col("kind1") == 1)
+    return seen.filter((F.col("kind") == 0) & own & (follows(2) | follows(3))).select("doc_id", F.col("text1").alias("text"), F.when(follows(2), F.col("text2")).otherwise(F.col("text3")).alias("other"))
+
+
 @query
 def lexical_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Word-overlap scores of answers: two neighbouring documents, whole, as answer and contexts of each label; the first sentence asks."""
     from assayer.model.plane import lexical_scores
 
-    t = table(spark, d, "documents").select("doc_id", "text")
-    rows = table(spark, d, "labels").select("doc_id").join(t, "doc_id").join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    rows = _labelled_with_next(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id"))
     return lexical_scores(rows.select(F.col("doc_id").alias("sample_id"), text.first_sentence(F.col("text")).alias("question"), F.col("text").alias("answer"), F.col("other").alias("reference_answer"), F.array("text", "other").alias("retrieved_contexts"))).withColumn("value", F.round("value", 9))
 
 

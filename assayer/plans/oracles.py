@@ -193,6 +193,24 @@ SQL: dict[str, str] = {
       m AS (SELECT sample_id, (({_part("e", "w")} > 0.2)::INT + ({_part("e", "o")} > 0.2)::INT) / 2.0 AS a, {_part("e", "h")} AS b, {_part("w", "h")} AS c, {_part("q", "w")} AS d FROM r)
       SELECT sample_id, 'lexical_context_precision' AS metric_name, round(a, 9) AS value FROM m UNION ALL SELECT sample_id, 'lexical_context_recall', round(b, 9) FROM m
       UNION ALL SELECT sample_id, 'lexical_faithfulness', round(c, 9) FROM m UNION ALL SELECT sample_id, 'lexical_answer_relevancy', round(d, 9) FROM m""",
+    "context_precision_ranked": f"""WITH r AS (SELECT k.query_id, rank, (e.label = a.wanted)::INT AS u FROM ({_KNN}) k JOIN embeddings e ON e.vec_id = k.row_id JOIN ({_ASKED}) a ON a.query_id = k.query_id),
+      p AS (SELECT query_id, u, sum(u) OVER (PARTITION BY query_id ORDER BY rank) / rank AS here FROM r)
+      SELECT query_id, round(coalesce(sum(u * here) / nullif(sum(u), 0), 0), 9) AS context_precision FROM p GROUP BY query_id""",
+    "retrieval_reference": f"""WITH v AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i),
+      c AS (SELECT label, list(m ORDER BY i) AS v FROM v GROUP BY label),
+      s AS (SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY round({_DOT.format("q", "embedding")}, 9) DESC, vec_id) AS s FROM ({_ASKED}) CROSS JOIN embeddings QUALIFY s <= 10),
+      o AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round({_DOT.format("v", "embedding")} / (sqrt({_DOT.format("v", "v")}) * sqrt({_DOT.format("embedding", "embedding")})), 9) DESC, vec_id) AS o FROM embeddings JOIN c USING (label) QUALIFY o <= 5),
+      m AS (SELECT query_id, label, vec_id FROM ({_ASKED}) CROSS JOIN o),
+      u AS (SELECT query_id, label, vec_id FROM s UNION SELECT query_id, label, vec_id FROM m),
+      r AS (SELECT u.query_id, u.label, u.vec_id, s.s, o.o, u.vec_id || ':' || CASE WHEN u.label = a.wanted THEN 3 ELSE u.vec_id % 3 END AS t FROM u JOIN ({_ASKED}) a ON a.query_id = u.query_id
+        LEFT JOIN s ON s.query_id = u.query_id AND s.vec_id = u.vec_id LEFT JOIN o ON o.vec_id = u.vec_id)
+      SELECT query_id AS question_id, label AS cluster_id, any_value(n) AS cluster_size, count(*) AS num_assessments, count(*) FILTER (s IS NOT NULL AND o IS NOT NULL) AS num_overlapping_chunks,
+        string_agg(t, ',' ORDER BY s) FILTER (s IS NOT NULL) AS semantic, string_agg(t, ',' ORDER BY o) FILTER (o IS NOT NULL) AS central, string_agg(t, ',' ORDER BY coalesce(s, 1000), coalesce(o, 1000)) AS every
+      FROM r JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) GROUP BY query_id, label""",
+    "summary_groups": r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents WHERE text IS NOT NULL),
+      p AS (SELECT doc_id, unnest(range(0, (n + 999) // 1000)) AS piece, n FROM d WHERE n > 0),
+      t AS (SELECT doc_id, piece, least(1000, n - 1000 * piece) AS tokens FROM p)
+      SELECT doc_id, piece::INT AS piece, tokens, ((sum(tokens) OVER (ORDER BY doc_id, piece) - tokens) // 1000)::BIGINT AS "group" FROM t""",
     "graph_path_exists": """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
       UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
       p AS (SELECT l_orderkey || '-' || l_linenumber AS sample_id, 'c' || o_custkey AS source, 's' || l_suppkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey),

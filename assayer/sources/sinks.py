@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,60 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def _rows(df: DataFrame) -> Iterator[Any]:
-    for line in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        yield json.loads(line["j"])
+def _indented(batches: Iterator[pa.RecordBatch], indent: int, keyed: bool) -> Iterator[pa.RecordBatch]:
+    """Each row's JSON as an item of a list or, ``keyed``, as an entry of a sorted object (key, json), indented for its place."""
+    for batch in batches:
+        out = []
+        for key, line in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            text = json.dumps({key: json.loads(line)}, ensure_ascii=False, indent=2, sort_keys=True)[4:-2] if keyed else json.dumps(json.loads(line), ensure_ascii=False, indent=2)
+            out.append(" " * indent + (text if keyed else text.replace("\n", "\n" + " " * indent)))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
+def _items(df: DataFrame, folder: str, indent: int, key: str | None = None) -> list[Any]:
+    """Writes rows as parts of a JSON list or object, in the order of the rows; gives the files, in order, of those that hold something."""
+    name = F.col(key).cast("string") if key else F.lit("")
+    lines = df.select(name.alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    lines.mapInArrow(partial(_indented, indent=indent, keyed=key is not None), "value string").write.mode("overwrite").option("lineSep", ",\n").text(folder)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted((f for f in found if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+
+
+def _join(spark: SparkSession, path: str, parts: list[str | list[Any]]) -> None:
+    """One file from texts and lists of part files. Files are copied from stream to stream; the separator after the last row of a list is left out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            if isinstance(part, str):
+                out.write(bytearray(part.encode()))
+                continue
+            for file in part:
+                stream = file.getPath().getFileSystem(conf).open(file.getPath())
+                try:
+                    held = jvm.org.apache.commons.io.input.BoundedInputStream(stream, file.getLen() - 2) if file is part[-1] else stream
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 16, False)
+                finally:
+                    stream.close()
+    finally:
+        out.close()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def evaluation(path: str, scores: DataFrame, results: DataFrame, aggregate: DataFrame) -> None:
-    """scores, results and aggregate in one indented JSON file; partitions come to the driver one at a time."""
-    payload = {"scores": list(_rows(scores)), "results": list(_rows(results)), "aggregate": {r["metric_name"]: r["mean_value"] for r in aggregate.collect()}}
-    write_text(scores.sparkSession, path, json.dumps(payload, ensure_ascii=False, indent=2))
+    """scores, results and aggregate in one indented JSON file. Executors write the rows as parts beside it, which are joined through the file system: the driver
+    holds means alone. A failed write leaves no file with a part of the rows."""
+    spark, listed = scores.sparkSession, lambda files: ["[\n", files, "\n  ]"] if files else ["[]"]
+    first, second = _items(scores, f"{path}.parts/scores", 4), _items(results, f"{path}.parts/results", 4)
+    means = json.dumps({r["metric_name"]: r["mean_value"] for r in aggregate.collect()}, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+    _join(spark, path, ['{\n  "scores": ', *listed(first), ',\n  "results": ', *listed(second), f',\n  "aggregate": {means}\n}}'])
+    _remove(spark, f"{path}.parts")
 
 
 def envelope(rows: DataFrame, component: str, metadata: dict[str, Any], key: str = "results") -> DataFrame:
@@ -106,5 +153,7 @@ def upsert_settings(text: str, values: dict[str, str]) -> str:
 
 
 def state(path: str, rows: DataFrame, key: str) -> None:
-    """A JSON object by key, sorted."""
-    write_text(rows.sparkSession, path, json.dumps({r[key]: r for r in _rows(rows)}, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+    """A JSON object by key, sorted, joined like an evaluation; keys are unique."""
+    files = _items(rows.orderBy(F.col(key).cast("string")), f"{path}.parts", 2, key)
+    _join(rows.sparkSession, path, ["{\n", files, "\n}\n"] if files else ["{}\n"])
+    _remove(rows.sparkSession, f"{path}.parts")
