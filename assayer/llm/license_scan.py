@@ -95,7 +95,8 @@ def _xored(hashes: Column, mask: int) -> Column:
 
 
 def scan(docs: DataFrame, templates: DataFrame, bands: int = 12, min_containment: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, license, containment, word): the licenses whose notice is in a text, and the word (from 0) near which it starts first.
+    """(doc_id, license, containment, word): the licenses whose notice is in a text, and the word (from 0) at which it starts: at the fullest of several places, the
+    first of equals.
 
     Templates are a table (license, notice). Every text's shingles are taken in blocks, the least hash of a block under each band's order is
     kept, and a window's least is that of its two blocks. Windows that meet no template go; the others are verified: at least
@@ -121,8 +122,13 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = 12, min_containment
     pairs = (_pairs_by_literals if few else _pairs_by_join)(rows, keyed)
     first, last = F.greatest(F.lit(0), F.col("window") * BLOCK - F.size("shingles")), F.col("window") * BLOCK + 2 * BLOCK + F.size("shingles")
     near = F.slice("h", first + 1, last - first)
-    checked = pairs.select("doc_id", "key", "license", (F.size(F.array_intersect("shingles", near)) / F.size("shingles")).alias("containment"), (F.col("window") * BLOCK).cast("long").alias("word"))
-    return checked.groupBy("doc_id", "key", "license").agg(F.max("containment").alias("containment"), F.min("word").alias("word")).filter(F.col("containment") >= min_containment).drop("key")
+    checked = pairs.select("doc_id", "key", "license", "shingles", first.alias("first"), near.alias("near"), (F.size(F.array_intersect("shingles", near)) / F.size("shingles")).alias("containment"))
+    # of the template's shingles in the text, the one after which so many places as it has shingles hold most of them; the first of equals
+    held = lambda p: F.size(F.array_intersect("shingles", F.slice("near", p + 1, F.size("shingles"))))
+    places = F.filter(F.sequence(F.lit(0), F.size("near") - 1), lambda p: F.array_contains("shingles", F.get("near", p)))
+    starts = F.array_max(F.transform(places, lambda p: F.struct(held(p).alias("held"), (-(F.col("first") + p)).alias("back"))))
+    found = checked.filter(F.col("containment") >= min_containment).select("doc_id", "key", "license", "containment", starts.alias("start"))
+    return found.groupBy("doc_id", "key", "license").agg(F.max("containment").alias("containment"), (-F.max("start")["back"]).cast("long").alias("word")).drop("key")
 
 
 def _keys_of(rows: DataFrame, *carried: str) -> DataFrame:

@@ -15,10 +15,10 @@ _KINDS = [
     ("assign", _ASSIGN, 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]+", 0, 24),
-    ("pem", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([^-]|-{1,4}[^-])*-----END ([A-Z0-9]+ )*PRIVATE KEY-----|-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([ \t]*(\r\n?|\n)?[ \t]*[A-Za-z0-9+/=]{24,})*", 0, 1),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("bearer", r"\bBearer +([A-Za-z0-9+/_.=-]+)", 1, 16),
-    ("urlcred", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:([^\s/:@]{1,128})@", 1, 3),
+    ("urlcred", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/:@]+)@", 1, 3),
 ]
 
 
@@ -111,8 +111,11 @@ def _licenses() -> str:
     g AS (SELECT doc_id, len(w) - {WIDTH - 1} AS total, i - 1 AS pos, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, 1))) AS i FROM d)),
     h AS (SELECT g.doc_id, g.total, g.pos, g.g, ts.license, tn.n FROM g JOIN ts ON g.g = ts.g JOIN tn ON tn.license = ts.license),
     x AS (SELECT *, unnest(range(0, ((total + {BLOCK - 1}) // {BLOCK})::BIGINT)) AS j FROM h),
-    c AS (SELECT doc_id, license, n, j, count(DISTINCT g) AS held FROM x WHERE pos >= j * {BLOCK} - n AND pos < j * {BLOCK} + {2 * BLOCK} + n GROUP BY ALL)
-    SELECT doc_id, license, max(held)::DOUBLE / max(n) AS containment FROM c GROUP BY doc_id, license HAVING max(held)::DOUBLE / max(n) >= 0.8"""
+    c AS (SELECT doc_id, license, n, j, count(DISTINCT g) AS held FROM x WHERE pos >= j * {BLOCK} - n AND pos < j * {BLOCK} + {2 * BLOCK} + n GROUP BY ALL),
+    s AS (SELECT a.doc_id, a.license, a.pos, count(DISTINCT b.g) AS held FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.license = a.license AND b.pos BETWEEN a.pos AND a.pos + a.n - 1 GROUP BY ALL),
+    p AS (SELECT doc_id, license, arg_min(pos, (-held, pos))::BIGINT AS word FROM s GROUP BY doc_id, license)
+    SELECT c.doc_id, c.license, max(held)::DOUBLE / max(n) AS containment, any_value(word) AS word FROM c JOIN p ON p.doc_id = c.doc_id AND p.license = c.license
+    GROUP BY c.doc_id, c.license HAVING max(held)::DOUBLE / max(n) >= 0.8"""
 
 
 _AUDIT = r"""
