@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions.text import text_key
 from assayer.functions.values import cosine, dot, truthy
 from assayer.operators.nearest import best_of_parts
+from assayer.operators.prefixes import first_by_prefix
 from assayer.session import checkpointed
 
 
@@ -38,48 +39,21 @@ def fill_units(bridge: DataFrame, units: DataFrame) -> DataFrame:
     return joined.select("cluster_id", "pos", "unit_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("short_id", "unit_id").alias("short_id"))
 
 
-def resolve_units(contexts: DataFrame, units: DataFrame, block: int = 32) -> DataFrame:
+def resolve_units(contexts: DataFrame, units: DataFrame) -> DataFrame:
     """(context_id, unit_id) of every context: the first unit with the same text key, else the first whose key starts with the context's or the other way.
 
     contexts: (context_id, text); units: (unit_id, pos, text). First is by pos. Equal keys are one on both sides, and the equality pass is a hash
-    join; only keys that it leaves open go on. Shorter keys than ``block`` characters meet the other side's heads, of which each has its first unit
-    before the join. Of longer keys, the one that is the prefix has a stem, its first 32, 64, 128, ... characters, as many as it has; the other
-    side has hashes of all its stems. So they only meet if they share half of the shorter key, and texts go to candidates alone. Empty texts resolve
-    to null; empty unit texts never match.
+    join; only keys that it leaves open go on, to a sweep over all keys in order (``first_by_prefix``), which is linear whatever beginnings
+    they share. Empty texts resolve to null; empty unit texts never match.
     """
     left = contexts.select("context_id", text_key(F.col("text")).alias("key"))
     keyed = units.select(text_key(F.col("text")).alias("key"), F.struct("pos", "unit_id").alias("unit")).filter("key <> ''").groupBy("key").agg(F.min("unit").alias("unit"))
     keyed = checkpointed(keyed)
     first = checkpointed(left.join(keyed, "key", "left"))
-    rest = first.filter("unit is null and key <> ''").groupBy("key").agg(F.min("context_id").alias("named"))
-
-    def heads(rows: DataFrame, *columns: str) -> DataFrame:
-        """All beginnings of up to block - 1 characters."""
-        sizes = F.sequence(F.lit(1), F.least(F.length("key"), F.lit(block - 1)))
-        return rows.select(*columns, F.explode(F.transform(sizes, lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("head"))
-
-    def stem(size: Column) -> Column:
-        return F.struct(size.alias("size"), F.xxhash64(F.left(F.col("key"), size)).alias("hash"))
-
-    def levels(key_length: Column) -> Column:
-        """How often a key of ``block`` characters or more doubles the block, at most."""
-        return F.floor(F.log2(key_length / F.lit(block) + F.lit(1e-9))).cast("int")
-
-    length = F.length("key")
-    sized = lambda k: F.lit(block) * F.shiftleft(F.lit(1), k) if isinstance(k, int) else (F.lit(block) * F.pow(F.lit(2.0), k)).cast("int")
-    own, every = stem(sized(levels(length))), F.explode(F.transform(F.sequence(F.lit(0), levels(length)), lambda k: stem(sized(k))))
-    open_long, unit_long = rest.filter(length >= block), keyed.filter(length >= block)
-    # the context is the prefix, or the unit is: first by stems alone, then with both texts
-    found = open_long.select("named", own.alias("stem")).join(unit_long.select("unit", every.alias("stem")), "stem").select("named", "unit")
-    found = found.unionByName(open_long.select("named", every.alias("stem")).join(unit_long.select("unit", own.alias("stem")), "stem").select("named", "unit")).distinct()
-    both = found.join(open_long, "named").join(unit_long.select("unit", F.col("key").alias("unit_key")), "unit")
-    both = both.filter(F.startswith("unit_key", F.col("key")) | F.startswith("key", F.col("unit_key"))).select("named", "unit")
-    short = heads(keyed, "unit").groupBy("head").agg(F.min("unit").alias("unit"))
-    short_a = rest.filter(length < block).select("named", F.col("key").alias("head")).join(short, "head").select("named", "unit")
-    short_b = heads(rest, "named").join(keyed.filter(length < block).select("unit", F.col("key").alias("head")), "head").select("named", "unit")
-    second = both.unionByName(short_a).unionByName(short_b).groupBy("named").agg(F.min("unit").alias("prefix"))
-    second = rest.join(second, "named").select("key", "prefix")
-    return first.join(second, "key", "left").select("context_id", F.coalesce("unit", "prefix")["unit_id"].alias("unit_id"))
+    rest = first.filter("unit is null and key <> ''").groupBy("key").agg(F.min("context_id").alias("name"))
+    found = first_by_prefix(rest, keyed).select("name", F.col("unit.unit_id").alias("prefix"))
+    second = rest.join(found, "name").select("key", "prefix")
+    return first.join(second, "key", "left").select("context_id", F.coalesce(F.col("unit.unit_id"), F.col("prefix")).alias("unit_id"))
 
 
 def backfill_question_id(scores: DataFrame, questions: DataFrame) -> DataFrame:
