@@ -572,9 +572,9 @@ def assertion_trials(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def assertion_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Documents meet their labels with digests of their assertions, and are taken apart after that."""
+    """Documents meet their labels with digests of their assertions, and are taken apart after that; the join deals rows out by question, as the aggregation wants them."""
     digest = lambda a: F.struct(F.when(a["statement"] != "", F.md5(a["statement"])).otherwise("").alias("statement"), a["rank"].alias("rank"))
-    asked = _sentences(spark, d).withColumn("assertions", F.transform("assertions", digest)).join(table(spark, d, "labels").withColumnRenamed("doc_id", "question_id"), "question_id")
+    asked = _sentences(spark, d).withColumn("assertions", F.transform("assertions", digest)).join(table(spark, d, "labels").withColumnRenamed("doc_id", "question_id").hint("merge"), "question_id")
     rows = assertions.assertion_rows(asked, ("quality", "toxic"))
     return scores.assertion_summary(rows.select("question_id", "assertion", F.when(F.col("rank") <= 3, F.col("quality")).otherwise(F.col("toxic")).alias("value")))
 
