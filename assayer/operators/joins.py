@@ -9,7 +9,6 @@ from assayer.functions.text import text_key
 from assayer.functions.values import cosine, dot, truthy
 from assayer.operators.nearest import best_of_parts
 from assayer.operators.prefixes import first_by_prefix
-from assayer.session import checkpointed
 
 
 def last_of(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -42,18 +41,14 @@ def fill_units(bridge: DataFrame, units: DataFrame) -> DataFrame:
 def resolve_units(contexts: DataFrame, units: DataFrame) -> DataFrame:
     """(context_id, unit_id) of every context: the first unit with the same text key, else the first whose key starts with the context's or the other way.
 
-    contexts: (context_id, text); units: (unit_id, pos, text). First is by pos. Equal keys are one on both sides, and the equality pass is a hash
-    join; only keys that it leaves open go on, to a sweep over all keys in order (``first_by_prefix``), which is linear whatever beginnings
-    they share. Empty texts resolve to null; empty unit texts never match.
+    contexts: (context_id, text); units: (unit_id, pos, text). First is by pos. Keys meet in one sweep over all of them in order (``first_by_prefix``),
+    which is linear whatever beginnings they share; what it finds meets the contexts by the key's SHA-256. Empty texts resolve to null; empty unit
+    texts never match.
     """
     left = contexts.select("context_id", text_key(F.col("text")).alias("key"))
-    keyed = units.select(text_key(F.col("text")).alias("key"), F.struct("pos", "unit_id").alias("unit")).filter("key <> ''").groupBy("key").agg(F.min("unit").alias("unit"))
-    keyed = checkpointed(keyed)
-    first = checkpointed(left.join(keyed, "key", "left"))
-    rest = first.filter("unit is null and key <> ''").groupBy("key").agg(F.min("context_id").alias("name"))
-    found = first_by_prefix(rest, keyed).select("name", F.col("unit.unit_id").alias("prefix"))
-    second = rest.join(found, "name").select("key", "prefix")
-    return first.join(second, "key", "left").select("context_id", F.coalesce(F.col("unit.unit_id"), F.col("prefix")).alias("unit_id"))
+    keyed = units.select(text_key(F.col("text")).alias("key"), "pos", "unit_id").filter("key <> ''")
+    found = first_by_prefix(left.select("key").filter("key <> ''"), keyed).select("name", F.col("unit.unit_id").alias("unit_id"))
+    return left.select("context_id", F.sha2("key", 256).alias("name")).join(found, "name", "left").select("context_id", "unit_id")
 
 
 def backfill_question_id(scores: DataFrame, questions: DataFrame) -> DataFrame:

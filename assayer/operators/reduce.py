@@ -43,7 +43,7 @@ def running_sums(rows: DataFrame, order: list[str], size: str) -> DataFrame:
 
 
 def budget_groups(texts: DataFrame, budget: int) -> DataFrame:
-    """(pos, piece, text, tokens, group) of texts (pos, text): neighbours in groups of at most ``budget`` tokens.
+    """(pos, piece, text, tokens, group) of texts (pos, text), whose pos are all different: neighbours in groups of at most ``budget`` tokens.
 
     A text of more than half the budget is cut into pieces. A group is what begins in one half-budget stretch of all tokens, so it holds less than that
     and one piece more, and where a group begins doesn't depend on how rows are dealt out. Null texts and those without tokens are in none.
@@ -51,9 +51,13 @@ def budget_groups(texts: DataFrame, budget: int) -> DataFrame:
     if budget < 2:
         raise ValueError("the budget must be two tokens or more")
     half = budget // 2
-    pieces = texts.filter("text is not null").select("pos", F.posexplode(F.array(cut(F.col("text"), half))[0]).alias("piece", "text"))
-    sized = pieces.withColumn("tokens", count_tokens(F.col("text")).cast("long")).filter("tokens > 0")
-    return running_sums(sized, ["pos", "piece"], "tokens").withColumn("group", F.floor(F.col("before") / half).cast("long")).drop("before")
+    there = texts.filter("text is not null")
+    whole = there.select("pos", F.explode(F.array(count_tokens(F.col("text")).cast("long"))).alias("all")).filter("all > 0")  # sizes alone take part in the sums
+    places = F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / half).cast("int")))
+    sized = whole.select("pos", "all", places.alias("piece")).select("pos", "piece", F.least(F.lit(half).cast("long"), F.col("all") - F.col("piece") * half).alias("tokens"))
+    placed = running_sums(sized, ["pos", "piece"], "tokens").withColumn("group", F.floor(F.col("before") / half).cast("long")).drop("before")
+    pieces = there.select("pos", F.posexplode(F.array(cut(F.col("text"), half))[0]).alias("piece", "text"))
+    return pieces.join(placed, ["pos", "piece"]).select("pos", "piece", "text", "tokens", "group")
 
 
 def joined(groups: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def map_reduce(texts: DataFrame, summarise: Summariser, budget: int = 8000, shar
     if not 0 < share <= 0.25:
         raise ValueError("share must be above 0 and at most a quarter")
     limit = max(1, int(budget * share))
-    spark, rows = texts.sparkSession, checkpointed(texts.select("pos", "text"))
+    spark, rows = texts.sparkSession, texts.select("pos", "text")
     first = rows.agg(F.sum(count_tokens(F.col("text"))).alias("n")).first()["n"] or 0
     calls, left, level = 0, first, 0
     while left:
