@@ -127,8 +127,9 @@ def scan(docs: DataFrame, templates: DataFrame, bands: int = 12, min_containment
     held = lambda p: F.size(F.array_intersect("shingles", F.slice("near", p + 1, F.size("shingles"))))
     places = F.filter(F.sequence(F.lit(0), F.size("near") - 1), lambda p: F.array_contains("shingles", F.get("near", p)))
     starts = F.array_max(F.transform(places, lambda p: F.struct(held(p).alias("held"), (-(F.col("first") + p)).alias("back"))))
-    found = checked.filter(F.col("containment") >= min_containment).select("doc_id", "key", "license", "containment", starts.alias("start"))
-    return found.groupBy("doc_id", "key", "license").agg(F.max("containment").alias("containment"), (-F.max("start")["back"]).cast("long").alias("word")).drop("key")
+    fullest = F.min_by(F.struct("containment", "first", "near", "shingles"), F.struct(-F.col("containment"), "first"))  # one window is looked at place by place
+    found = checked.filter(F.col("containment") >= min_containment).groupBy("doc_id", "key", "license").agg(fullest.alias("w")).select("doc_id", "license", "w.*")
+    return found.select("doc_id", "license", "containment", (-starts["back"]).cast("long").alias("word"))
 
 
 def _keys_of(rows: DataFrame, *carried: str) -> DataFrame:
