@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of longer words are features, too: what makes a word offend may be its stem.
-STEMS = (4, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def _features(sentence: str) -> set[str]:
@@ -30,29 +30,28 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: list[int], max_words: int = 2000, min_docs: int = 4, penalty: float = 0.02, steps: int = 400, rate: float = 0.15) -> tuple[float, dict[str, float]]:
+def fit(texts: list[str], labels: list[int], max_words: int = 2000, min_docs: int = 4, penalty: float = 0.5, steps: int = 400, rate: float = 0.15, toxic_weight: float = 8.0) -> tuple[float, dict[str, float]]:
     """Bias and word weights of the sentence model.
 
     A sentence is offending with probability sigmoid(bias + weights of its distinct words and stems); a document is toxic unless none of its
     sentences offends, so its log-probability of being clean is minus the sum of their softplus. Words and stems are the ``max_words`` whose
-    document counts differ most between the labels; equal texts count once. Gradient steps (Adam) on the mean penalised log-loss, from
-    the same start, so equal rows give equal weights.
+    document counts differ most between the labels; equal texts count once. A toxic document counts ``toxic_weight`` times in the loss, as
+    they are few. Gradient steps (Adam) on the mean penalised log-loss, from the same start, so equal rows give equal weights.
     """
     seen: dict[str, int] = {}
     for t, y in sorted(zip(texts, labels)):
         seen[t] = max(y, seen.get(t, 0))
-    bags = [[_features(s) for s in _SENTENCE.findall(t.lower())] for t in seen]
     y = np.array(list(seen.values()), float)
     if not len(y) or not y.any() or y.all():
         return (-20.0 if not y.any() else 20.0), {}
-    counts = {v: Counter(w for b, k in zip(bags, y) if k == v for w in set().union(*b)) for v in (0.0, 1.0)}
+    counts = {v: Counter(w for t, k in seen.items() if k == v for w in _features(t.lower())) for v in (0, 1)}
     n1, n0 = y.sum(), len(y) - y.sum()
-    worth = {w: (c / n1 - (d := counts[0.0][w]) / n0) ** 2 / ((c + d + 1) / len(y)) for w, c in counts[1.0].items() if c + counts[0.0][w] >= min_docs}
+    worth = {w: (c / n1 - (d := counts[0][w]) / n0) ** 2 / ((c + d + 1) / len(y)) for w, c in counts[1].items() if c + counts[0][w] >= min_docs}
     vocabulary = {w: k for k, w in enumerate(sorted(worth, key=lambda w: (-worth[w], w))[:max_words])}
     sentence, column, owner, n = [], [], [], 0
-    for i, b in enumerate(bags):
-        for s in b:
-            hit = [vocabulary[w] for w in s if w in vocabulary]
+    for i, t in enumerate(seen):
+        for s in _SENTENCE.findall(t.lower()):
+            hit = [vocabulary[w] for w in sorted(vocabulary.keys() & _features(s))]
             sentence += [n] * len(hit)
             column += hit
             owner.append(i)
@@ -64,7 +63,7 @@ def fit(texts: list[str], labels: list[int], max_words: int = 2000, min_docs: in
     for step in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, weights=theta[column], minlength=n)
         s = np.bincount(owner, weights=_softplus(z), minlength=len(y))
-        by_s = np.where(y > 0, -1.0 / np.expm1(np.maximum(s, 1e-9)), 1.0) / len(y)
+        by_s = np.where(y > 0, -toxic_weight / np.expm1(np.maximum(s, 1e-9)), 1.0) / len(y)
         by_z = by_s[owner] / (1.0 + np.exp(-z))
         g = np.append(np.bincount(column, weights=by_z[sentence], minlength=len(vocabulary)), by_z.sum())
         g[:-1] += penalty / len(y) * theta[:-1]
