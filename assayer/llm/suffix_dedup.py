@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.common import Scratch, mix64, powers, prefix_hash, shuffle_parts, small_batches, text_buffer
@@ -311,18 +311,20 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 def _kinds(places: DataFrame, group: list[str], one: list[str], same: list[str], slices: int = 1) -> DataFrame:
     """Segments that another one is or may be like: their group, name, ``same`` columns, two of their places, and whether the group is common.
 
-    ``slices`` deals the names of a group to so many tasks when they meet the group's count, of which each gets a copy.
+    ``slices`` deals the names of a group to so many tasks when they meet the group's count, which is summed from counts of the slices that are there.
     """
     name = [*group, "n1", "n2"]
     found = places.groupBy(*name).agg(
         F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in same), *(F.first(c).alias(f"first_{c}") for c in one), *(F.last(c).alias(f"last_{c}") for c in one)
     )
     # the first and the last row of a name are two places, if it has several; any two will do
-    several = found.groupBy(*group).agg(F.count(F.lit(1)).alias("segs"))
+    by = group
     if slices > 1:
-        found, group = found.withColumn("slice", F.pmod("n1", F.lit(slices)).cast("int")), [*group, "slice"]
-        several = several.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return found.join(several, group).filter("times > 1 or segs > 1").select("*", (F.col("segs") > TOGETHER).cast("int").alias("common"), (F.col("times") > 1).cast("int").alias("two"))
+        found, by = found.withColumn("slice", F.pmod("n1", F.lit(slices)).cast("int")), [*group, "slice"]
+    several = found.groupBy(*by).agg(F.count(F.lit(1)).alias("segs"))
+    if slices > 1:
+        several = several.withColumn("segs", F.sum("segs").over(Window.partitionBy(*group)))
+    return found.join(several, by).filter("times > 1 or segs > 1").select("*", (F.col("segs") > TOGETHER).cast("int").alias("common"), (F.col("times") > 1).cast("int").alias("two"))
 
 
 def _places(kinds: DataFrame, one: list[str], keep: list[str]) -> DataFrame:
