@@ -5,22 +5,31 @@ White space is Unicode white space (``(?U)\\s``), as texts come from many source
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Invisible characters that only disturb matching. Fixed values.
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d\u2060"
+#: What (?U)\s matches. Fixed values.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What ends a line in text that wasn't written on one system only. Fixed values.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def using(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(WHITE_SPACE))
 
 
 def squeeze(text: Column) -> Column:
@@ -123,13 +132,13 @@ def path_order(path: Column) -> Column:
 
 def normalise_newlines(text: Column) -> Column:
     """Line feeds only, and no invisible characters."""
-    return F.translate(F.regexp_replace(text, "\r\n?", "\n"), ZERO_WIDTH, "")
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), f"[{ZERO_WIDTH}]", "")
 
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a line end at the end of the text begins no line, and an empty text has no lines."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = using(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def is_fence(line: Column) -> Column:

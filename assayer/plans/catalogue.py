@@ -276,11 +276,15 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(text.escape_html(F.col("html"))).alias("escaped_md5"))
 
 
+def _made_markdown() -> Column:
+    """Documents' lines as headings, table rows and code in turn."""
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("| a | "), x, F.lit(" |"))).when(i % 11 == 5, F.lit("```")).otherwise(x)), "\n")
+
+
 @query
 def markdown_counters(spark: SparkSession, d: str) -> DataFrame:
     """Of documents whose lines become headings, table rows and code in turn."""
-    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("| a | "), x, F.lit(" |"))).when(i % 11 == 5, F.lit("```")).otherwise(x)), "\n")
-    c = markdown.counters(lines)
+    c = markdown.counters(_made_markdown())
     return table(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.headings", "c.table_rows")
 
 
@@ -304,7 +308,7 @@ def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", markdown.token_chunk_udf()("text").alias("chunks"))
+    t = table(spark, d, "documents").select("doc_id", markdown.token_chunks("text").alias("chunks"))
     return t.select("doc_id", F.posexplode("chunks").alias("at", "chunk"))
 
 
@@ -313,6 +317,12 @@ def markdown_rewritten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", markdown.rewritten("text").alias("m")).select("doc_id", "m.text", "m.title", "m.headings", "m.table_rows")
 
 
+@query
+def markdown_rewritten_made(spark: SparkSession, d: str) -> DataFrame:
+    """Of documents whose lines become headings, table rows and code in turn."""
+    return table(spark, d, "documents").select("doc_id", markdown.rewritten(_made_markdown()).alias("m")).select("doc_id", "m.text", "m.title", "m.headings", "m.table_rows")
+
+
 # ---------------------------------------------------------------- graph
 
 

@@ -93,6 +93,32 @@ _TREES = r"""d AS (SELECT doc_id, len(string_split_regex(text, '[.!?]\s+')) AS n
     UNION ALL SELECT doc_id, 3 * i + k, n, weight / least(3, n - 1 - 3 * i) FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE 3 * i + k < n),
   x AS (SELECT w.doc_id, sum(weight * CASE WHEN i % 2 = 0 THEN quality ELSE toxic END) FILTER (3 * i + 1 >= w.n) AS a, sum(weight * CASE WHEN i % 2 = 0 THEN toxic ELSE quality END) FILTER (3 * i + 1 >= w.n) AS b,
     any_value(quality) AS quality, count(*) AS n FROM w JOIN d ON d.doc_id = w.doc_id GROUP BY w.doc_id)"""
+#: Unicode white space, as a class of DuckDB's regular expressions.
+_WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_MADE = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 0 THEN '## ' || x WHEN (i - 1) % 7 = 3 THEN '| a | ' || x || ' |' WHEN (i - 1) % 11 = 5 THEN '```' ELSE x END), chr(10))"
+
+
+def _ends(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
+
+
+def _rewritten(source: str) -> str:
+    """Markdown without frontmatter, rewritten: the open fence goes from line to line by recursion."""
+    plain = rf"regexp_replace(regexp_replace(coalesce({source}, ''), '\r\n?', chr(10), 'g'), '[\x{{FEFF}}\x{{200B}}-\x{{200D}}\x{{2060}}]', '', 'g')"
+    name = _ends("regexp_replace(t, '^#+', '')")
+    return rf"""WITH RECURSIVE x AS (SELECT doc_id, string_split_regex({plain}, '[\n\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS x FROM documents),
+      l AS (SELECT doc_id, unnest(x) AS own, generate_subscripts(x, 1) AS i FROM x),
+      m AS (SELECT *, {_ends("own")} AS t, regexp_extract({_ends("own")}, '^(```|~~~)', 1) AS mark FROM l),
+      s AS (SELECT doc_id, i, '' AS before, mark AS after FROM m WHERE i = 1 UNION ALL
+        SELECT m.doc_id, m.i, s.after, CASE WHEN s.after = '' THEN m.mark WHEN s.after = m.mark THEN '' ELSE s.after END FROM s JOIN m ON m.doc_id = s.doc_id AND m.i = s.i + 1),
+      k AS (SELECT *, CASE WHEN mark <> '' THEN 'fence' WHEN before <> '' THEN 'code' WHEN t = '' THEN 'blank' WHEN starts_with(t, '#') THEN 'heading' WHEN regexp_matches(t, '(?s)^\|.*\|.*\|$') THEN 'row' ELSE '' END AS kind, {name} AS name FROM m JOIN s USING (doc_id, i)),
+      o AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i), '') = 'blank' AND kind = 'blank' AS again,
+        CASE kind WHEN 'code' THEN regexp_replace(own, '{_WHITE}+$', '') WHEN 'heading' THEN rtrim(repeat('#', least(6, length(regexp_extract(t, '^#+')))) || ' ' || name) ELSE t END AS shown FROM k),
+      b AS (SELECT doc_id, {_ends("string_agg(shown, chr(10) ORDER BY i) FILTER (WHERE NOT again)")} AS body, arg_min(name, i) FILTER (WHERE kind = 'heading' AND name <> '') AS title,
+        count(*) FILTER (WHERE kind = 'heading') AS headings, count(*) FILTER (WHERE kind = 'row') AS table_rows FROM o GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS text, title, headings, table_rows FROM b"""
+
+
 SQL: dict[str, str] = {
     "score_by_metric": f"SELECT metric_name, avg(value) AS mean_value, count(value) AS n FROM ({_TIDY}) GROUP BY metric_name",
     "score_by_lang_metric_gsets": f"SELECT lang, metric_name, avg(value) AS mean_value, count(value) AS n FROM documents JOIN ({_TIDY}) USING (doc_id) GROUP BY GROUPING SETS ((lang, metric_name), (metric_name), ())",
@@ -132,6 +158,11 @@ SQL: dict[str, str] = {
       k AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'h' WHEN i % 7 = 3 THEN 't' WHEN i % 11 = 5 THEN 'f' WHEN starts_with(t, '#') THEN 'h' WHEN regexp_matches(t, '^\|.*\|.*\|$') THEN 't' ELSE '' END AS kind FROM l),
       c AS (SELECT *, coalesce(sum((kind = 'f')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM k)
       SELECT doc_id, count(*) FILTER (WHERE kind = 'h' AND NOT code) AS headings, count(*) FILTER (WHERE kind = 't' AND NOT code) AS table_rows FROM c GROUP BY doc_id""",
+    "markdown_rewritten": _rewritten("text"),
+    "markdown_rewritten_made": _rewritten(_MADE),
+    "token_chunks": rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_WHITE[1:-1]}]){_WHITE}*') AS k FROM documents),
+      s AS (SELECT doc_id, k, unnest(range(0, greatest(0, ceil((len(k) - 600) / 500))::BIGINT + 1)) AS n FROM t WHERE len(k) > 0)
+      SELECT doc_id, n AS "at", regexp_replace(array_to_string(k[n * 500 + 1 : n * 500 + 600], ''), '{_WHITE}+$', '') AS chunk FROM s""",
     "page_concat": r"""SELECT conv_id::VARCHAR AS conv_id, md5(trim(string_agg(trim('[page: ' || turn || ']' || chr(10) || trim(text), chr(10) || ' '), chr(10) || chr(10) ORDER BY turn))) AS text_md5, count(*) AS page_count,
       count(*) FILTER (WHERE trim(text) <> '' AND role = 'user') AS text_pages, count(*) FILTER (WHERE trim(text) <> '' AND role <> 'user') AS ocr_pages FROM conversations GROUP BY conv_id""",
     "duplicate_ids": "SELECT md5(text) AS canonical_path, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -57,7 +57,7 @@ def test_entry(spark):
 
 
 PRODUCTS = ("knn_semantic", "knn_centroid", "retrieval_metrics", "retrieval_metrics_tvd", "reference_assessments", "retrieval_reference", "context_precision_ranked", "resolve_text_units")  # of matrices, and a sweep
-NATIVE = [n for n in entry.queries() if n not in ("markdown_chunks", "token_chunks", "markdown_rewritten", "kmeans_sample", "pipeline", *PRODUCTS) and not n.startswith("op")]
+NATIVE = [n for n in entry.queries() if n not in ("markdown_chunks", "kmeans_sample", "pipeline", *PRODUCTS) and not n.startswith("op")]
 
 
 @pytest.mark.parametrize("name", NATIVE)

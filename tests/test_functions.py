@@ -114,29 +114,48 @@ def test_verdicts(spark, raw, value, reason):
 SAMPLE = "---\ntitle: 'A b'\n# c\nx: 1:2\n---\n\n\n#  Top\n\n\ntext  \n```py\na  \n\n\n~~~\n```\n|a|b|\n|-|-|\n ## Sub ##\n"
 
 
-def test_markdown_rewriting():
-    got = MD.rewrite(SAMPLE)
+def rewrite(spark, text):
+    return one(spark, MD.rewritten(F.col("t")), t=text).asDict()
+
+
+def test_markdown_rewriting(spark):
+    got = rewrite(spark, SAMPLE)
     assert got["frontmatter"] == {"title": "A b", "x": "1:2"} and got["title"] == "Top" and (got["headings"], got["table_rows"]) == (2, 2)
     assert got["text"] == "# Top\n\ntext\n```py\na\n\n\n~~~\n```\n|a|b|\n|-|-|\n## Sub ##\n"
-    assert MD.rewrite("---\nopen: yes\n")["frontmatter"] == {} and MD.rewrite(None)["text"] == ""
-    assert MD.rewrite("---\ntitle: T\n---\nplain")["title"] == "T"
+    assert rewrite(spark, "---\nopen: yes\n")["frontmatter"] == {} and rewrite(spark, None)["text"] == ""
+    assert rewrite(spark, "---\ntitle: T\n---\nplain")["title"] == "T"
+    assert rewrite(spark, "---\na: 1\na: 2\n---\n")["frontmatter"] == {"a": "2"} and rewrite(spark, "---\n---\nx")["text"] == "x\n"
+    assert rewrite(spark, "a\n\n```\nopen  \n\n\n  ~~~  \n")["text"] == "a\n\n```\nopen\n\n\n~~~\n"  # nothing closes it
+    assert rewrite(spark, "#\n####### deep\r\n\ufeff \n \n\nend")["text"] == "#\n###### deep\n\nend\n" and rewrite(spark, " \n \n") == {"text": "", "title": None, "frontmatter": {}, "headings": 0, "table_rows": 0}
+    long = rewrite(spark, "# a  \n\n\nb\n```\nx  \n```\n" * 20000)
+    assert long["headings"] == 20000 and long["text"] == "# a\n\nb\n```\nx\n```\n" * 20000
 
 
 def test_native_counters_agree_with_rewriting(spark):
     for t in (SAMPLE.split("---\n", 2)[2], "```\n# no\n~~~\n```\n# yes\n|a|b|", "~~~\n```\n# no\n~~~\n# yes", ""):
         got = one(spark, MD.counters(F.col("t")), t=t)
-        want = MD.rewrite(t)
+        want = rewrite(spark, t)
         assert (got["headings"], got["table_rows"]) == (want["headings"], want["table_rows"])
 
 
-def test_chunks_cover_the_text():
+def test_chunks_cover_the_text(spark):
     text = "\n## h\n".join(" ".join(f"w{i}{j}" for j in range(60)) for i in range(12))
     got = MD.chunks(text, 200, 40)
     assert all(0 < len(c) <= 200 for c in got)
     words = text.split()
     seen = {w for c in got for w in c.split()}
     assert set(words) <= seen and MD.chunks("", 10, 2) == [] and MD.chunks("abcdefghij" * 3, 10, 0) == ["abcdefghij"] * 3
-    tokens = MD.token_chunks("a b c d e f g", 3, 1)
-    assert tokens == ["a b c", "c d e", "e f g"] and MD.token_chunks("", 3, 1) == []
+    tokens = lambda t: one(spark, MD.token_chunks(F.col("t"), 3, 1), t=t)
+    assert tokens("a b c d e f g") == ["a b c", "c d e", "e f g"] and tokens("") == tokens(None) == tokens("  ") == [] and tokens(" x-y  ") == ["x-y"]
     with pytest.raises(ValueError):
         MD.chunks("a", 5, 5)
+    with pytest.raises(ValueError):
+        MD.token_chunks("a", 5, 5)
+
+
+def test_chunks_share_whole_pieces():
+    assert MD.chunks("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]  # a word with its blank is shared, as it fits
+    assert MD.chunks("aa bb cc dd", 6, 2) == ["aa bb", "cc dd"]
+    assert MD.chunks("ab\n\n" + "x" * 9 + "\n\ncd ef", 5, 0) == ["ab", "xxxx", "xxxxx", "cd", "ef"]
+    assert MD.chunks("# a\nb\n## c\nd", 9, 0) == ["# a\nb", "## c\nd"] and MD.chunks("aaaa", 1, 0) == list("aaaa")
+    assert MD.chunks("aaaa bbbb", 3, 0, (" ",)) == ["aaaa", "bbbb"]  # nothing cuts them
