@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 from typing import Protocol
 
 import pyarrow as pa
@@ -209,38 +210,192 @@ class Ocr(Protocol):
     def page(self, content: bytes, number: int, pages: int) -> str: ...
 
 
-def pypdf_pages(content: bytes) -> list[str]:
-    """Texts of a PDF's pages, where that library is installed."""
-    import io
+class Describer(Protocol):
+    """Says what a block shows that isn't text."""
 
-    from pypdf import PdfReader  # type: ignore[import-not-found]
+    name: str
 
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+    def describe(self, content: bytes, block: dict, page: int, pages: int, page_text: str) -> str: ...
 
 
-PAGES = "source_path string, relative string, page int, pages int, text string, source string, warning string"
+class PypdfPages(Sequence):
+    """Texts of a PDF's pages, each read when it is asked for, where that library is installed."""
+
+    def __init__(self, content: bytes):
+        import io
+
+        from pypdf import PdfReader  # type: ignore[import-not-found]
+
+        self.pages = PdfReader(io.BytesIO(content)).pages
+
+    def __len__(self) -> int:
+        return len(self.pages)
+
+    def __getitem__(self, at):
+        return self.pages[at].extract_text() or ""
 
 
-def _pages(batches: Iterator[pa.RecordBatch], reader: Callable[[bytes], list[str]], ocr: Ocr | None, least: int) -> Iterator[pa.RecordBatch]:
+#: Opens a PDF. A page that can't be read raises when it is asked for, and the others can still be read; a list of texts will do.
+PageReader = Callable[[bytes], Sequence[str]]
+pypdf_pages: PageReader = PypdfPages
+
+PAGES = "source_path string, relative string, page int, pages int, text string, source string, warning string"
+_PAGES = pa.schema([("source_path", pa.string()), ("relative", pa.string()), ("page", pa.int32()), ("pages", pa.int32()), ("text", pa.string()), ("source", pa.string()), ("warning", pa.string())])
+#: The source of the one row of a file that couldn't be opened, whose page is 0.
+FAILED = "error"
+
+
+def _told(error: Exception) -> str:
+    return " ".join(f"{type(error).__name__}: {error}".split())
+
+
+def _page(content: bytes, texts: Sequence[str], n: int, ocr: Ocr | None, least: int) -> tuple[str, str, str | None]:
+    """(text, source, warning) of a page. Neither a reader nor OCR that fails stops the others."""
+    warnings = []
+    try:
+        text = texts[n - 1].strip()
+    except Exception as error:  # noqa: BLE001 - a reader may raise anything
+        text = ""
+        warnings.append(f"its text can't be read ({_told(error)})")
+    source = "text"
+    if len(text) < least:
+        if ocr is None:
+            warnings.append(f"{len(text)} characters of text and no OCR")
+        else:
+            try:
+                read = ocr.page(content, n, len(texts)).strip()
+                if read:
+                    text, source = read, ocr.name
+                else:
+                    warnings.append(f"OCR by {ocr.name} found no text")
+            except Exception as error:  # noqa: BLE001
+                warnings.append(f"OCR by {ocr.name} failed ({_told(error)})")
+    return text, source, f"page {n}: {'; '.join(warnings)}" if warnings else None
+
+
+def _opened(content: bytes, reader: PageReader) -> tuple[Sequence[str], str | None]:
+    try:
+        texts = reader(content)
+        return texts, None if len(texts) else "no pages"
+    except Exception as error:  # noqa: BLE001
+        return [], f"can't be opened ({_told(error)})"
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one after the other, so that no more than one file is held as Python bytes."""
     for batch in batches:
-        for path, relative, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            texts, out = reader(content), []
-            for n, raw in enumerate(texts, 1):
-                text, source, warning = raw.strip(), "text", None
-                if len(text) < least:
-                    read = ocr.page(content, n, len(texts)).strip() if ocr else ""
-                    if read:
-                        text, source = read, ocr.name
-                    else:
-                        warning = f"page {n}: OCR by {ocr.name} found no text" if ocr else f"page {n}: {len(text)} characters of text and no OCR"
-                out.append((path, relative, n, len(texts), text, source, warning))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], [x.split()[0] for x in PAGES.split(", ")])
-
-
-def pdf_pages(files: DataFrame, reader: Callable[[bytes], list[str]] = pypdf_pages, ocr: Ocr | None = None, least: int = 20) -> DataFrame:
-    """A row for each page of the PDF files: its own text, or what OCR reads where that is shorter than ``least``, or a warning."""
-    return files.filter("kind = 'pdf'").select("source_path", "relative", "content").mapInArrow(partial(_pages, reader=reader, ocr=ocr, least=least), PAGES)
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _short(batches: Iterator[pa.RecordBatch], reader: PageReader, ocr: Ocr | None, least: int, together: int) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for path, relative, content in _files(batches):
+            texts, failed = _opened(content, reader)
+            if failed:
+                yield path, relative, 0, 0, "", FAILED, failed
+            elif len(texts) <= together:
+                for n in range(1, len(texts) + 1):
+                    yield path, relative, n, len(texts), *_page(content, texts, n, ocr, least)
+
+    return _in_batches(rows(), _PAGES)
+
+
+_RANGES = pa.schema([("source_path", pa.string()), ("relative", pa.string()), ("content", pa.binary()), ("first", pa.int32())])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], reader: PageReader, together: int) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for path, relative, content in _files(batches):
+            n = len(_opened(content, reader)[0])
+            if n > together:
+                for first in range(1, n + 1, together):
+                    yield path, relative, content, first
+
+    return _in_batches(rows(), _RANGES, 1)
+
+
+def _long(batches: Iterator[pa.RecordBatch], reader: PageReader, ocr: Ocr | None, least: int, together: int) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for path, relative, content, first in _files(batches):
+            texts, failed = _opened(content, reader)
+            if failed:  # it was opened before, so this is a reader that isn't the same each time
+                raise ValueError(f"{path}: {failed}")
+            for n in range(first, min(first + together, len(texts) + 1)):
+                yield path, relative, n, len(texts), *_page(content, texts, n, ocr, least)
+
+    return _in_batches(rows(), _PAGES)
+
+
+def pdf_pages(files: DataFrame, reader: PageReader = pypdf_pages, ocr: Ocr | None = None, least: int = 20, together: int = 200) -> DataFrame:
+    """A row for each page of the PDF files: its own text, or what OCR reads where that is shorter than ``least``, and a warning where either fails.
+
+    A file that can't be opened, or without pages, is one row with page 0, an empty text and FAILED as source. Files of up to ``together`` pages
+    are read where they are; longer ones go as ranges of so many pages to tasks of their own, each with a copy of the file.
+    """
+    given = files.filter("kind = 'pdf'").select("source_path", "relative", "content")
+    short = given.mapInArrow(partial(_short, reader=reader, ocr=ocr, least=least, together=together), PAGES)
+    ranges = given.mapInArrow(partial(_ranges, reader=reader, together=together), "source_path string, relative string, content binary, first int")
+    return short.unionByName(ranges.repartition("source_path", "first").mapInArrow(partial(_long, reader=reader, ocr=ocr, least=least, together=together), PAGES))
+
+
+#: Parses a PDF into the number of its pages and its blocks: dicts with kind, text, page_index, bbox.
+LayoutReader = Callable[[bytes], tuple[int, Sequence[dict]]]
+BLOCKS = "source_path string, relative string, pages int, page_index int, kind string, text string, bbox array<double>, description string, source string, warning string, strategy string"
+_BLOCKS = pa.schema([("source_path", pa.string()), ("relative", pa.string()), ("pages", pa.int32()), ("page_index", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("description", pa.string()), ("source", pa.string()), ("warning", pa.string()), ("strategy", pa.string())])
+#: Kinds of layout blocks whose text is what they say; the others are pictures of something. Fixed values.
+TEXT_KINDS = ("text", "title", "heading", "paragraph", "list", "caption")
+
+
+def _by_layout(content: bytes, layout: LayoutReader, describer: Describer | None) -> list[tuple]:
+    pages, blocks = layout(content)
+    said: dict[int, list[str]] = {}
+    for b in blocks:
+        if b.get("text"):
+            said.setdefault(int(b.get("page_index") or 0), []).append(str(b["text"]))
+    out = []
+    for b in blocks:
+        kind, at, description, warning = str(b.get("kind") or "text"), int(b.get("page_index") or 0), None, None
+        if describer is not None and kind.lower() not in TEXT_KINDS:
+            try:
+                description = describer.describe(content, dict(b), at + 1, pages, "\n".join(said.get(at, [])))
+            except Exception as error:  # noqa: BLE001
+                warning = f"page {at + 1}: description by {describer.name} failed ({_told(error)})"
+        box = b.get("bbox")
+        out.append((pages, at, kind, str(b.get("text") or ""), [float(x) for x in box] if box else None, description, "text", warning, "layout"))
+    if not out:
+        raise ValueError("no blocks")
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], layout: LayoutReader, describer: Describer | None, reader: PageReader, ocr: Ocr | None, least: int) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for path, relative, content in _files(batches):
+            try:
+                found = _by_layout(content, layout, describer)
+            except Exception as error:  # noqa: BLE001
+                texts, failed = _opened(content, reader)
+                yield path, relative, len(texts), -1, "text", "", None, None, FAILED, f"no layout ({_told(error)})" + (f"; {failed}" if failed else ""), "layout->pages"
+                for n in range(1, len(texts) + 1):
+                    text, source, warning = _page(content, texts, n, ocr, least)
+                    yield path, relative, len(texts), n - 1, "text", text, None, None, source, warning, "layout->pages"
+                continue
+            for block in found:
+                yield path, relative, *block
+
+    return _in_batches(rows(), _BLOCKS)
+
+
+def pdf_blocks(files: DataFrame, layout: LayoutReader, describer: Describer | None = None, reader: PageReader = pypdf_pages, ocr: Ocr | None = None, least: int = 20) -> DataFrame:
+    """Blocks of the PDF files by a layout parser. A file that it fails on, or finds nothing in, is read page by page in the same task; a first row
+    with page_index -1 and FAILED as source says why. A describer that fails leaves a warning. Files are parsed once."""
+    work = partial(_blocks, layout=layout, describer=describer, reader=reader, ocr=ocr, least=least)
+    return files.filter("kind = 'pdf'").select("source_path", "relative", "content").mapInArrow(work, BLOCKS)
 
 
 def layout_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -106,6 +106,79 @@ def _two_pages(content: bytes) -> list[str]:
     return ["x" * 30, " "]
 
 
+class _Paged(list):
+    """Pages of a made-up format: one a line; a line that says so can't be read."""
+
+    def __init__(self, content: bytes):
+        if content.startswith(b"broken"):
+            raise ValueError("no such\nformat")
+        super().__init__(content.decode().splitlines() if content != b"none" else [])
+
+    def __getitem__(self, at):
+        if super().__getitem__(at) == "bad":
+            raise KeyError("glyph")
+        return super().__getitem__(at)
+
+
+class _Scans:
+    name = "scans"
+
+    def page(self, content: bytes, number: int, pages: int) -> str:
+        if number == 3:
+            raise RuntimeError("no lamp")
+        return "" if number == 4 else f"seen {number}"
+
+
+def test_failing_pages_are_told_and_the_rest_is_read(spark, tmp_path):
+    root, long = tmp_path / "in", "x" * 25
+    put(root, "a.pdf", "broken")
+    put(root, "b.pdf", f"{long}\nbad\nbad\nshort")
+    put(root, "c.pdf", "\n".join(f"{n:025d}" for n in range(1, 5001)))
+    put(root, "d.pdf", "none")
+    docs, entries = ingest.normalise_tree(spark, str(root), reader=_Paged, ocr=_Scans())
+    rows = {r["canonical_path"]: r for r in entries.collect()}
+    counts = lambda r: (r["strategy"], r["page_count"], r["text_pages"], r["ocr_pages"])
+    assert counts(rows["a.txt"]) == ("failed", 0, 0, 0) and rows["a.txt"]["warnings"] == ["can't be opened (ValueError: no such format)"] and rows["a.txt"]["text_chars"] == 0
+    assert counts(rows["b.txt"]) == ("pages", 4, 2, 1) and rows["b.txt"]["warnings"] == [
+        "page 2: its text can't be read (KeyError: 'glyph')", "page 3: its text can't be read (KeyError: 'glyph'); OCR by scans failed (RuntimeError: no lamp)", "page 4: OCR by scans found no text"
+    ]
+    assert counts(rows["c.txt"]) == ("pages", 5000, 5000, 0) and rows["c.txt"]["warnings"] == [] and rows["d.txt"]["warnings"] == ["no pages"]
+    texts = {r["canonical_path"]: r["text"] for r in docs.collect()}
+    assert set(texts) == {"b.txt", "c.txt"} and texts["b.txt"] == f"[page: 1]\n{long}\n\n[page: 2]\nseen 2\n\n[page: 3]\n\n[page: 4]\nshort"
+    assert texts["c.txt"] == "\n\n".join(f"[page: {n}]\n{n:025d}" for n in range(1, 5001))
+    pages = tables.pdf_pages(tables.source_files(spark, str(root)), _Paged, None, together=7)  # ranges give the same rows
+    assert sorted(map(tuple, pages.collect()), key=str) == sorted(map(tuple, tables.pdf_pages(tables.source_files(spark, str(root)), _Paged, None, together=9000).collect()), key=str)
+
+
+def _blocks_of(content: bytes):
+    if content.startswith((b"broken", b"flat")):
+        raise ValueError("no layout")
+    return 2, [{"kind": "text", "text": "low", "page_index": 0, "bbox": [0, 9, 1, 10]}, {"kind": "Title", "text": "high", "page_index": 0, "bbox": [0, 1, 1, 2]}, {"kind": "figure", "page_index": 1, "bbox": [0, 0, 1, 1]}, {"kind": "table", "text": "t", "page_index": 1, "bbox": [0, 5, 1, 6]}]
+
+
+class _Says:
+    name = "says"
+
+    def describe(self, content: bytes, block: dict, page: int, pages: int, page_text: str) -> str:
+        if block["kind"] == "table":
+            raise ValueError("cells")
+        return f"a {block['kind']} on {page} of {pages} near {page_text}"
+
+
+def test_layout_falls_back_to_pages(spark, tmp_path):
+    root = tmp_path / "in"
+    put(root, "a.pdf", "broken")
+    put(root, "b.pdf", "flat " + "x" * 25)
+    put(root, "c.pdf", "good")
+    docs, entries = ingest.normalise_tree(spark, str(root), reader=_Paged, layout=_blocks_of, describer=_Says())
+    rows = {r["canonical_path"]: r for r in entries.collect()}
+    assert {k: r["strategy"] for k, r in rows.items()} == {"a.txt": "failed", "b.txt": "layout->pages", "c.txt": "layout"}
+    assert rows["a.txt"]["warnings"] == ["no layout (ValueError: no layout); can't be opened (ValueError: no such format)"] and rows["b.txt"]["warnings"] == ["no layout (ValueError: no layout)"]
+    assert rows["c.txt"]["warnings"] == ["page 2: description by says failed (ValueError: cells)"] and (rows["c.txt"]["page_count"], rows["b.txt"]["page_count"]) == (2, 1)
+    texts = {r["canonical_path"]: r["text"] for r in docs.collect()}
+    assert texts == {"b.txt": "[page: 1]\nflat " + "x" * 25, "c.txt": "[page: 1]\nhigh\nlow\n\n[page: 2]\na figure on 2 of 2 near t\nt"}
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", "m", 1.0, None)], "sample_id string, metric_name string, value double, reason string")
     first, second = sinks.versioned(str(tmp_path / "t"), df), sinks.versioned(str(tmp_path / "t"), df)
