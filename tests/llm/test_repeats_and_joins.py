@@ -216,3 +216,47 @@ def test_every_start_of_a_long_text_is_in_one_segment(monkeypatch):
             starts.setdefault(key, []).extend(range(start, start + n))
     for key, text in enumerate(texts):
         assert sorted(starts.get(key, [])) == list(range(max(0, len(text) - 199)))
+
+
+def written(spark, make) -> int:
+    """Bytes that the stages of a call shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    make()
+    return total() - before
+
+
+def nearly_linked(n: int, shared: int = 1000, own: int = 172) -> list[tuple[int, str]]:
+    """Texts of which all pairs stay just below the bound, by less than sketches tell: 996 shingles are common, and 172 a text's own."""
+    rng = random.Random(7)
+    words = lambda k: " ".join(f"{rng.getrandbits(160):040x}" for _ in range(k))  # noqa: E731  (longer than what compression looks back)
+    passage = words(shared)
+    return [(i, f"{passage} {words(own)}") for i in range(n)]
+
+
+def test_join_shuffles_texts_and_not_pairs_of_them(spark):
+    texts = nearly_linked(80)
+    texts += [(80, texts[3][1] + " one more"), (81, texts[7][1] + " two more words")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = written(spark, lambda: got.update({r.doc_id: r.component_id for r in N.link_groups(df).collect()}))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: {80: 3, 81: 7}.get(i, i) for i in range(82)}
+    assert shuffled < 20 * sum(len(t) for _, t in texts)  # 45 times when every pair carried its texts
+
+
+def test_join_deals_out_long_sets_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "ELEMENTS", 5000)
+    texts = nearly_linked(40)
+    texts += [(40 + i, texts[i][1] + f" word{i} more") for i in range(6)]
+    got = {r.doc_id: r.component_id for r in N.link_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 40 else i - 40 for i in range(46)}
