@@ -40,6 +40,16 @@ def test_paths_by_brute_force(spark, hub, hops):
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute_distances(pairs, edges, hops)
 
 
+def test_alike_sources_and_targets_walk_once(spark, monkeypatch):
+    """Sources of one nation and its suppliers: no row stands for a pair of them."""
+    held, keep = [], paths.checkpointed
+    monkeypatch.setattr(paths, "checkpointed", lambda df: held.append(keep(df)) or held[-1])
+    edges = spark.range(200).selectExpr("concat('c', id) as source", "'n' as target").union(spark.range(200).selectExpr("'n'", "concat('s', id)"))
+    pairs = spark.range(200).selectExpr("id as sample_id", "concat('c', id) as source", "concat('s', 199 - id) as target")
+    assert {tuple(x) for x in paths.path_exists(pairs, edges, 4).collect()} == {(i, True, 2) for i in range(200)}
+    assert max(df.count() for df in held) <= 400  # 40 000 when each source walked to all targets
+
+
 def test_a_hub_is_dealt_out_and_dead_ends_are_left(spark):
     """A hub of 10^5 edges: its edges lie in slots, and only the nodes that lead to a target are kept after it."""
     edges = spark.range(100_000).selectExpr("-1L as source", "id as target").unionByName(spark.createDataFrame([(77, -2), (-2, -1), (-3, -1)], "source long, target long"))
