@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from assayer.functions.text import is_fence, is_heading, is_table_row, normalise_heading, normalise_newlines, rstrip, split_lines, strip, using
 
@@ -152,12 +154,35 @@ def chunks(text: str, size: int = 1000, overlap: int = 200, separators: tuple[st
     return [c for c in (text[a:b].strip() for a, b in spans) if c]
 
 
-def chunk_udf(size: int = 1000, overlap: int = 200):
-    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunks(t or "", size, overlap) for t in texts], dtype=object)
+#: Bytes of chunks, about, in one batch.
+CHUNK_BYTES = 4 << 20
 
-    return run
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of the last column, text by text, in batches of their own: a task holds one batch of texts and CHUNK_BYTES of chunks."""
+    names = None
+    for batch in batches:
+        names, texts = [*batch.schema.names[:-1], "at", "chunk"], batch.column(batch.num_columns - 1)
+        rows, places, found, held = [], [], [], 0
+        for i in range(batch.num_rows):
+            for at, chunk in enumerate(chunks(texts[i].as_py() or "", size, overlap)):
+                rows.append(i)
+                places.append(at)
+                found.append(chunk)
+                held += 4 * len(chunk) + 64
+            if held >= CHUNK_BYTES or found and i + 1 == batch.num_rows:
+                others = batch.select(names[:-2]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*others.columns, pa.array(places, pa.int32()), pa.array(found, pa.string())], names)
+                rows, places, found, held = [], [], [], 0
+
+
+def chunk_rows(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """The other columns of df, and (at, chunk) for each chunk of a text, from 0; none of a text without any, or of null."""
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the size")
+    others = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*others, StructField("at", IntegerType()), StructField("chunk", StringType())])
+    return df.select(*(f"`{f.name}`" for f in others), text).mapInArrow(partial(_chunk_rows, size=size, overlap=overlap), schema)
 
 
 #: A word or a mark, with the white space behind it.

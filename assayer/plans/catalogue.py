@@ -302,8 +302,7 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", markdown.chunk_udf()("text").alias("chunks"))
-    return t.select("doc_id", F.posexplode("chunks").alias("at", "chunk"))
+    return markdown.chunk_rows(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query
