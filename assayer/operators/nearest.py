@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Rows in one product.
 BLOCK = 2048
+#: Numbers of the vectors that a task holds at once, and queries that they meet together: what a task holds doesn't grow with the tables.
+FLOATS, ASKED = 1 << 22, 1024
 #: Similarities are told apart to so many digits, so the order of equal ones doesn't hang on the order of additions.
 DIGITS = 9
 
@@ -64,27 +66,51 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist()) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: list, k: int, normalised: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    best, grouped = Best(queries, k), len(schema) == 4
+def _segments(batches: Iterator[pa.RecordBatch], normalised: bool, grouped: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Some rows at a time: ids, vectors, numbers of their groups, and the groups by number. Rows without a vector go."""
+    held, floats = [], 0
+
+    def segment() -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rows = table.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        if not normalised:
+            size = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+        if not grouped:
+            return _ids(table.column(0)), rows, np.zeros(len(rows), np.int64), [None]
+        named = table.column(2).dictionary_encode(null_encoding="encode")
+        return _ids(table.column(0)), rows, named.indices.to_numpy(zero_copy_only=False), named.dictionary.to_pylist()
+
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             part = part.filter(part.column(1).is_valid())
-            if not part.num_rows:
-                continue
-            rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            if not normalised:
-                size = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-            best.add(_ids(part.column(0)), rows, _ids(part.column(2)) if grouped else None)
-    if best.held is not None:
-        query, like, ids, groups = best.held
-        columns = [[names[q] for q in query.tolist()], ids.tolist(), like.tolist(), groups.tolist()][: len(schema)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            if part.num_rows:
+                held.append(part)
+                floats += len(part.column(1).flatten())
+            if floats >= FLOATS:
+                yield segment()
+                held, floats = [], 0
+    if held:
+        yield segment()
+
+
+def _search(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: list, k: int, normalised: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for ids, rows, groups, known in _segments(batches, normalised, len(schema) == 4):
+        members = [np.flatnonzero(groups == g) for g in range(len(known))]
+        for first in range(0, len(queries), ASKED):
+            for own, group in zip(members, known):
+                best = Best(queries[first : first + ASKED], k)
+                for at in range(0, len(own), BLOCK):
+                    best.add(ids[own[at : at + BLOCK]], rows[own[at : at + BLOCK]])
+                if best.held is not None:
+                    query, like, found, _ = best.held
+                    columns = [[names[first + q] for q in query.tolist()], found.tolist(), like.tolist(), [group] * len(query)][: len(schema)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def best_of_parts(queries: DataFrame, rows: DataFrame, k: int, normalised: bool = True, group: str | None = None) -> DataFrame:
-    """(query_id, row_id, similarity[, group]): of every partition of ``rows`` (row_id, vector[, group]) the k rows most similar to each query, within each group if one
+    """(query_id, row_id, similarity[, group]): of every partition of ``rows`` (row_id, vector[, group]), or of every FLOATS numbers of a larger one, the k rows most similar to each query, within each group if one
     is named. What is shuffled later is k rows for each query and partition, and no row stands for a pair of them.
 
     queries (query_id, vector) is a stated list that the caller has counted; it goes to every task as one matrix. Without ``normalised`` vectors are taken by their

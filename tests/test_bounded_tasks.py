@@ -25,7 +25,7 @@ def test_grouped_search_holds_little(monkeypatch):
                 best.setdefault((q, g), []).append((-s, r))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 150e6  # 1 GB and more when all queries met a block at once
+    assert peak < 150e6  # all queries met a block at once before
     like = np.round(queries[:50] @ rows.T, nearest.DIGITS)
     for q in range(50):
         for g in ("a", "b", None):
